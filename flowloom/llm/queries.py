@@ -40,6 +40,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm import kneser_ney
+
+    return kneser_ney.held_out_scores(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm import token_counts
 
@@ -69,5 +75,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
