@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm import nn_descent
+
+    return nn_descent.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm import jaccard_join
 
@@ -75,5 +81,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
