@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,23 @@ def entropy(values: Column, w: int, k: int = BUCKETS) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), term), F.lit(0.0), lambda s, x: s + x) / math.log2(k)
 
 
+def rolling_of_row(coefs: np.ndarray, cuts: np.ndarray, w: int, k: int) -> np.ndarray:
+    """Entropies of all stretches of w coefficients: bucket counts by running sums."""
+    codes = np.searchsorted(cuts, np.abs(coefs), "right")
+    runs = np.cumsum(np.vstack([np.zeros(k), np.eye(k)[codes]]), axis=0)
+    p = (runs[w:] - runs[:-w]) / w
+    return -(np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)).sum(axis=1) / math.log2(k)
+
+
 def rolling(bands: DataFrame, cuts: DataFrame, span: int = SPAN, k: int = BUCKETS) -> DataFrame:
     """(window_id, channel, band, h): entropies at all positions where the band's window fits. Edges are few: one row a channel and band."""
-    names = ["cA4", "cD4", "cD3", "cD2", "cD1"]
     rows = bands.select("window_id", "channel", F.explode("bands").alias("band", "coefs")).join(F.broadcast(cuts), ["channel", "band"])
-    coded = rows.withColumn("codes", F.transform("coefs", lambda c: F.size(F.filter(F.col("edges"), lambda e: e <= F.abs(c)))))
-    series = F.coalesce(*[F.when(F.col("band") == b, F.transform(F.sequence(F.lit(1), F.size("codes") - (width(b, span) - 1)), lambda i, w=width(b, span): entropy(F.slice(F.col("codes"), i, F.lit(w)), w, k))) for b in names])
-    return coded.select("window_id", "channel", "band", series.alias("h"))
+
+    @F.pandas_udf("array<double>")
+    def series(band: pd.Series, coefs: pd.Series, edges: pd.Series) -> pd.Series:
+        return pd.Series([rolling_of_row(c, e, width(b, span), k).tolist() for b, c, e in zip(band, coefs, edges, strict=True)])
+
+    return rows.select("window_id", "channel", "band", series("band", "coefs", "edges").alias("h"))
 
 
 def resampled(x: Column, size: int) -> Column:

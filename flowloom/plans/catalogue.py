@@ -329,10 +329,10 @@ def swt_haar(spark, d):
     return long_rounded(bands_of(spark, d, "haar", 3, "swt"))
 
 
-@query(f"WITH {bands_sql('db4', 4, 256)} SELECT window_id, channel, band, round(sum(coef * coef), 6) AS energy FROM bands GROUP BY ALL")
+@query(f"WITH {bands_sql('db4', 4, 256)} SELECT window_id, channel, band, round(sum(coef * coef), 2) AS energy FROM bands GROUP BY ALL")
 def band_energy(spark, d):
     b = bands_of(spark, d, "db4", 4).select("window_id", "channel", F.explode("bands").alias("band", "coefs"))
-    return b.select("window_id", "channel", "band", digits(wavelets.energy(F.col("coefs")), 6).alias("energy"))
+    return b.select("window_id", "channel", "band", digits(wavelets.energy(F.col("coefs")), 2).alias("energy"))
 
 
 EDGES = f"{bands_sql('haar', 4, 256)}, cut AS (SELECT min(window_id) + 11 AS w FROM bands), edges AS (SELECT channel, band, quantile_cont(abs(coef), [{', '.join(str(i / 16) for i in range(1, 16))}]) AS edges FROM bands, cut WHERE window_id < cut.w GROUP BY 1, 2)"
