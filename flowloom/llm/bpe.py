@@ -141,7 +141,7 @@ class ChunkStore:
     memory that changes no result.
     """
 
-    def __init__(self, bpe: PairIndexBpe, split, memo: int = 600_000):
+    def __init__(self, bpe: PairIndexBpe, split, memo: int = 250_000):
         self.bpe, self.split, self.memo = bpe, split, memo
         self.clear()
 
@@ -281,7 +281,7 @@ def by_bytes(column: pa.Array, most: int):
 SCHEMA = "doc_id long, ids array<int>"
 
 
-def encode(docs: DataFrame, tokenizer_path: str, batch_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id and ids (array of int) of every whole text. Null and empty texts have no ids."""
 
     def run(batches):
@@ -307,7 +307,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_path: str, batch_bytes: int = 24 << 20) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_path: str, batch_bytes: int = 8 << 20) -> DataFrame:
     """Per document the number of ids, and SHA-256 of the ids (decimal, by commas) and of the text decoded from them.
 
     Null and empty texts have no ids and digests of nothing. Repeated rows give repeated rows; columns other than

@@ -89,7 +89,7 @@ _TEXTS: dict[str, WordLevelTexts] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, batch_bytes: int = 24 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, batch_bytes: int = 8 << 20) -> DataFrame:
     """Each document's ids and one end id, cut into pieces of at most ``size``.
 
     part and nth: the task that made the piece, and the piece's number among those of its length there.

@@ -12,7 +12,7 @@ from flowloom.llm.common import whole_texts
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch_bytes: int = 24 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     Rows are regrouped into batches of about ``batch_bytes`` of text; texts are split at safe boundaries (where a
