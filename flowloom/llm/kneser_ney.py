@@ -83,7 +83,7 @@ def shard_of(number: np.ndarray, size: int) -> np.ndarray:
     return np.where(number == BEGIN, SHARDS, number // max(1, wide))
 
 
-def batches_of(batches, most: int = 24 << 20):
+def batches_of(batches, most: int = 4 << 20):
     """(doc_ids, token lists) of about ``most`` characters."""
     for batch in batches:
         held, ids, own = 0, [], []
@@ -118,6 +118,24 @@ def pairs_of(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
+def by_shard(batches, shard_of_batch):
+    """(shard, first column, second column) of each shard, of rows that come sorted by shard; one is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        a, b, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy(), shard_of_batch(batch)
+        if not len(shard):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if now is not None and int(shard[i]) != now:
+                yield now, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                held = []
+            now = int(shard[i])
+            held.append((a[i:j], b[i:j]))
+    if held:
+        yield now, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
 def count_words(texts: DataFrame, top: str) -> Vocabulary:
     """Counts the words and writes the vocabulary's shards."""
 
@@ -129,16 +147,7 @@ def count_words(texts: DataFrame, top: str) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, found), np.int64, len(found))), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["h", "n"])
 
     def save(batches):
-        rows: dict[int, list] = {}
-        for batch in batches:
-            h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
-            shard = (h >> 56) + SHARDS // 2
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for k, a, b in zip(np.split(shard, cuts), np.split(h, cuts), np.split(n, cuts), strict=True):
-                if len(k):
-                    rows.setdefault(int(k[0]), []).append((a, b))
-        for k, parts in rows.items():
-            keys, counts = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        for k, keys, counts in by_shard(batches, lambda batch: (batch.column(0).to_numpy() >> 56) + SHARDS // 2):
             put(f"{top}/words-{k:03d}", [keys, counts])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "size": [len(keys)], "total": [int(counts.sum())]})
 
@@ -171,32 +180,14 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary, top: str) -> KneserNey
 
     def save(batches):
         """Writes each shard's sorted pairs with their counts; returns counts of counts and how often words are second."""
-        parts: dict[int, list] = {}
-        for batch in batches:
-            k, n = batch.column("k").to_numpy(), batch.column("n").to_numpy()
-            shard = batch.column("shard").to_numpy()
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for s, a, b in zip(np.split(shard, cuts), np.split(k, cuts), np.split(n, cuts), strict=True):
-                if len(s):
-                    parts.setdefault(int(s[0]), []).append((a, b))
-        for s, own in parts.items():
-            k, n = np.concatenate([a for a, _ in own]), np.concatenate([b for _, b in own])
+        for s, k, n in by_shard(batches, lambda batch: batch.column("shard").to_numpy()):
             put(f"{top}/pairs-{s:03d}", [k, n.astype(np.uint32)])
             words, often = np.unique(k & 0xFFFFFFFF, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words, -1 - s)), pa.array(np.append(often, len(k))), pa.array([None] * len(words) + [[int((n == c).sum()) for c in (1, 2, 3, 4)]], pa.list_(pa.int64()))], names=["w", "n", "c"])
 
     def save_low(batches):
-        rows: dict[int, list] = {}
         wide = -(-vocabulary.size // SHARDS)
-        for batch in batches:
-            w, n = batch.column("w").to_numpy(), batch.column("n").to_numpy()
-            shard = w // wide
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for s, a, b in zip(np.split(shard, cuts), np.split(w, cuts), np.split(n, cuts), strict=True):
-                if len(s):
-                    rows.setdefault(int(s[0]), []).append((a, b))
-        for s, own in rows.items():
-            w, n = np.concatenate([a for a, _ in own]), np.concatenate([b for _, b in own])
+        for s, w, n in by_shard(batches, lambda batch: batch.column(0).to_numpy() // wide):
             dense = np.zeros(min(wide, vocabulary.size - s * wide), np.int64)
             dense[w - s * wide] = n
             put(f"{top}/low-{s:03d}", [dense])
@@ -207,7 +198,7 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary, top: str) -> KneserNey
     shard = F.when(first == BEGIN, SHARDS).otherwise(F.floor(first / wide)).cast("int")
     dealt = texts.mapInArrow(count, "k long, n int").withColumn("shard", shard).repartition("shard")
     sums = dealt.groupBy("shard", "k").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("shard", "k")
-    seen = written(sums.mapInArrow(save, "w long, n long, c array<long>"), "continuations")
+    seen = written(sums.select("k", "n", "shard").mapInArrow(save, "w long, n long, c array<long>"), "continuations")
     sizes, high = [0] * (SHARDS + 1), np.zeros(4, np.int64)
     for w, n, c in seen.where("w < 0").collect():  # SHARDS + 1 rows at most
         sizes[-1 - w] = n
@@ -312,7 +303,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def run(batches):
         reader = Reader(model)
-        for ids, own in batches_of(batches, 12 << 20):
+        for ids, own in batches_of(batches):
             numbers, counts = numbered(own, vocabulary)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             begin = np.append(0, np.cumsum(sizes)[:-1])
