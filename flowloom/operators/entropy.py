@@ -14,7 +14,7 @@ BUCKETS, SPAN = 16, 32
 
 def edges(coefs: DataFrame, k: int = BUCKETS) -> DataFrame:
     """(channel, band, edges): k - 1 inner quantiles of the magnitudes, of the rows given (the training rows)."""
-    return coefs.groupBy("channel", "band").agg(F.percentile(F.abs("coef"), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("edges"))
+    return coefs.groupBy("channel", "band").agg(F.percentile(F.round(F.abs("coef"), 9), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("edges"))
 
 
 def width(band: str, span: int = SPAN) -> int:
@@ -38,7 +38,7 @@ def entropy(values: Column, w: int, k: int = BUCKETS) -> Column:
 
 def rolling_of_row(coefs: np.ndarray, cuts: np.ndarray, w: int, k: int) -> np.ndarray:
     """Entropies of all stretches of w coefficients: bucket counts by running sums."""
-    codes = np.searchsorted(cuts, np.abs(coefs), "right")
+    codes = np.searchsorted(cuts, np.round(np.abs(coefs), 9) + 1e-10, "right")  # magnitudes count to 9 digits
     runs = np.cumsum(np.vstack([np.zeros(k), np.eye(k)[codes]]), axis=0)
     p = (runs[w:] - runs[:-w]) / w
     return -(np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)).sum(axis=1) / math.log2(k)
@@ -75,11 +75,11 @@ def tensors(series: DataFrame, size: int = 16) -> DataFrame:
 
 def quality(tensor: DataFrame) -> DataFrame:
     """Per channel and band: values that aren't finite or lie outside 0..1, least, largest and variance."""
-    v = tensor.select("channel", "band", F.explode("values").cast("double").alias("v"))
+    v = tensor.select("channel", "band", F.explode(F.col("values").cast("array<double>")).alias("v"))
     return v.groupBy("channel", "band").agg(F.count_if(F.isnan("v") | ~F.col("v").between(0, 1)).alias("bad"), F.min("v").alias("least"), F.max("v").alias("most"), F.var_pop("v").alias("variance"))
 
 
 def normalised(tensor: DataFrame, train: DataFrame) -> DataFrame:
     """Values less the mean, over the standard deviation, of the training windows' channel."""
-    stats = train.select("channel", F.explode("values").cast("double").alias("v")).groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    stats = train.select("channel", F.explode(F.col("values").cast("array<double>")).alias("v")).groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     return tensor.join(F.broadcast(stats), "channel").select("window_id", "channel", "band", F.transform("values", lambda v: ((v - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).cast("float")).alias("values"))

@@ -335,7 +335,7 @@ def band_energy(spark, d):
     return b.select("window_id", "channel", "band", digits(wavelets.energy(F.col("coefs")), 2).alias("energy"))
 
 
-EDGES = f"{bands_sql('haar', 4, 256)}, cut AS (SELECT min(window_id) + 11 AS w FROM bands), edges AS (SELECT channel, band, quantile_cont(abs(coef), [{', '.join(str(i / 16) for i in range(1, 16))}]) AS edges FROM bands, cut WHERE window_id < cut.w GROUP BY 1, 2)"
+EDGES = f"{bands_sql('haar', 4, 256)}, cut AS (SELECT min(window_id) + 11 AS w FROM bands), edges AS (SELECT channel, band, quantile_cont(round(abs(coef), 9), [{', '.join(str(i / 16) for i in range(1, 16))}]) AS edges FROM bands, cut WHERE window_id < cut.w GROUP BY 1, 2)"
 
 
 def edges_of(bands: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def entropy_edges(spark, d):
     return e.select("channel", "band", F.posexplode("edges").alias("i", "edge")).withColumn("edge", digits(F.col("edge"), 6))
 
 
-CODED = f"{EDGES}, w(band, w) AS (VALUES ('cD1', 16), ('cD2', 8), ('cD3', 8), ('cD4', 8), ('cA4', 8)), coded AS (SELECT b.window_id, b.channel, b.band, b.k, len(list_filter(e.edges, lambda x: x <= abs(b.coef))) AS code FROM bands b JOIN edges e USING (channel, band)), placed AS (SELECT a.window_id, a.channel, a.band, a.k, b.code, w.w FROM coded a JOIN w USING (band) JOIN coded b ON a.window_id = b.window_id AND a.channel = b.channel AND a.band = b.band AND b.k BETWEEN a.k AND a.k + w.w - 1), counted AS (SELECT window_id, channel, band, k, code, w, count(*) AS c FROM placed GROUP BY ALL), series AS (SELECT window_id, channel, band, k, -sum(CAST(c AS DOUBLE) / w * log2(CAST(c AS DOUBLE) / w)) / 4 AS h FROM counted GROUP BY window_id, channel, band, k HAVING sum(c) = max(w))"
+CODED = f"{EDGES}, w(band, w) AS (VALUES ('cD1', 16), ('cD2', 8), ('cD3', 8), ('cD4', 8), ('cA4', 8)), coded AS (SELECT b.window_id, b.channel, b.band, b.k, len(list_filter(e.edges, lambda x: x <= round(abs(b.coef), 9) + 1e-10)) AS code FROM bands b JOIN edges e USING (channel, band)), placed AS (SELECT a.window_id, a.channel, a.band, a.k, b.code, w.w FROM coded a JOIN w USING (band) JOIN coded b ON a.window_id = b.window_id AND a.channel = b.channel AND a.band = b.band AND b.k BETWEEN a.k AND a.k + w.w - 1), counted AS (SELECT window_id, channel, band, k, code, w, count(*) AS c FROM placed GROUP BY ALL), series AS (SELECT window_id, channel, band, k, -sum(CAST(c AS DOUBLE) / w * log2(CAST(c AS DOUBLE) / w)) / 4 AS h FROM counted GROUP BY window_id, channel, band, k HAVING sum(c) = max(w))"
 
 
 def series_of(spark, d) -> DataFrame:
@@ -364,10 +364,10 @@ def rolling_entropy(spark, d):
     return s.select("window_id", "channel", "band", F.posexplode("h").alias("k", "h")).select("window_id", "channel", "band", F.col("k").cast("long").alias("k"), (digits(F.col("h"), 6) + 0).alias("h"))
 
 
-@query(f"WITH {CODED}, n AS (SELECT window_id, channel, band, max(k) AS m FROM series GROUP BY ALL), p AS (SELECT n.*, t, t * m / 15.0::DOUBLE AS pos FROM n, range(16) r(t)), q AS (SELECT *, CAST(floor(pos) AS BIGINT) AS lo FROM p) SELECT q.window_id, q.channel, q.band, q.t, round(a.h + (b.h - a.h) * (pos - lo), 4) + 0 AS v FROM q JOIN series a ON (a.window_id, a.channel, a.band, a.k) = (q.window_id, q.channel, q.band, lo) JOIN series b ON (b.window_id, b.channel, b.band, b.k) = (q.window_id, q.channel, q.band, least(lo + 1, m))")
+@query(f"WITH {CODED}, n AS (SELECT window_id, channel, band, max(k) AS m FROM series GROUP BY ALL), p AS (SELECT n.*, t, t * m / 15.0::DOUBLE AS pos FROM n, range(16) r(t)), q AS (SELECT *, CAST(floor(pos) AS BIGINT) AS lo FROM p) SELECT q.window_id, q.channel, q.band, q.t, round(a.h + (b.h - a.h) * (pos - lo), 8) + 0 AS v FROM q JOIN series a ON (a.window_id, a.channel, a.band, a.k) = (q.window_id, q.channel, q.band, lo) JOIN series b ON (b.window_id, b.channel, b.band, b.k) = (q.window_id, q.channel, q.band, least(lo + 1, m))")
 def entropy_tensor(spark, d):
     t = series_of(spark, d).select("window_id", "channel", "band", entropy.resampled(F.col("h"), 16).alias("v"))
-    return t.select("window_id", "channel", "band", F.posexplode("v").alias("t", "v")).select("window_id", "channel", "band", F.col("t").cast("long").alias("t"), (digits(F.col("v"), 4) + 0).alias("v"))
+    return t.select("window_id", "channel", "band", F.posexplode("v").alias("t", "v")).select("window_id", "channel", "band", F.col("t").cast("long").alias("t"), (digits(F.col("v"), 8) + 0).alias("v"))
 
 
 @query()
