@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import crc_fold, whole_texts
 
-EDGE = ".,;:!?\"'()[]{}<>«»"
+EDGE = ".,;:!?\"'()[]{}<>«»#$%&*+=~_^|/\\@`-"
+
+#: Between words of windows and dictionaries: two letters, so that short whole words are long enough to match.
+GAP = "  "
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,7 @@ class Scorer:
         w, k = words(text), self.model.window
         gains = []
         for at in range(0, len(w), k):
-            window = f" {' '.join(w[at : at + k])} ".encode()
+            window = f"{GAP}{GAP.join(w[at : at + k])}{GAP}".encode()
             gain = len(self.by_ordinary.compress(window)) - len(self.by_toxic.compress(window))
             if gain >= self.model.least:
                 gains.append(gain)
@@ -66,29 +69,51 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def spread(texts: list[str]) -> dict[str, int]:
-    """For each word, after how many different words it occurs: copies of a passage add nothing."""
-    before: dict[str, set[str]] = defaultdict(set)
-    for text in texts:
-        own = words(text)
-        for a, b in zip(["", *own], own, strict=False):
-            before[b].add(a)
-    return {w: len(x) for w, x in before.items()}
-
+def stems(word: str) -> list[str]:
+    """A word and its beginnings of 5 to 9 letters: inflected forms meet in them."""
+    return [*(word[:k] for k in range(5, min(10, len(word)))), word]
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], share: float = 0.006, ratio: float = 10.0, size: int = 8192) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries: words that spread over one kind of text, the most common last.
 
-    The toxic one has the words that occur in at least ``share`` different places per toxic text, and ``ratio`` times as
-    often as in ordinary ones; the ordinary one has the commonest other words.
+def spread(texts: list[str], among: set[str] | None = None) -> Counter:
+    """For each stem, how many texts hold it between words that mostly weren't beside it before: copies add nothing."""
+    seen: set[int] = set()
+    out: Counter = Counter()
+    for text in texts:
+        own = words(text)
+        places, fresh = Counter(), Counter()
+        for place in {*zip(["", *own], own, [*own[1:], ""], strict=False)}:
+            found = stems(place[1])
+            if among is not None:
+                found = [x for x in found if x in among]
+            places.update(found)
+            key = hash(place)
+            if key not in seen:
+                fresh.update(found)
+                seen.add(key)
+        out.update(w for w, n in fresh.items() if 2 * n >= places[w])
+    return out
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], share: float = 0.03, ratio: float = 10.0, size: int = 8192) -> tuple[bytes, bytes]:
+    """Contents of both dictionaries: stems that spread over one kind of text, the most common last.
+
+    The toxic one has the stems of at least ``share`` of the toxic texts (and of four), ``ratio`` times as often as in
+    ordinary ones; the ordinary one has the commonest other words. Texts count as in ``spread``, so that a long text or
+    a group of copies marks no word by itself. A stem with a longer one nearly as common gives way
+    to it; other longer ones give way to their stem.
     """
-    here, there = spread(toxic), spread(ordinary)
+    here = spread(toxic)
     least = max(4.0, share * len(toxic))
-    marked = sorted((n, w) for w, n in here.items() if n >= least and n / len(toxic) > ratio * (there.get(w, 0) + 0.5) / max(1, len(ordinary)))
-    known = {w for _, w in marked}
-    common = Counter({w: n for w, n in there.items() if w not in known}).most_common(size // 4)
-    join = lambda w: f" {' '.join(w)} ".encode() if w else b""
-    return join([w for _, w in marked])[-size:], join([w for w, _ in reversed(common)])[-size:]
+    often = {w for w, n in here.items() if n >= least}
+    there = spread(ordinary, often)
+    marked = {w: here[w] for w in often if here[w] / len(toxic) > ratio * (there[w] + 0.5) / max(1, len(ordinary))}
+    longer = {x for w, n in marked.items() for x in stems(w)[:-1] if n >= 0.8 * marked.get(x, 0)}
+    kept = sorted((n, w) for w, n in marked.items() if w not in longer and all(n >= 0.8 * marked[x] for x in stems(w)[:-1] if x in marked))
+    usual = Counter(w for t in ordinary for w in set(words(t)) if not any(x in marked for x in stems(w)))
+    common = sorted(usual.items(), key=lambda x: (-x[1], x[0]))[: size // 4]
+    # a mark after a stem ends its match, so that endings alone don't match
+    toxic_part = "".join(f"{GAP}{w}\0" if len(w) > 4 else f"{GAP}{w}{GAP}" for _, w in kept).encode()
+    return toxic_part[-size:], "".join(f"{GAP}{w}" for w, _ in reversed(common)).encode()[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
