@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of a batch on its way to a Python worker (one row may be longer).
+BATCH_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; workers are used again by later stages, beside which it would count."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches bounded by bytes (a setting of the session), and freed memory given back."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(work, schema)
+
 
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text; a null text is the empty text. Other columns are left behind."""

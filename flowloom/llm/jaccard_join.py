@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import whole_texts, written
+from flowloom.llm.common import map_batches, whole_texts, written
 
 SIGNATURES = "doc_id long, fp_high long, fp_low long, n_grams int, sketch binary, paths array<long>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, n: int, width: int, runs: int, branch: int) -> D
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[f.split(" ")[0] for f in SIGNATURES.split(", ")])
 
-    return whole_texts(docs).mapInArrow(run, SIGNATURES)
+    return map_batches(whole_texts(docs), run, SIGNATURES)
 
 
 def split_further(rows: DataFrame, branch: int) -> DataFrame:
@@ -106,7 +106,7 @@ def split_further(rows: DataFrame, branch: int) -> DataFrame:
             rep = np.repeat(batch.column("rep").to_numpy(), branch)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(rep)], names=["node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long").distinct()
+    return map_batches(rows, run, "node long, rep long").distinct()
 
 
 def buckets(reps: DataFrame, branch: int, small: int, levels: int) -> DataFrame:
@@ -168,7 +168,7 @@ def by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
         if columns is not None and len(columns[0]):
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, schema)
+    return map_batches(rows.repartition("cell").sortWithinPartitions("cell", "rep"), run, schema)
 
 
 def first_shared(mine: list[np.ndarray], node: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import mapped, put
-from flowloom.llm.common import crc_fold, shared_dir, whole_texts, written
+from flowloom.llm.common import crc_fold, map_batches, shared_dir, whole_texts, written
 
 END = b""  # no word is empty
 SHARDS = 256
@@ -151,11 +151,11 @@ def count_words(texts: DataFrame, top: str) -> Vocabulary:
             put(f"{top}/words-{k:03d}", [keys, counts])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "size": [len(keys)], "total": [int(counts.sum())]})
 
-    sums = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = map_batches(texts, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shard = (F.shiftright("h", 56) + SHARDS // 2).cast("int")
     dealt = sums.repartition(shard).sortWithinPartitions("h")
     sizes, total = [0] * SHARDS, 0
-    for k, n, t in dealt.mapInArrow(save, "shard int, size long, total long").collect():  # SHARDS rows at most
+    for k, n, t in map_batches(dealt, save, "shard int, size long, total long").collect():  # SHARDS rows at most
         sizes[k] = n
         total += t
     return Vocabulary(top, tuple(sizes), total)
@@ -196,9 +196,9 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary, top: str) -> KneserNey
     first = F.shiftright("k", 32)
     wide = -(-vocabulary.size // SHARDS)
     shard = F.when(first == BEGIN, SHARDS).otherwise(F.floor(first / wide)).cast("int")
-    dealt = texts.mapInArrow(count, "k long, n int").withColumn("shard", shard).repartition("shard")
+    dealt = map_batches(texts, count, "k long, n int").withColumn("shard", shard).repartition("shard")
     sums = dealt.groupBy("shard", "k").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("shard", "k")
-    seen = written(sums.select("k", "n", "shard").mapInArrow(save, "w long, n long, c array<long>"), "continuations")
+    seen = written(map_batches(sums.select("k", "n", "shard"), save, "w long, n long, c array<long>"), "continuations")
     sizes, high = [0] * (SHARDS + 1), np.zeros(4, np.int64)
     for w, n, c in seen.where("w < 0").collect():  # SHARDS + 1 rows at most
         sizes[-1 - w] = n
@@ -206,7 +206,7 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary, top: str) -> KneserNey
     low = seen.where("w >= 0").groupBy("w").agg(F.sum("n").alias("n"))
     low = low.repartition(F.floor(F.col("w") / max(1, wide))).sortWithinPartitions("w")
     total, counts = 0, np.zeros(5, np.int64)
-    for t, c in low.mapInArrow(save_low, "total long, c array<long>").collect():  # SHARDS rows at most
+    for t, c in map_batches(low, save_low, "total long, c array<long>").collect():  # SHARDS rows at most
         total += t
         counts += np.array(c)
     d_high, d_low = discounts(*high.tolist()), discounts(*counts[:4].tolist())
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             base = np.log10((counts + 0.5) / (vocabulary.total + 0.5 * (vocabulary.size + 1)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(logs, begin))], names=[f.split(" ")[0] for f in SCORES.split(", ")])
 
-    return whole_texts(docs).mapInArrow(run, SCORES)
+    return map_batches(whole_texts(docs), run, SCORES)
 
 
 def held_out_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:

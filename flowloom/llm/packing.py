@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.bpe import ChunkStore, PairIndexBpe, by_bytes, slices
-from flowloom.llm.common import whole_texts, written
+from flowloom.llm.common import map_batches, whole_texts, written
 
 #: The split before merging in the word vocabulary (a fixed value of its format), and single white space.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\s""")
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, bat
                         seen[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return whole_texts(docs).mapInArrow(run, PIECES)
+    return map_batches(whole_texts(docs), run, PIECES)
 
 
 def reduced(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -253,7 +253,7 @@ def packed(parts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = parts.join(firsts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import crc_fold, whole_texts
+from flowloom.llm.common import crc_fold, map_batches, whole_texts
 
 EDGE = ".,;:!?\"'()[]{}<>«»#$%&*+=~_^|/\\@`-"
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(texts) if scorer else np.zeros(len(texts)))], names=["doc_id", "score"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, score double")
+    return map_batches(whole_texts(docs), run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5) -> DataFrame:
@@ -181,4 +181,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column(at).to_pylist()]) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
