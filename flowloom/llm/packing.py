@@ -159,14 +159,15 @@ def reduced(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ..
             continue
         if len(low) < 3 or sum(low) > room:
             # at most two items fit: the longest pair that fits against b alone
-            best, hi = 0, len(lengths) - 1
-            for lo, x in enumerate(lengths):
-                while hi >= lo and x + lengths[hi] > room:
+            others = lengths if left[j] > 1 else lengths[:-1]
+            best, hi = 0, len(others) - 1
+            for lo, x in enumerate(others):
+                while hi >= lo and x + others[hi] > room:
                     hi -= 1
                 if hi < lo:
                     break
-                y = lengths[hi]
-                if y == x and left[x] - (x == j) < 2 or y == j and left[j] < 2:
+                y = others[hi]
+                if y == x and left[x] - (x == j) < 2:
                     continue
                 best = max(best, x + y)
             if best <= b:
