@@ -359,8 +359,12 @@ def join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.9999
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its class's least; of rows with the same doc_id one stays."""
+    """The rows of docs, with all columns, whose doc_id is its class's least; of rows with the same doc_id one stays.
+
+    Rows without a doc_id can't be named by a class: all of them stay.
+    """
     stay = joined.where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth").select(*docs.columns)
+    one = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth").select(*docs.columns)
+    return one.unionByName(docs.where("doc_id IS NULL"))
