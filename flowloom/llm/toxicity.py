@@ -116,12 +116,12 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], share: float = 0.0
     return toxic_part[-size:], "".join(f"{GAP}{w}" for w, _ in reversed(common)).encode()[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; row i stands for ``counts[i]`` texts."""
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = sigmoid(x @ beta)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * beta)
+        step = np.linalg.solve((x * (counts * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (counts * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -133,10 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int =
 
     The sample is the rows with the smallest hashes of doc_id. A doc_id with several labels counts as toxic if any is;
     null labels don't count. The threshold (a score of 0.5) is calibrated on each half of the sample with dictionaries
-    from the other half; the final dictionaries are from all of it. Without texts of both labels there is no model
+    from the other half, where a text counts for as many as there are labelled ones for each sampled one of its label, so
+    that the labels' true shares hold; the final dictionaries are from all of it. Without texts of both labels there is no model
     (None), and all texts get the score 0.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_fold("doc_id", folds) != 0)
+    # two rows
+    labelled = dict(marks.groupBy("toxic").count().where("toxic IN (0, 1)").collect())
+    stands_for = {y: max(1.0, n / per_class) for y, n in labelled.items()}
     chosen = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (1, 0)]
     # at most 2 * per_class ids
     sample = whole_texts(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int =
         x += [scorer.features(t) for t, _ in own]
         y += [float(v) for _, v in own]
     toxic, ordinary = train_dictionaries(texts[1], texts[0])
-    return ToxicityModel(toxic, ordinary, window, least, tuple(logistic(np.array(x), np.array(y)).tolist()))
+    return ToxicityModel(toxic, ordinary, window, least, tuple(logistic(np.array(x), np.array(y), np.array([stands_for[int(v)] for v in y])).tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:

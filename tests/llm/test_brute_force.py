@@ -190,6 +190,19 @@ def test_counts_and_labels_edges(spark):
     assert toxicity.without_toxic(df, None).count() == 4
 
 
+def test_toxicity_keeps_the_labels_shares(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        toxic = int(rng.random() < 0.1)
+        rows.append((i, " ".join([*rng.choice(words, 40), *(["grumblefish"] if rng.random() < (0.8 if toxic else 0.04) else [])]), toxic))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4).cache()
+    model = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"), per_class=90)
+    mean = toxicity.score(data, model).groupBy().avg("score").first()[0]
+    assert abs(mean - sum(t for *_, t in rows) / len(rows)) < 0.05
+
+
 def test_documents_without_id_stay(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 2), (1, "a b c d e f", 3), (2, "a b c d e f", 4)], "doc_id long, text string, class_id int")
     kept = jaccard_join.one_of_each(df, jaccard_join.join(df)).collect()
