@@ -121,8 +121,9 @@ def improved(around: DataFrame, vectors: Vectors, degree: int, sample: int, turn
         others = np.unique(np.concatenate(held))
         others = others[others != node]
         if len(others) > degree:
-            sims = vectors.even(others) @ vectors.even(np.array([node]))[0]
-            others = others[np.argpartition(-sims, degree)[:degree]]
+            # row by row, so that a pair's product is the same in each round; ties go to the smaller number
+            sims = np.einsum("ij,j->i", vectors.even(others), vectors.even(np.array([node]))[0])
+            others = others[np.lexsort((others, -sims))[:degree]]
         return others
 
     def table(found):
@@ -131,15 +132,41 @@ def improved(around: DataFrame, vectors: Vectors, degree: int, sample: int, turn
     return told.repartition("u").sortWithinPartitions("u").mapInArrow(best, "v long, near array<long>")
 
 
-def build(nodes: DataFrame, vectors: Vectors, degree: int, rounds: int, sample: int) -> DataFrame:
-    """(v, near) of all nodes: from random neighbours, ``rounds`` times the best of their neighbours' neighbours."""
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """The share of neighbours in ``after`` that weren't neighbours of the same node in ``before``."""
+    new = F.size(F.array_except("near", F.coalesce("was", F.array().cast("array<long>"))))
+    both = after.join(before.select("v", F.col("near").alias("was")), "v", "left")
+    fresh, total = both.agg(F.sum(new), F.sum(F.size("near"))).first()
+    return fresh / total if total else 0.0
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more, so that rounds don't add up on disk."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def build(nodes: DataFrame, vectors: Vectors, degree: int, rounds: int, sample: int, settled: float) -> DataFrame:
+    """(v, near) of all nodes: from random neighbours, again and again the best of their neighbours' neighbours.
+
+    Ends after the first round, from the ``rounds``-th on, that changes at most a share ``settled`` of all neighbours.
+    Nodes only ever get better neighbours, by a total order, so there is such a round.
+    """
     n = vectors.count
     start = [F.pmod(F.xxhash64("number", F.lit(j)), F.lit(n)) for j in range(degree)]
-    graph = nodes.select(F.col("number").alias("v"), F.filter(F.array_distinct(F.array(*start)), lambda w: w != F.col("number")).alias("near"))
-    for turn in range(rounds):
-        graph = written(graph, "graph")
-        graph = improved(written(both_ways(graph, degree, turn), "around"), vectors, degree, sample, turn)
-    return both_ways(written(graph, "graph"), degree, rounds)
+    graph = written(nodes.select(F.col("number").alias("v"), F.filter(F.array_distinct(F.array(*start)), lambda w: w != F.col("number")).alias("near")), "graph")
+    turn, share = 0, 1.0
+    while turn < rounds or share > settled:
+        before, around = graph, written(both_ways(graph, degree, turn), "around")
+        graph = written(improved(around, vectors, degree, sample, turn), "graph")
+        turn += 1
+        if turn >= rounds:
+            share = changed(before, graph)
+        drop(before)
+        drop(around)
+    return both_ways(graph, degree, turn)
 
 
 SHARD = 1 << 16
@@ -193,7 +220,7 @@ def walk(x: np.ndarray, start: int, vectors: Vectors, top: str, width: int, beam
     return best
 
 
-def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, rounds: int = 4, sample: int = 16, beam: int = 768) -> DataFrame:
+def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, rounds: int = 4, sample: int = 16, beam: int = 768, settled: float = 0.01) -> DataFrame:
     """query_id, rank, vec_id and score: for each vec_id divisible by ``every`` the ``k`` nearest other rows found.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id; a query with fewer candidates gets
@@ -218,7 +245,7 @@ def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, roun
     top = shared_dir(spark)
     nodes, firsts = numbered(members.where("nth = 1").select("a", "b", "v"), top, dim, kind)
     vectors = Vectors(top, firsts, dim, most, kind)
-    saved_graph(build(nodes, vectors, degree, rounds, sample), top, 2 * degree)
+    saved_graph(build(nodes, vectors, degree, rounds, sample, settled), top, 2 * degree)
 
     def find(batches):
         for batch in batches:

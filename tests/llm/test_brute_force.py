@@ -37,6 +37,19 @@ def test_nearest_neighbours(spark):
     assert nn_descent.search(df.where("vec_id < 0")).count() == 0
 
 
+def test_graph_rounds_go_on_until_it_settles(spark, monkeypatch):
+    rounds, improved = [], nn_descent.improved
+    monkeypatch.setattr(nn_descent, "improved", lambda *a: rounds.append(a[-1]) or improved(*a))
+    vectors = np.random.default_rng(5).normal(size=(800, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nn_descent.search(df, every=50, rounds=1, beam=64).collect()}
+    assert len(rounds) > 1  # one round from random neighbours settles nothing
+    sims = vectors[::50] @ vectors.T
+    sims[np.arange(16), np.arange(0, 800, 50)] = -np.inf
+    want = {(50 * q, int(v)) for q, row in enumerate(np.argsort(-sims, axis=1)[:, :20]) for v in row}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def plain_classes(texts, n=5, least=0.8):
     def grams(t):
         w = (t or "").lower().split()
