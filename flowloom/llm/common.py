@@ -23,7 +23,10 @@ def give_back() -> None:
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), in batches bounded by bytes (a setting of the session), and freed memory given back."""
+    """df.mapInArrow(run, schema), in batches bounded by bytes (a setting of the session), and freed memory given back.
+
+    All operators go through here, so their batches never depend on which of them ran before.
+    """
 
     def work(batches):
         try:
@@ -60,7 +63,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more, so that they don't add up on disk."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def crc_fold(column: str = "doc_id", folds: int = 5):

@@ -2,11 +2,13 @@
 
 Each text is the set of its word n-grams, embedded as ``width`` minima of hash functions ("tokens": a position and its
 minimum). A run splits all sets recursively: at each node it samples ``branch`` positions, and sets that share the token
-there go on together. Buckets of one set end; small buckets, and those still large at the last level, are compared.
+there go on together. Buckets of one set end; small buckets, those whose sets are alike on the whole (further splits
+wouldn't part them, Christiani, Pagh and Sivertsen 2018), and those still large at the last level, are compared.
 Runs are repeated until the chance to miss a link at the least similarity is below ``1 - recall``.
 
 Comparing counts each link in one bucket only (the first that both sets share), so no pair leaves its task: a task emits
-for each set its number of links and one edge of a spanning forest. Large buckets are dealt as pairs of blocks.
+for each set its number of links and one edge of a spanning forest. A bucket beyond a task's bounds (sets, n-grams) is
+dealt as pairs of blocks. Exact counts of links compare the different sets of a bucket with each other; equal sets are one.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import map_batches, whole_texts, written
+from flowloom.llm.common import drop, map_batches, whole_texts, written
 
-SIGNATURES = "doc_id long, fp_high long, fp_low long, n_grams int, sketch binary, paths array<long>"
+SIGNATURES = "doc_id long, text_1 long, text_2 long, fp_high long, fp_low long, n_grams int, sketch binary, paths array<long>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +78,9 @@ def children(node: np.ndarray, tokens: np.ndarray, branch: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, width: int, runs: int, branch: int) -> DataFrame:
-    """Per document: a 128-bit digest of its set, its size, its tokens (32 bits each) and its nodes after one split."""
+    """Per document: two hashes of its text, a 128-bit digest of its set, its size, its tokens (32 bits each) and its
+    nodes after one split.
+    """
     roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def run(batches):
@@ -89,9 +93,15 @@ def signatures(docs: DataFrame, n: int, width: int, runs: int, branch: int) -> D
                 paths = children(roots, np.broadcast_to(low, (runs, width)), branch).view(np.int64).ravel() if len(grams) else np.zeros(0, np.int64)
                 rows.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), len(grams), (low >> np.uint64(32)).astype(np.uint32).tobytes(), np.unique(paths)))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[f.split(" ")[0] for f in SIGNATURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_1", "text_2")), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[f.split(" ")[0] for f in SIGNATURES.split(", ")])
+
+    return map_batches(keyed(whole_texts(docs)).select("doc_id", "text_1", "text_2", "text"), run, SIGNATURES)
+
 
-    return map_batches(whole_texts(docs), run, SIGNATURES)
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds text_1 and text_2, which name a text by 128 bits; a null text is the empty one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"text_1": F.xxhash64(text), "text_2": F.xxhash64(F.lit(1), text)})
 
 
 def split_further(rows: DataFrame, branch: int) -> DataFrame:
@@ -109,34 +119,60 @@ def split_further(rows: DataFrame, branch: int) -> DataFrame:
     return map_batches(rows, run, "node long, rep long").distinct()
 
 
-def buckets(reps: DataFrame, branch: int, small: int, levels: int) -> DataFrame:
-    """(node, rep): buckets of at least two sets, small ones or those of the last level."""
+def alike(big: DataFrame, sketches: DataFrame, mean: float, sample: int = 16) -> DataFrame:
+    """(node): nodes whose sets share at least ``mean`` of their tokens on average, by a sample of pairs of each node."""
+    first = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
+    some = big.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("node", "rep")
+    gathered = some.join(sketches, "rep").groupBy("node").agg(F.collect_list("sketch").alias("sketches"))
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for node, own in zip(batch.column("node").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
+                tokens = np.frombuffer(b"".join(own), np.uint32).reshape(len(own), -1)
+                if np.average([(tokens[:k] == tokens[k]).mean() for k in range(1, len(tokens))], weights=range(1, len(tokens))) >= mean:
+                    kept.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["node"])
+
+    return map_batches(gathered, run, "node long")
+
+
+def buckets(reps: DataFrame, branch: int, small: int, levels: int, mean: float) -> DataFrame:
+    """(node, rep): buckets of at least two sets: small ones, those of sets alike, or those of the last level."""
     sketches = reps.select("rep", "sketch")
-    live, done = reps.select(F.explode("paths").alias("node"), "rep"), None
+    live, done, leaves = reps.select(F.explode("paths").alias("node"), "rep"), None, []
     for level in range(levels):
         sizes = live.groupBy("node").count().where("count > 1")
-        last = level == levels - 1
-        leaf = live.join(sizes if last else sizes.where(F.col("count") <= small), "node").select("node", "rep")
-        done = leaf if done is None else done.unionByName(leaf)
-        if last:
-            break
-        big = written(live.join(sizes.where(F.col("count") > small), "node").select("node", "rep"), "large")
-        if big.isEmpty():
+        sized = written(live.join(sizes, "node").select("node", "rep", "count"), "sized")
+        if level:
+            drop(live)
+        big = sized.where(F.col("count") > small).select("node", "rep")
+        if level == levels - 1 or big.isEmpty():
+            leaves.append(sized.select("node", "rep"))
             break
-        live = written(split_further(big.join(sketches, "rep"), branch), "split")
-    return done
+        dense = written(alike(big, sketches, mean), "alike")
+        ended = sized.where(F.col("count") <= small).select("node", "rep").unionByName(big.join(dense, "node", "left_semi"))
+        leaves.append(written(ended, "ended"))
+        live = written(split_further(big.join(dense, "node", "left_anti").join(sketches, "rep"), branch), "split")
+        drop(sized, dense)
+    for leaf in leaves:
+        done = leaf if done is None else done.unionByName(leaf)
+    out = written(done, "buckets")
+    drop(*leaves)
+    return out
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(cell, left, rep, ...): each bucket's sets in pairs of blocks of about ``size``; left: the set's block is the pair's first.
+def blocks(rows: DataFrame, size: int, grams: int) -> DataFrame:
+    """(cell, left, same, ...): each bucket's sets in pairs of blocks of about ``size`` sets and ``grams`` n-grams.
 
-    A bucket of up to ``size`` sets is one cell. Of a larger one, each set goes to as many cells as there are blocks.
+    left: the set's block is the pair's first; same: the pair is one block with itself. A bucket within both bounds is one
+    cell. Of a larger one, each set goes to as many cells as there are blocks, so that every pair of sets meets.
     """
-    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    sizes = rows.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / size, F.sum("n_grams") / grams)).cast("int").alias("parts"))
     own = rows.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    return own.select("*", other).select("node", F.xxhash64("node", low, high).alias("cell"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("same"), *[c for c in rows.columns if c != "node"])
+    return own.select("*", other).select("node", F.xxhash64("node", low, high).alias("cell"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("same"), *[c for c in rows.columns if c not in ("node", "n_grams")])
 
 
 def by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -231,10 +267,17 @@ def candidate_rows(rows: DataFrame, least: float) -> DataFrame:
             fresh = seen[mine] @ seen[second].T == 0
             if not fresh.any():
                 continue
+            fresh &= mine[:, None] != second[None, :]
+            i, j = np.nonzero(fresh)
+            if 8 * len(i) < fresh.size:  # few pairs aren't counted in another bucket
+                ok = np.concatenate([(tokens[mine[i[k : k + 65536]]] == tokens[second[j[k : k + 65536]]]).sum(axis=1) >= need for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+                hit[mine[i[ok]]] = True
+                hit[second[j[ok]]] = True
+                continue
             equal = np.zeros((len(mine), len(second)), np.int16)
             for k in range(width):
                 equal += tokens[mine, k][:, None] == tokens[second, k][None, :]
-            ok = fresh & (equal >= need) & (mine[:, None] != second[None, :])
+            ok = fresh & (equal >= need)
             hit[mine] |= ok.any(axis=1)
             hit[second] |= ok.any(axis=0)
         kept = table.filter(pa.array(hit)).select(["cell", "left", "same", "node", "rep", "nodes"])
@@ -297,13 +340,14 @@ def verified(rows: DataFrame, n: int, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(rep, root): the least set of each set's component, by alternating large and small stars until nothing changes.
+    """(rep, root): the least set of each set's component, by alternating large and small stars until no edge changes.
 
-    edges: (rep, other), only of sets with a link. Each round is written to the shared folder.
+    edges: (rep, other), only of sets with a link. Each round is written to the shared folder and the one before it
+    deleted. A set with very many edges is one key of the joins; its rows hold two numbers, and adaptive execution splits
+    its partition.
     """
     both = lambda e: e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
     now = written(edges.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
     while True:
         near = both(now)
         low = near.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
@@ -311,11 +355,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("b", "m", "a")
         stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(stars, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == before:
+        before, now = now, written(stars, "edges")
+        settled = now.join(before, ["a", "b"], "left_anti").isEmpty() and before.join(now, ["a", "b"], "left_anti").isEmpty()
+        drop(before)
+        if settled:
             return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("rep"), "root")
-        before = state
 
 
 def runs_for(recall: float, least: float, branch: int, levels: int) -> int:
@@ -328,43 +372,63 @@ def runs_for(recall: float, least: float, branch: int, levels: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-def join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.99999, width: int = 64, branch: int = 2, levels: int = 6, small: int = 96, block: int = 1024) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document.
+def classes(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.99999, width: int = 64, branch: int = 2, levels: int = 6, small: int = 96, block: int = 2048, grams: int = 1 << 21) -> DataFrame:
+    """doc_id, text_1, text_2 (hashes of the text), class_no, class_id, n_links and n_copies of every row of docs.
 
-    class_id: the least doc_id that exact copies (equal sets of n-grams) and links (Jaccard similarity of at least ``least``)
-    connect it with. n_links: the number of different sets it is linked with. n_copies: documents with its set. Texts are
-    whole; null and empty texts, and such without words, have no set: each is a class of its own, without links. Texts of
-    fewer than n words are one gram. Repeated rows are copies; an empty table gives an empty one; other columns are left out.
+    class_no numbers the classes; rows without words have none. Otherwise as ``join`` says.
     """
     sig = written(signatures(docs, n, width, runs_for(recall, least, branch, levels), branch), "signatures")
-    sets = sig.where("n_grams > 0")
-    # copies meet as one row each: the least doc_id stands for its set
-    groups = sets.groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    groups = written(groups, "groups")
-    reps = sets.join(groups.select("rep"), sets["doc_id"] == groups["rep"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    reps = written(reps.select("rep", "sketch", "paths"), "reps")
-    rows = written(buckets(reps, branch, small, levels), "buckets")
+    # copies meet as one row each
+    sets = sig.where("n_grams > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.min(F.struct("text_1", "text_2")).alias("text"), F.first("n_grams").alias("n_grams"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    reps = written(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    rows = buckets(reps, branch, small, levels, least / 2)
     nodes = rows.groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    with_tokens = rows.join(nodes, "rep").join(reps.select("rep", "sketch"), "rep")
-    found = written(candidate_rows(blocks(with_tokens, block), least), "candidates")
-    wanted = found.select("rep").distinct()
-    texts = whole_texts(docs).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    links = written(verified(found.join(texts, found["rep"] == texts["doc_id"]).drop("doc_id"), n, least), "links")
+    about = reps.select("rep", "sketch", "n_grams").join(nodes, "rep")
+    found = written(candidate_rows(blocks(rows.join(about, "rep"), block, grams), least), "candidates")
+    drop(rows)
+    wanted = reps.join(found.select("rep").distinct(), "rep", "left_semi").select("rep", "text.*")
+    # one text of each name, combined before the shuffle; always this join, so that all sizes behave alike
+    texts = keyed(whole_texts(docs)).groupBy("text_1", "text_2").agg(F.first("text").alias("text"))
+    texts = texts.join(wanted.hint("merge"), ["text_1", "text_2"]).select("rep", "text")
+    links = written(verified(found.join(texts.hint("merge"), "rep"), n, least), "links")
+    drop(found)
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(links.select("rep", "other"))
-    known = groups.join(counts, "rep", "left").join(roots, "rep", "left").select("fp_high", "fp_low", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    some = sets.select("doc_id", "fp_high", "fp_low").join(known, ["fp_high", "fp_low"]).select("doc_id", "class_id", "n_links", "n_copies")
-    none = sig.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    known = reps.select("rep", "fp_high", "fp_low", "least", "n_copies").join(counts, "rep", "left").join(roots, "rep", "left").withColumn("class_no", F.coalesce("root", "rep"))
+    known = written(known.select("class_no", "fp_high", "fp_low", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "known")
+    drop(links, reps)
+    named = known.join(known.groupBy("class_no").agg(F.min("least").alias("class_id")), "class_no").drop("least")
+    some = sig.where("n_grams > 0").select("doc_id", "text_1", "text_2", "fp_high", "fp_low").join(named, ["fp_high", "fp_low"]).select("doc_id", "text_1", "text_2", "class_no", "class_id", "n_links", "n_copies")
+    none = sig.where("n_grams = 0").select("doc_id", "text_1", "text_2", F.lit(None).cast("long").alias("class_no"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.unionByName(none)
 
 
-def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its class's least; of rows with the same doc_id one stays.
+def join(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every document; the settings are those of ``classes``.
+
+    class_id: the least doc_id that exact copies (equal sets of n-grams) and links (Jaccard similarity of at least ``least``)
+    connect it with. n_links: the number of different sets it is linked with. n_copies: documents with its set. Texts are
+    whole; null and empty texts, and such without words, have no set: each is a class of its own, without links. Texts of
+    fewer than n words are one gram. Repeated rows are copies; different texts under one doc_id are different sets; rows
+    without a doc_id take part and name no class (class_id is null if all of a class are such). An empty table gives an
+    empty one; other columns are left out.
+    """
+    return classes(docs, **settings).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that stand for their class in ``found`` (of ``classes``): one row each.
 
-    Rows without a doc_id can't be named by a class: all of them stay.
+    It is the row with the least doc_id; rows without one come last, and of several with equal doc_id and text one stays.
+    Rows without words are copies of nothing: all of them stay.
     """
-    stay = joined.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    one = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_1", "text_2")
+    stay = found.where("class_no IS NOT NULL").groupBy("class_no").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_1").alias("__1"), F.col("x.text_2").alias("__2")).distinct()
+    wordless = found.where("class_no IS NULL").select("text_1", "text_2").distinct().select(F.col("text_1").alias("__1"), F.col("text_2").alias("__2"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
+    same = (F.col("__a") == F.col("__1")) & (F.col("__b") == F.col("__2"))
+    kept = own.join(stay.hint("merge"), same & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    first = Window.partitionBy("__a", "__b", "doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+    return one.unionByName(own.join(wordless, same, "left_semi").select(*docs.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import mapped, put
-from flowloom.llm.common import shared_dir, written
+from flowloom.llm.common import drop, map_batches, shared_dir, written
 
 
 def usable(vector: Column) -> Column:
@@ -140,14 +140,6 @@ def changed(before: DataFrame, after: DataFrame) -> float:
     return fresh / total if total else 0.0
 
 
-def drop(table: DataFrame) -> None:
-    """Deletes a table that ``written`` made and nothing reads any more, so that rounds don't add up on disk."""
-    spark = table.sparkSession
-    for file in table.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def build(nodes: DataFrame, vectors: Vectors, degree: int, rounds: int, sample: int, settled: float) -> DataFrame:
     """(v, near) of all nodes: from random neighbours, again and again the best of their neighbours' neighbours.
 

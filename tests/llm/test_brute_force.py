@@ -91,6 +91,52 @@ def test_jaccard_join(spark):
     assert len(again) == len(texts) + 1
 
 
+def test_jaccard_join_of_a_large_group(spark):
+    """2,000 near copies in one group, next to others: every count of links and class as by brute force."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for _ in range(2000):
+        own = list(base)
+        for at in rng.integers(0, 70, rng.integers(0, 5)):
+            own[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"y{k}" for k in rng.integers(0, 3000, 40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(jaccard_join.join(df, block=512, grams=40_000).collect())
+    grams = [jaccard_join.gram_hashes(t, 5) for t in texts]
+    distinct = sorted({g.tobytes() for g in grams})
+    at = {g: k for k, g in enumerate(distinct)}
+    names = {x: k for k, x in enumerate(np.unique(np.concatenate(grams)).tolist())}
+    seen = np.zeros((len(distinct), len(names)), np.float32)
+    for g in grams:
+        seen[at[g.tobytes()], [names[x] for x in g.tolist()]] = 1
+    shared, size = seen @ seen.T, seen.sum(axis=1)
+    linked = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-6
+    links = linked.sum(axis=1) - 1
+    assert [r.n_links for r in rows] == [int(links[at[g.tobytes()]]) for g in grams]
+    root = np.arange(len(distinct))
+    while True:
+        low = np.where(linked, root[None, :], len(root)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    least: dict = {}
+    for k, g in enumerate(grams):
+        least.setdefault(int(root[at[g.tobytes()]]), k)
+    assert [r.class_id for r in rows] == [least[int(root[at[g.tobytes()]])] for g in grams]
+
+
+def test_one_of_each_class(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a, 1), (1, a, 2), (2, a + " end", 3), (1, b, 4), (1, a, 2), (None, c, 5), (None, c, 5), (None, a, 6), (7, None, 7), (8, "", 8), (7, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_no int")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.class_no) for r in jaccard_join.one_of_each(df, jaccard_join.classes(df)).collect())
+    assert got == sorted([(False, 1, a, 2), (False, 1, b, 4), (True, 0, c, 5), (False, 7, "", 7), (False, 7, "", 7), (False, 8, "", 8)])
+    none = df.where("doc_id > 100")
+    assert jaccard_join.one_of_each(none, jaccard_join.classes(none)).count() == 0
+
+
 def plain_kneser_ney(train, texts):
     """Scores by the definition, with dictionaries."""
     words = lambda t: [*(t or "").encode().lower().split(), b""]
