@@ -372,10 +372,15 @@ def runs_for(recall: float, least: float, branch: int, levels: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-def classes(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.99999, width: int = 64, branch: int = 2, levels: int = 6, small: int = 96, block: int = 2048, grams: int = 1 << 21) -> DataFrame:
-    """doc_id, text_1, text_2 (hashes of the text), class_no, class_id, n_links and n_copies of every row of docs.
+def join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.99999, width: int = 64, branch: int = 2, levels: int = 6, small: int = 96, block: int = 2048, grams: int = 1 << 21) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every document; text_1, text_2 (hashes of the text) and class_no follow.
 
-    class_no numbers the classes; rows without words have none. Otherwise as ``join`` says.
+    class_id: the least doc_id that exact copies (equal sets of n-grams) and links (Jaccard similarity of at least ``least``)
+    connect it with. n_links: the number of different sets it is linked with. n_copies: documents with its set. class_no
+    numbers the classes. Texts are whole; null and empty texts, and such without words, have no set: each is a class of its
+    own, without links or class_no. Texts of fewer than n words are one gram. Repeated rows are copies; different texts under
+    one doc_id are different sets; rows without a doc_id take part and name no class (class_id is null if all of a class
+    are such). An empty table gives an empty one; other columns are left out.
     """
     sig = written(signatures(docs, n, width, runs_for(recall, least, branch, levels), branch), "signatures")
     # copies meet as one row each
@@ -398,37 +403,24 @@ def classes(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.9
     known = written(known.select("class_no", "fp_high", "fp_low", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "known")
     drop(links, reps)
     named = known.join(known.groupBy("class_no").agg(F.min("least").alias("class_id")), "class_no").drop("least")
-    some = sig.where("n_grams > 0").select("doc_id", "text_1", "text_2", "fp_high", "fp_low").join(named, ["fp_high", "fp_low"]).select("doc_id", "text_1", "text_2", "class_no", "class_id", "n_links", "n_copies")
-    none = sig.where("n_grams = 0").select("doc_id", "text_1", "text_2", F.lit(None).cast("long").alias("class_no"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    some = sig.where("n_grams > 0").select("doc_id", "text_1", "text_2", "fp_high", "fp_low").join(named, ["fp_high", "fp_low"]).select("doc_id", "class_id", "n_links", "n_copies", "text_1", "text_2", "class_no")
+    none = sig.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "text_1", "text_2", F.lit(None).cast("long").alias("class_no"))
     return some.unionByName(none)
 
 
-def join(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document; the settings are those of ``classes``.
-
-    class_id: the least doc_id that exact copies (equal sets of n-grams) and links (Jaccard similarity of at least ``least``)
-    connect it with. n_links: the number of different sets it is linked with. n_copies: documents with its set. Texts are
-    whole; null and empty texts, and such without words, have no set: each is a class of its own, without links. Texts of
-    fewer than n words are one gram. Repeated rows are copies; different texts under one doc_id are different sets; rows
-    without a doc_id take part and name no class (class_id is null if all of a class are such). An empty table gives an
-    empty one; other columns are left out.
-    """
-    return classes(docs, **settings).select("doc_id", "class_id", "n_links", "n_copies")
-
-
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that stand for their class in ``found`` (of ``classes``): one row each.
+def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that stand for their class in ``joined``: the one with the least doc_id.
 
-    It is the row with the least doc_id; rows without one come last, and of several with equal doc_id and text one stays.
-    Rows without words are copies of nothing: all of them stay.
+    Of several rows of a class with that doc_id one stays (the texts' hashes decide, then the other columns' hash). Rows
+    without words are copies of nothing, and rows without a doc_id can't be named: all of them stay.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_1", "text_2")
-    stay = found.where("class_no IS NOT NULL").groupBy("class_no").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_1").alias("__1"), F.col("x.text_2").alias("__2")).distinct()
-    wordless = found.where("class_no IS NULL").select("text_1", "text_2").distinct().select(F.col("text_1").alias("__1"), F.col("text_2").alias("__2"))
+    order = F.struct("doc_id", "text_1", "text_2")
+    stay = joined.where("class_no IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_no").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_1").alias("__1"), F.col("x.text_2").alias("__2"))
+    wordless = joined.where("class_no IS NULL").select(F.col("text_1").alias("__1"), F.col("text_2").alias("__2")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
+    own = docs.where("doc_id IS NOT NULL").withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
     same = (F.col("__a") == F.col("__1")) & (F.col("__b") == F.col("__2"))
-    kept = own.join(stay.hint("merge"), same & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    kept = own.join(stay.hint("merge"), same & (F.col("doc_id").cast("long") == F.col("__id")), "left_semi")
     first = Window.partitionBy("__a", "__b", "doc_id").orderBy(F.xxhash64(*docs.columns))
     one = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
-    return one.unionByName(own.join(wordless, same, "left_semi").select(*docs.columns))
+    return one.unionByName(own.join(wordless, same, "left_semi").select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))

@@ -1,8 +1,14 @@
-"""Toxicity by compression distance: windows compressed with a toxic and with an ordinary zstandard dictionary."""
+"""Toxicity by compression distance: windows of text compressed with a dictionary of toxic and with one of ordinary text.
+
+The ordinary dictionary is whole windows of ordinary training texts. The toxic one is trained by zstandard on those windows
+of toxic training texts that compress better with the dictionary trained on the other half's. A text's window gains what it
+is shorter with the toxic dictionary before the ordinary one than with the ordinary one alone; a calibrated logistic
+threshold on a text's gains decides.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,15 +19,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import crc_fold, map_batches, whole_texts
 
-EDGE = ".,;:!?\"'()[]{}<>«»#$%&*+=~_^|/\\@`-"
-
-#: Between words of windows and dictionaries: two letters, so that short whole words are long enough to match.
-GAP = "  "
-
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Two dictionaries, the words of a window and the weights of (1, gains, largest gain, gaining windows, size)."""
+    """Contents of the two dictionaries, the words of a window, the least gain that counts, and the features' weights."""
 
     toxic: bytes
     ordinary: bytes
@@ -30,8 +31,17 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
 
-def words(text: str) -> list[str]:
-    return [w for x in text.lower().split() if (w := x.strip(EDGE))]
+def windows(text: str, size: int) -> list[bytes]:
+    """The whole text in lower case, ``size`` words at a time, with single white space."""
+    w = text.lower().split()
+    return [f" {' '.join(w[at : at + size])} ".encode() for at in range(0, len(w), size)]
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    how = zstandard.ZstdCompressionParameters(window_log=21, hash_log=20, chain_log=20, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=made, compression_params=how)
 
 
 class Scorer:
@@ -39,25 +49,20 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.by_toxic, self.by_ordinary = self.compressor(model.toxic + model.ordinary), self.compressor(model.ordinary)
+        self.by_toxic, self.by_ordinary = compressor(model.toxic + model.ordinary), compressor(model.ordinary)
 
-    @staticmethod
-    def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # the ordinary part stands last in both, so that only the toxic part can make a difference
-        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=6, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
-        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=made, compression_params=how)
+    def gains(self, parts: list[bytes]) -> np.ndarray:
+        """How many bytes shorter each window is with the toxic dictionary."""
+        a, b = self.by_ordinary.compress, self.by_toxic.compress
+        return np.fromiter((len(a(w)) - len(b(w)) for w in parts), float, len(parts))
 
     def features(self, text: str) -> list[float]:
-        w, k = words(text), self.model.window
-        gains = []
-        for at in range(0, len(w), k):
-            window = f"{GAP}{GAP.join(w[at : at + k])}{GAP}".encode()
-            gain = len(self.by_ordinary.compress(window)) - len(self.by_toxic.compress(window))
-            if gain >= self.model.least:
-                gains.append(gain)
-        return [1.0, float(np.log1p(sum(gains))), float(np.log1p(max(gains, default=0))), float(np.log1p(len(gains))), float(np.log1p(len(w)))]
+        """1, the largest gain, the three largest, the sum and number of those that count, the windows, the mean gain."""
+        g = np.sort(self.gains(windows(text, self.model.window)))[::-1]
+        if not len(g):
+            return [1.0, *[0.0] * 6]
+        some = g[g >= self.model.least]
+        return [1.0, float(g[0]) / 10, float(g[:3].sum()) / 30, float(np.log1p(some.sum())), float(np.log1p(len(some))), float(np.log1p(len(g))), float(g.mean())]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -69,51 +74,43 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def stems(word: str) -> list[str]:
-    """A word and its beginnings of 5 to 9 letters: inflected forms meet in them."""
-    return [*(word[:k] for k in range(5, min(10, len(word)))), word]
-
-
-def spread(texts: list[str], among: set[str] | None = None) -> Counter:
-    """For each stem, how many texts hold it between words that mostly weren't beside it before: copies add nothing."""
-    seen: set[int] = set()
-    out: Counter = Counter()
-    for text in texts:
-        own = words(text)
-        places, fresh = Counter(), Counter()
-        for place in {*zip(["", *own], own, [*own[1:], ""], strict=False)}:
-            found = stems(place[1])
-            if among is not None:
-                found = [x for x in found if x in among]
-            places.update(found)
-            key = hash(place)
-            if key not in seen:
-                fresh.update(found)
-                seen.add(key)
-        out.update(w for w, n in fresh.items() if 2 * n >= places[w])
-    return out
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str], share: float = 0.03, ratio: float = 10.0, size: int = 8192) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries: stems that spread over one kind of text, the most common last.
-
-    The toxic one has the stems of at least ``share`` of the toxic texts (and of four), ``ratio`` times as often as in
-    ordinary ones; the ordinary one has the commonest other words. Texts count as in ``spread``, so that a long text or
-    a group of copies marks no word by itself. A stem with a longer one nearly as common gives way
-    to it; other longer ones give way to their stem.
+def trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of some windows; of too few for its training, the windows themselves."""
+    samples = [w for w in samples if len(w) >= 8]
+    try:
+        return zstandard.train_dictionary(size, samples, k=24, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, size: int = 1 << 14, ordinary_bytes: int = 1 << 20, rounds: int = 3, share: float = 0.1, checked: int = 120_000) -> tuple[bytes, bytes]:
+    """Contents of both dictionaries.
+
+    The ordinary one is windows of ordinary texts in random order, up to ``ordinary_bytes`` and half of all. The toxic one
+    is trained on the ``share`` of the toxic texts' windows with the greatest gains, where each half of the texts is
+    measured with the dictionary of the other; this is repeated. Of ``checked`` other ordinary windows, those that gain all
+    the same go before the ordinary dictionary.
     """
-    here = spread(toxic)
-    least = max(4.0, share * len(toxic))
-    often = {w for w, n in here.items() if n >= least}
-    there = spread(ordinary, often)
-    marked = {w: here[w] for w in often if here[w] / len(toxic) > ratio * (there[w] + 0.5) / max(1, len(ordinary))}
-    longer = {x for w, n in marked.items() for x in stems(w)[:-1] if n >= 0.8 * marked.get(x, 0)}
-    kept = sorted((n, w) for w, n in marked.items() if w not in longer and all(n >= 0.8 * marked[x] for x in stems(w)[:-1] if x in marked))
-    usual = Counter(w for t in ordinary for w in set(words(t)) if not any(x in marked for x in stems(w)))
-    common = sorted(usual.items(), key=lambda x: (-x[1], x[0]))[: size // 4]
-    # a mark after a stem ends its match, so that endings alone don't match
-    toxic_part = "".join(f"{GAP}{w}\0" if len(w) > 4 else f"{GAP}{w}{GAP}" for _, w in kept).encode()
-    return toxic_part[-size:], "".join(f"{GAP}{w}" for w, _ in reversed(common)).encode()[-size:]
+    plain = sorted({w for t in ordinary for w in windows(t, window)})
+    random.Random(1).shuffle(plain)
+    ends = np.cumsum([len(w) for w in plain]) if plain else np.zeros(0)
+    cut = min(len(plain) - len(plain) // 2, int(np.searchsorted(ends, ordinary_bytes)) + 1)
+    usual, others = b"".join(plain[:cut]), plain[cut : cut + checked]
+    halves = [[w for t in toxic[h::2] for w in dict.fromkeys(windows(t, window))] for h in (0, 1)]
+    chosen = halves
+    for _ in range(rounds):
+        known = [trained(c, size) for c in chosen]
+        better = []
+        for h in (0, 1):
+            gain = Scorer(ToxicityModel(known[1 - h], usual, window, 0, ())).gains(halves[h])
+            least = max(2.0, float(np.quantile(gain, 1 - share))) if len(gain) else 2.0
+            better.append([w for w, x in zip(halves[h], gain, strict=True) if x >= least])
+        if not all(better):
+            break
+        chosen = better
+    marked = trained(chosen[0] + chosen[1], size)
+    gain = Scorer(ToxicityModel(marked, usual, window, 0, ())).gains(others)
+    return marked, b"".join([w for w, x in zip(others, gain, strict=True) if x >= 2]) + usual
 
 
 def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -128,14 +125,15 @@ def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 5, window: int = 8, least: int = 3) -> ToxicityModel | None:
-    """Trains on at most ``per_class`` labelled texts of each label, outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 1 << 15, folds: int = 5, window: int = 8, least: int = 4) -> ToxicityModel | None:
+    """Trains on at most ``per_class`` labelled texts of each label and of at most ``longest`` bytes, outside the held-out fold.
 
-    The sample is the rows with the smallest hashes of doc_id. A doc_id with several labels counts as toxic if any is;
-    null labels don't count. The threshold (a score of 0.5) is calibrated on each half of the sample with dictionaries
-    from the other half, where a text counts for as many as there are labelled ones for each sampled one of its label, so
-    that the labels' true shares hold; the final dictionaries are from all of it. Without texts of both labels there is no model
-    (None), and all texts get the score 0.
+    The sample is the rows with the smallest hashes of doc_id, one for each doc_id, so what reaches the driver is bounded by
+    2 * per_class * longest bytes. A doc_id with several labels counts as toxic if any is; null labels don't count. The
+    threshold (a score of 0.5) is calibrated on each half of the sample with dictionaries from the other half, where a text
+    counts for as many as there are labelled ones for each sampled one of its label, so that the labels' true shares hold;
+    the final dictionaries are from all of it. Null and empty texts have no windows. Without texts of both labels there is no
+    model (None), and all texts get the score 0.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_fold("doc_id", folds) != 0)
     # two rows
@@ -143,19 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int =
     stands_for = {y: max(1.0, n / per_class) for y, n in labelled.items()}
     chosen = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (1, 0)]
     # at most 2 * per_class ids
-    sample = whole_texts(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))
-    rows = sorted(sample.collect())
+    sample = whole_texts(docs).where(F.octet_length("text") <= longest).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(sample.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")).collect())
     texts = {y: [t for _, t, v, _ in rows if v == y] for y in (1, 0)}
     if not all(texts.values()):
         return None
     x, y = [], []
     for half in (0, 1):
-        toxic, ordinary = train_dictionaries(*([t for _, t, v, h in rows if v == y and h != half] or texts[y] for y in (1, 0)))
+        toxic, ordinary = train_dictionaries(*([t for _, t, v, h in rows if v == y and h != half] or texts[y] for y in (1, 0)), window)
         scorer = Scorer(ToxicityModel(toxic, ordinary, window, least, ()))
         own = [(t, v) for _, t, v, h in rows if h == half]
         x += [scorer.features(t) for t, _ in own]
         y += [float(v) for _, v in own]
-    toxic, ordinary = train_dictionaries(texts[1], texts[0])
+    toxic, ordinary = train_dictionaries(texts[1], texts[0], window)
     return ToxicityModel(toxic, ordinary, window, least, tuple(logistic(np.array(x), np.array(y), np.array([stands_for[int(v)] for v in y])).tolist()))
 
 
@@ -175,7 +173,10 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, whole and with all their columns, whose score is below the threshold. No shuffle."""
+    """The rows of docs, whole and with all their columns, whose score is below the threshold. No shuffle.
+
+    Null texts are scored as empty ones; without a model all rows stay; an empty table gives an empty one.
+    """
     if model is None:
         return docs
     schema, at = docs.schema, docs.columns.index("text")

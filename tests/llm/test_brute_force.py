@@ -131,10 +131,10 @@ def test_one_of_each_class(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(3, a, 1), (1, a, 2), (2, a + " end", 3), (1, b, 4), (1, a, 2), (None, c, 5), (None, c, 5), (None, a, 6), (7, None, 7), (8, "", 8), (7, None, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_no int")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.class_no) for r in jaccard_join.one_of_each(df, jaccard_join.classes(df)).collect())
-    assert got == sorted([(False, 1, a, 2), (False, 1, b, 4), (True, 0, c, 5), (False, 7, "", 7), (False, 7, "", 7), (False, 8, "", 8)])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.class_no) for r in jaccard_join.one_of_each(df, jaccard_join.join(df)).collect())
+    assert got == sorted([(False, 1, a, 2), (False, 1, b, 4), (True, 0, c, 5), (True, 0, c, 5), (True, 0, a, 6), (False, 7, "", 7), (False, 7, "", 7), (False, 8, "", 8)])
     none = df.where("doc_id > 100")
-    assert jaccard_join.one_of_each(none, jaccard_join.classes(none)).count() == 0
+    assert jaccard_join.one_of_each(none, jaccard_join.join(none)).count() == 0
 
 
 def plain_kneser_ney(train, texts):
@@ -266,3 +266,51 @@ def test_documents_without_id_stay(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 2), (1, "a b c d e f", 3), (2, "a b c d e f", 4)], "doc_id long, text string, class_id int")
     kept = jaccard_join.one_of_each(df, jaccard_join.join(df)).collect()
     assert sorted(r.class_id for r in kept) == [1, 2, 3]
+
+
+def test_toxicity_scores_are_those_of_plain_windows(spark):
+    """Scores from each window compressed by itself, by the definition; repeated, null, empty and long texts."""
+    import zstandard
+
+    model = toxicity.ToxicityModel(b" you grumblefish and snarkweed ", b" the dog ran to a house in the green forest ", 3, 2, (-1.0, 0.5, 0.3, 0.2, 0.1, -0.2, 0.4))
+    long = "the dog snarkweed ran to a grumblefish in " * 3000
+    texts = [None, "", " ", "The  dog\nran to a HOUSE", "you grumblefish and snarkweed", long, long]
+    df = spark.createDataFrame([(i, t, 0.5, "x") for i, t in enumerate(texts)] + [(None, "the dog", 0.1, "y")], "doc_id long, text string, score double, held_out string")
+
+    def size(window, content):
+        how = zstandard.ZstdCompressionParameters(window_log=21, hash_log=20, chain_log=20, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(window))
+
+    def plain(text):
+        words = (text or "").lower().split()
+        gains = sorted((size(w, model.ordinary) - size(w, model.toxic + model.ordinary) for at in range(0, len(words), 3) for w in [(" " + " ".join(words[at : at + 3]) + " ").encode()]), reverse=True)
+        some = [g for g in gains if g >= 2]
+        x = [1, gains[0] / 10, sum(gains[:3]) / 30, math.log1p(sum(some)), math.log1p(len(some)), math.log1p(len(gains)), sum(gains) / len(gains)] if gains else [1, *[0] * 6]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    rows = toxicity.score(df, model).collect()
+    assert len(rows) == len(df.collect())
+    short = {t: plain(t) for t in [*texts[:5], "the dog"]}
+    for r in rows:
+        t = "the dog" if r.doc_id is None else texts[r.doc_id]
+        if t != long:
+            assert abs(r.score - short[t]) < 1e-9
+    few = "the dog snarkweed ran to a grumblefish in " * 20
+    assert abs(toxicity.score(spark.createDataFrame([(1, few)], "doc_id long, text string"), model).first().score - plain(few)) < 1e-9
+    kept = toxicity.without_toxic(df, model)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [r.doc_id for r in sorted(rows, key=lambda r: r.doc_id or 0) if r.doc_id is not None and r.score < 0.5]
+    none = df.where("doc_id > 100")
+    assert toxicity.score(none, model).count() == 0 and toxicity.without_toxic(none, model).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids and long texts don't reach the driver beyond the bounds."""
+    seen = []
+    plain = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda a, b, *more: seen.append((a, b)) or plain(a, b, *more))
+    rows = [(i % 20, f"w{i} word" if i % 7 else "long " * 100) for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, per_class=3, longest=100)
+    assert seen and all(len(a) <= 3 and len(b) <= 3 and max(map(len, a + b)) <= 100 for a, b in seen)
