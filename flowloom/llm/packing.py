@@ -115,24 +115,51 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, bat
 def reduced(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Bins that some best packing has, with how often, and the counts that remain (Martello and Toth, 1990).
 
-    For the longest item: if nothing fits beside it, it is alone. Let b be the longest item that fits beside it.
-    If b fills the bin, or no two items fit beside it, {longest, b} dominates all other bins with the longest.
-    If at most two items fit beside it, and no two that fit are longer than b together, so it does too; if the
-    only two that fit are the two shortest, and they're longer than b, those three do unless b could replace one.
+    Each item is tried, longest first; one without a dominating bin is passed over, and all are tried again until nothing
+    changes. If nothing fits beside an item, it is alone. Let b be the longest that fits beside it. {item, b} dominates all
+    bins with the item if b fills the bin or no two items fit beside it. If at most two fit beside it, let q be the longest
+    that fits beside both, if any: {item, b, q} does so if no two others that fit are both longer than q and together longer
+    than b (each other pair then fits into b and q, or into b alone).
     """
     left = {k: n for k, n in counts.items() if n}
     lengths = sorted(left)
     fixed: list[tuple[tuple[int, ...], int]] = []
 
+    def has(x: int, *without: int) -> int:
+        return left.get(x, 0) - without.count(x)
+
     def shortest(k: int, without: int) -> list[int]:
         """The k shortest items beside one of the given length."""
         out: list[int] = []
         for x in lengths:
-            out += [x] * min(k - len(out), left[x] - (x == without))
+            out += [x] * min(k - len(out), has(x, without))
             if len(out) == k:
                 break
         return out
 
+    def longest(room: int, *without: int) -> int:
+        """The longest item of at most ``room`` beside others; 0 without one."""
+        at = bisect.bisect_right(lengths, room) - 1
+        while at >= 0 and has(lengths[at], *without) < 1:
+            at -= 1
+        return lengths[at] if at >= 0 else 0
+
+    def pair(room: int, above: int, j: int) -> int:
+        """The most that two items longer than ``above`` fill of ``room`` beside j; 0 without two."""
+        best, hi = 0, len(lengths) - 1
+        for lo in range(bisect.bisect_right(lengths, above), len(lengths)):
+            x = lengths[lo]
+            while hi >= lo and x + lengths[hi] > room:
+                hi -= 1
+            if hi < lo:
+                break
+            at = hi
+            while at >= lo and (has(lengths[at], j) < 1 or at == lo and has(x, j) < 2):
+                at -= 1
+            if at >= lo and has(x, j) >= 1:
+                best = max(best, x + lengths[at])
+        return best
+
     def take(content: tuple[int, ...], times: int) -> None:
         fixed.append((content, times))
         for x in set(content):
@@ -141,39 +168,31 @@ def reduced(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ..
                 del left[x]
                 del lengths[bisect.bisect_left(lengths, x)]
 
-    while lengths:
-        j = lengths[-1]
+    def bin_of(j: int) -> tuple[tuple[int, ...], bool] | None:
+        """A bin that dominates all others with j, and whether that holds as long as its items last."""
         room = size - j
         low = shortest(3, j)
         if not low or low[0] > room:
-            take((j,), left[j] if not low or low[0] > room and (j != low[0] or left[j] < 2 or 2 * j > size) else 1)
-            continue
-        at = bisect.bisect_right(lengths, room) - 1
-        while at >= 0 and lengths[at] == j and left[j] < 2:
-            at -= 1
-        b = lengths[at]
-        times = left[j] // 2 if b == j else min(left[j], left[b])
+            return (j,), True
+        b = longest(room, j)
         if b == room or len(low) < 2 or low[0] + low[1] > room:
-            # fixed one after the other, the same test holds until one of the two lengths runs out
-            take((j, b), max(1, times))
-            continue
+            return (j, b), True
         if len(low) < 3 or sum(low) > room:
-            # at most two items fit: the longest pair that fits against b alone
-            others = lengths if left[j] > 1 else lengths[:-1]
-            best, hi = 0, len(others) - 1
-            for lo, x in enumerate(others):
-                while hi >= lo and x + others[hi] > room:
-                    hi -= 1
-                if hi < lo:
-                    break
-                y = others[hi]
-                if y == x and left[x] - (x == j) < 2:
-                    continue
-                best = max(best, x + y)
-            if best <= b:
-                take((j, b), 1)
-                continue
-        return fixed, left
+            q = longest(room - b, j, b)
+            if pair(room, q, j) <= b:
+                return ((j, b, q) if q else (j, b)), False
+        return None
+
+    changed = True
+    while changed:
+        changed = False
+        for j in lengths[::-1]:
+            while j in left and (found := bin_of(j)):
+                content, lasts = found
+                most = min(left[x] // content.count(x) for x in set(content))
+                # tests depend on which lengths have none, one, two or more items left
+                take(content, most if lasts and len(content) > 1 and most > 0 else max(1, min((left[x] - 3) // content.count(x) for x in set(content))))
+                changed = True
     return fixed, left
 
 

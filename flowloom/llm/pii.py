@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import crc_fold, whole_texts
 
-SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 
 #: A dot before a letter, digit or hyphen is this letter while e-mail addresses are looked for; see ``emails``.
 DOT, OTHER = "", ""
@@ -36,19 +36,50 @@ GENERATORS = {
 KINDS = (*BASE, *GENERATORS)
 
 
-def spans(text: Column, pattern: str, kind: str, original: Column | None = None) -> Column:
-    """All matches as kind, start, end (exclusive, code points) and value."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where lambdas use it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["found"])
-        value = pair["found"] if original is None else F.substring(original, start + 1, F.length(pair["found"]))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda f, g: F.struct(g.alias("gap"), f.alias("found")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+def scan(items: Column, state: Column, outputs: str, step, block: int = 256) -> Column:
+    """The outputs of step(state, item), which gives the next state and an output, along an array.
+
+    Arrays grow block by block, so the work is in proportion to the length times the block, never to its square.
+    """
+    none, nones = F.array().cast(f"array<{outputs}>"), F.array().cast(f"array<array<{outputs}>>")
+
+    def one(acc, item):
+        after, out = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def whole(acc, part):
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.aggregate(F.array(inner), acc, lambda old, new: F.struct(new["state"].alias("state"), F.concat(old["out"], F.array(new["out"])).alias("out")))
+
+    parts = bound(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - 1), F.lit(block)), lambda at: F.slice(x, at + 1, F.lit(block))))
+    return F.flatten(F.aggregate(parts, F.struct(state.alias("state"), nones.alias("out")), whole, lambda acc: acc["out"]))
+
+
+def spans(text: Column, pattern: str, kind: str, restored=lambda value: value) -> Column:
+    """All matches as kind, start, end (exclusive, code points), value, and what stands before (24 code points) and after (1).
+
+    before reaches back to the begin of the match before at most. Positions come from the lengths of matches and gaps.
+    """
+
+    def step(at, p):
+        start = at + F.length(p["gap"])
+        end = start + F.length(p["found"])
+        before, after = F.concat(p["last"], p["gap"]), F.concat(p["then"], F.substring(p["follows"], 1, 1))
+        return end, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), restored(p["found"]).alias("value"), F.substring(before, -24, 24).alias("before"), F.substring(after, 1, 1).alias("after"))
+
+    def placed(x):
+        found, gaps, n = x["found"], x["gaps"], F.size(x["found"])
+        last = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.greatest(F.lit(0), n - 1)))
+        follows = F.concat(F.slice(found, F.lit(2), F.greatest(F.lit(0), n - 1)), F.array(F.lit("")))
+        pairs = F.slice(F.arrays_zip(found.alias("found"), gaps.alias("gap"), last.alias("last"), F.slice(gaps, F.lit(2), n).alias("then"), follows.alias("follows")), F.lit(1), n)
+        return F.when(n > 0, scan(pairs, F.lit(0), SPAN.removeprefix("array<").removesuffix(">"), step)).otherwise(F.array().cast(SPAN))
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def digits(value: Column) -> Column:
@@ -65,7 +96,7 @@ def luhn(value: Column) -> Column:
 
 def emails(text: Column) -> Column:
     marked = F.regexp_replace(F.translate(text, DOT, OTHER), r"\.(?=[A-Za-z0-9\-])", DOT)
-    return spans(marked, EMAIL, "email", text)
+    return spans(marked, EMAIL, "email", lambda value: F.translate(value, DOT, "."))
 
 
 def base_spans(text: Column) -> Column:
@@ -82,55 +113,61 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping spans of all generators, with the text around each: ``before`` (24 code points) and ``after`` (1)."""
+    """Overlapping spans of all generators, with the text around each."""
     none = F.array().cast(SPAN)
     gates = {"secret": text.rlike("[0-9]"), "phone_like": text.rlike("[0-9]{3}"), "number_like": text.rlike("[0-9]{2}"), "email_like": text.rlike(r"[\[(]at[\])]")}
-    found = F.concat(*[F.when(gates[k], spans(text, p, k)).otherwise(none) for k, p in GENERATORS.items()])
-    return F.transform(found, lambda s: s.withField("before", F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))).withField("after", F.substring(text, s["end"] + 1, F.lit(1))))
+    return F.concat(*[F.when(gates[k], spans(text, p, k)).otherwise(none) for k, p in GENERATORS.items()])
 
 
-FEATURES = ("kind", "length", "n_digits", "digit_share", "letters", "hex", "separators", "plus", "checksum", "keyword", "assigned", "after_space", "start_of_word")
+#: Features in two views. All are small whole numbers, so that their combinations are at most 4 * 27,648 and 4 * 24.
+FORMAT = ("kind", "length", "n_digits", "letters", "hex", "separators", "plus", "checksum")
+CONTEXT = ("kind", "keyword", "assigned", "after_space", "start_of_word")
+KEYWORD = r"(?:passw|token|secret|key|auth|tel|phone|fone|call|card|mail|konto|iban)[a-z]{0,6}[^a-z0-9]{0,4}$"
 
 
 def features(s: Column) -> dict[str, Column]:
-    """Small whole numbers that describe a candidate's format and context."""
-    value, n = s["value"], F.length(s["value"])
+    """What describes a candidate's format and its context."""
+    value, n, before = s["value"], F.length(s["value"]), F.lower(s["before"])
     d = F.length(digits(value))
     flag = lambda c: c.cast("int")
     return {
         "kind": F.coalesce(*[F.when(s["kind"] == k, i) for i, k in enumerate(GENERATORS)]),
-        "length": F.least(F.lit(10), F.floor(n / 4)).cast("int"),
-        "n_digits": F.least(F.lit(20), d),
-        "digit_share": F.floor(4 * d / n).cast("int"),
+        "length": F.least(F.lit(5), F.floor(n / 8)).cast("int"),
+        "n_digits": F.least(F.lit(7), F.floor(d / 3)).cast("int"),
         "letters": flag(value.rlike("[a-z]")) + 2 * flag(value.rlike("[A-Z]")),
         "hex": flag(value.rlike("^[0-9a-fA-F]++$")),
-        "separators": F.least(F.lit(4), F.length(F.regexp_replace(value, r"[^ ().\-/_]", ""))),
+        "separators": F.least(F.lit(2), F.length(F.regexp_replace(value, r"[^ ().\-/_]", ""))),
         "plus": flag(value.startswith("+")),
         "checksum": F.when(d.between(12, 19), flag(luhn(value))).otherwise(-1),
-        "keyword": flag(s["before"].rlike(r"(?:passw|token|secret|key|auth|tel|phone|fone|call|card|mail|konto|iban)[a-z]{0,6}[^a-z0-9]{0,4}$")),
-        "assigned": flag(s["before"].rlike(r"[=:] ?[\"']?$")),
+        "keyword": flag(before.rlike(KEYWORD)),
+        "assigned": flag(before.rlike(r"[=:] ?[\"']?$")),
         "after_space": flag(s["after"].rlike(r"^(?:[\s,;.\"']|$)")),
-        "start_of_word": flag((s["before"] == "") | s["before"].rlike(r"[\s\"'(=:]$")),
+        "start_of_word": flag((before == "") | before.rlike(r"[\s\"'(=:]$")),
     }
 
 
-def weak_label(s: Column) -> Column:
-    """What a strict test of each generator's kind says: 1, 0, or null where it can't tell."""
+def format_says(s: Column) -> Column:
+    """Whether a candidate's own characters make it personal data or a secret: 1, 0, or null where they can't tell."""
     value = s["value"]
     d = F.length(digits(value))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    named = s["before"].rlike(r"(?:passw|token|secret|key|auth)[a-z]{0,6} ?[=:] ?[\"']?$")
+    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
     return (
-        F.when(s["kind"] == "secret", F.when(value.rlike("^AKIA[0-9A-Z]{16}$") | (named & mixed), 1).when(~mixed, 0))
+        F.when(s["kind"] == "secret", F.when(value.rlike("^AKIA[0-9A-Z]{16}$") | mixed, 1).when(~value.rlike("[0-9]") | value.rlike("^[a-z/_-]++$"), 0))
         .when(s["kind"] == "phone_like", F.when(value.rlike(r"^\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}$"), 1).when(~value.rlike(r"[ .\-()+]"), 0))
-        .when(s["kind"] == "number_like", F.when(d.between(14, 19) & luhn(value), 1).otherwise(0))
+        .when(s["kind"] == "number_like", F.when(d.between(14, 19) & luhn(value), 1).when(d < 12, 0))
         .otherwise(F.when(value.rlike(r"(?i)\b(?:com|org|net|edu|de|fr|es)$"), 1).otherwise(0))
     )
 
 
+def context_says(s: Column) -> Column:
+    """Whether what stands around a candidate announces personal data or a secret: 1, 0, or null where it can't tell."""
+    before = F.lower(s["before"])
+    return F.when(before.rlike(KEYWORD), 1).when(before.rlike(r"[a-z]{2}[,.]? $") | before.rlike("[a-z0-9/_.-]$"), 0)
+
+
 @dataclass(frozen=True)
 class PiiModel:
-    """Trees as (feature, cut, (feature, cut, low, high), (feature, cut, low, high)), and a logit threshold for each kind."""
+    """For each view a base and trees (feature, cut, (feature, cut, low, high), (feature, cut, low, high)); a logit threshold for each kind."""
 
     base: float
     trees: tuple
@@ -150,15 +187,15 @@ class PiiModel:
         return self.base + sum(stump(low) if row[f] <= cut else stump(high) for f, cut, low, high in self.trees)
 
 
-def best_stump(rows, weights, grads, hess, ridge: float = 1.0):
+def best_stump(rows, names, grads, hess, ridge: float = 1.0):
     """The cut of one feature that lowers the loss most, and Newton's values on both sides."""
     best = None
-    for f in FEATURES:
+    for f in names:
         sums: dict[int, list[float]] = {}
-        for r, w, g, h in zip(rows, weights, grads, hess, strict=True):
+        for r, g, h in zip(rows, grads, hess, strict=True):
             s = sums.setdefault(r[f], [0.0, 0.0])
-            s[0] += w * g
-            s[1] += w * h
+            s[0] += g
+            s[1] += h
         total_g, total_h, g, h = sum(s[0] for s in sums.values()), sum(s[1] for s in sums.values()), 0.0, 0.0
         for v in sorted(sums):
             g, h = g + sums[v][0], h + sums[v][1]
@@ -168,22 +205,21 @@ def best_stump(rows, weights, grads, hess, ridge: float = 1.0):
     return best
 
 
-def boost(table: list[dict], rounds: int = 24, rate: float = 0.4) -> tuple[float, tuple]:
+def boost(table: list[dict], names: tuple[str, ...], rounds: int = 24, rate: float = 0.4) -> tuple[float, tuple]:
     """Gradient boosting with logistic loss on rows of feature values with counts n and sums of labels y."""
     n, y = sum(r["n"] for r in table), sum(r["y"] for r in table)
     base = math.log((y + 1) / (n - y + 1))
     score, trees = [base] * len(table), []
-    weights = [1.0] * len(table)
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in score]
         grads = [r["y"] - r["n"] * q for r, q in zip(table, p, strict=True)]
         hess = [r["n"] * q * (1 - q) for r, q in zip(table, p, strict=True)]
-        _, f, cut, _, _ = best_stump(table, weights, grads, hess)
+        _, f, cut, _, _ = best_stump(table, names, grads, hess)
         sides = []
         for low in (True, False):
             k = [i for i, r in enumerate(table) if (r[f] <= cut) == low]
             if k:
-                _, g, c, a, b = best_stump([table[i] for i in k], [1.0] * len(k), [grads[i] for i in k], [hess[i] for i in k])
+                _, g, c, a, b = best_stump([table[i] for i in k], names, [grads[i] for i in k], [hess[i] for i in k])
                 sides.append((g, c, rate * a, rate * b))
             else:
                 sides.append((f, cut, 0.0, 0.0))
@@ -194,25 +230,38 @@ def boost(table: list[dict], rounds: int = 24, rate: float = 0.4) -> tuple[float
 
 
 def fit(docs: DataFrame, precision: float = 0.95, folds: int = 5) -> PiiModel:
-    """Trains on all candidates of all texts that have a weak label, as counts of feature values.
-
-    The counts have one row for each combination of small feature values, however many candidates there are. Trees are
-    trained outside one fold of doc_id; on that fold, each kind's threshold is the lowest score from which on the share
-    of true labels (smoothed by one false one) reaches ``precision``. A kind without such a score selects nothing.
+    """Trains on all candidates of all texts, by two views that label each other.
+
+    Trees over format features learn what the context says, and trees over context features what the format says, so no
+    tree sees what its label was made of; a candidate's logit is the sum of both. Only counts of feature values reach the
+    driver, a bounded number of rows however many candidates there are. Trees are trained outside one fold of doc_id; on
+    that fold each kind's threshold is the lowest score from which on, among candidates of which both views tell and agree,
+    the share of true ones (smoothed by one false one) reaches ``precision``. A kind without such a score selects nothing.
+    Null and empty texts have no candidates; without any, nothing is selected.
     """
     found = whole_texts(docs).select((crc_fold("doc_id", folds) == 0).alias("held"), F.explode(candidates(F.col("text"))).alias("s"))
-    marked = found.select("held", weak_label(F.col("s")).alias("y"), *[c.alias(k) for k, c in features(F.col("s")).items()]).where("y IS NOT NULL")
-    table = [r.asDict() for r in marked.groupBy("held", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()]
-    table.sort(key=lambda r: tuple(r[f] for f in FEATURES))
-    train, held = [r for r in table if not r["held"]], [r for r in table if r["held"]]
-    if not train:
-        return PiiModel(0.0, (), {})
-    base, trees = boost(train)
+    names = tuple(dict.fromkeys(FORMAT + CONTEXT))
+    marked = found.select(F.coalesce("held", F.lit(False)).alias("held"), format_says(F.col("s")).alias("own"), context_says(F.col("s")).alias("around"), *[c.alias(k) for k, c in features(F.col("s")).items()]).where("own IS NOT NULL OR around IS NOT NULL")
+    table = [r.asDict() for r in marked.groupBy("held", "own", "around", *names).agg(F.count("*").alias("count")).collect()]
+    table.sort(key=lambda r: tuple(-1 if r[f] is None else r[f] for f in (*names, "own", "around")))
+    base, trees = 0.0, ()
+    for view, label in ((FORMAT, "around"), (CONTEXT, "own")):
+        sums: dict[tuple, list[int]] = {}
+        for r in table:
+            if not r["held"] and r[label] is not None:
+                s = sums.setdefault(tuple(r[f] for f in view), [0, 0])
+                s[0] += r["count"]
+                s[1] += r["count"] * r[label]
+        if sums:
+            own_base, own_trees = boost([dict(zip(view, k, strict=True)) | {"n": n, "y": y} for k, (n, y) in sums.items()], view)
+            base, trees = base + own_base, trees + own_trees
     model = PiiModel(base, trees, {})
+    agreed = [r for r in table if r["own"] is not None and r["own"] == r["around"]]
     thresholds = {}
     for k, kind in enumerate(GENERATORS):
         true = total = 0
-        own = sorted(((model.value(r), r["n"], r["y"]) for r in held or train if r["kind"] == k), reverse=True)
+        mine = [r for r in agreed if r["kind"] == k]
+        own = sorted(((model.value(r), r["count"], r["count"] * r["own"]) for r in [r for r in mine if r["held"]] or mine), reverse=True)
         for at, (v, n, y) in enumerate(own):
             true, total = true + y, total + n
             if (at + 1 == len(own) or own[at + 1][0] < v) and true / (total + 1) >= precision:
@@ -220,43 +269,50 @@ def fit(docs: DataFrame, precision: float = 0.95, folds: int = 5) -> PiiModel:
     return PiiModel(base, trees, thresholds)
 
 
-def all_spans(text: Column, model: PiiModel) -> Column:
-    """Base spans and the selected candidates that no base span covers, by start and then by kind."""
-    base = base_spans(text)
+def selected(text: Column, model: PiiModel) -> Column:
+    """The candidates that the trees and thresholds select."""
 
     def chosen(s):
-        x = features(s)
-        z = model.logit(x)
+        z = model.logit(features(s))
         passed = F.lit(False)
         for kind, least in model.thresholds.items():
             passed = passed | ((s["kind"] == kind) & (z >= least))
         return passed
 
-    more = F.filter(candidates(text), chosen) if model.thresholds else F.array().cast(SPAN)
-    more = F.transform(more, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return base, more
+    return F.filter(candidates(text), chosen) if model.thresholds else F.array().cast(SPAN)
+
+
+FOUND = "struct<start:int,place:int,end:int,kind:string,value:string>"
 
 
 def ordered(found: Column) -> Column:
     """Spans by start and then by the kind's place in KINDS."""
     place = lambda s: F.coalesce(*[F.when(s["kind"] == k, i) for i, k in enumerate(KINDS)])
-    keyed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
+    keyed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
     return F.array_sort(keyed)
 
 
+def uncovered(found: Column) -> Column:
+    """Of ordered spans, those of base kinds and those that no base span covers (base spans come first at the same start)."""
+
+    def step(end, s):
+        base = s["place"] < len(BASE)
+        return F.when(base, F.greatest(end, s["end"])).otherwise(end), F.when(base | (s["end"] > end), s).otherwise(F.lit(None).cast(FOUND))
+
+    return F.filter(scan(found, F.lit(0), FOUND, step), lambda s: s.isNotNull())
+
+
 def joined(found: Column) -> Column:
-    return F.concat_ws(",", F.transform(ordered(found), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """doc_id, text, base (array of spans) and spans (base ones and the method's) of every whole text.
+    """doc_id, text, base (array of spans) and spans (base ones and the method's) of every whole text, in order.
 
     A null text counts as empty and has no spans. Repeated rows give repeated rows; other columns are left out.
     """
-    base, more = all_spans(F.col("text"), model)
-    out = whole_texts(docs).withColumn("base", base).withColumn("more", more)
-    covered = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    return out.select("doc_id", "text", "base", F.concat("base", F.filter("more", lambda s: ~covered(s))).alias("spans"))
+    out = whole_texts(docs).withColumn("base", ordered(base_spans(F.col("text")))).withColumn("more", ordered(selected(F.col("text"), model)))
+    return out.select("doc_id", "text", "base", F.when(F.size("more") > 0, uncovered(F.array_sort(F.concat("base", "more")))).otherwise(F.col("base")).alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -265,20 +321,32 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, model: PiiModel) -> DataFrame:
+def redacted(docs: DataFrame, model: PiiModel, chunk: int = 8192) -> DataFrame:
     """docs with each stretch of overlapping spans in ``text`` replaced by its first span's kind in brackets.
 
-    All columns and rows stay; null texts stay null; texts without spans stay as they are.
+    All columns and rows stay; null texts stay null; texts without spans stay as they are. Texts are cut from chunks of
+    ``chunk`` code points, so that very long ones aren't read from their begin for each span.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base, more = all_spans(text, model)
-    found = ordered(F.concat(base, more))
-
-    def step(acc, s):
-        apart = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.withColumn("__spans", found).withColumn("text", F.when(F.col("text").isNotNull() & (F.size("__spans") > 0), clean).otherwise(F.col("text"))).drop("__spans")
+    def stretch(end, s):
+        apart = s["start"] >= end
+        return F.greatest(end, s["end"]), F.when(apart, F.struct(end.alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))).otherwise(F.lit(None).cast("struct<from:int,start:int,kind:string>"))
+
+    def cut(chunks, start, end):
+        """The text from start to end, from its chunks."""
+        i, j = F.floor(start / chunk).cast("int"), F.floor(end / chunk).cast("int")
+        at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        inner = F.array_join(F.slice(chunks, i + 2, F.greatest(F.lit(0), j - i - 1)), "")
+        one = F.substring(at(i), start % chunk + 1, end - start)
+        return F.when(i == j, one).otherwise(F.concat(F.substring(at(i), start % chunk + 1, F.lit(chunk)), inner, F.substring(at(j), F.lit(1), end % chunk)))
+
+    def cleaned(x):
+        stretches = F.filter(scan(x["spans"], F.lit(0), "struct<from:int,start:int,kind:string>", stretch), lambda s: s.isNotNull())
+        chunks = F.transform(F.sequence(F.lit(0), F.length(x["text"]), F.lit(chunk)), lambda k: F.substring(x["text"], k + 1, F.lit(chunk)))
+        tail = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return bound(chunks, lambda c: F.concat(F.array_join(F.transform(stretches, lambda s: F.concat(cut(c, s["from"], s["start"]), F.lit("["), s["kind"], F.lit("]"))), ""), cut(c, tail, F.length(x["text"]))))
+
+    found = ordered(F.concat(base_spans(text), selected(text, model)))
+    clean = bound(F.struct(text.alias("text"), found.alias("spans")), lambda x: F.when(F.size(x["spans"]) > 0, cleaned(x)).otherwise(x["text"]))
+    return docs.withColumn("text", F.when(F.col("text").isNotNull(), clean))

@@ -198,6 +198,28 @@ def test_reduction_keeps_the_optimum():
         assert sum(n for _, n in fixed) + fewest([x for x, n in rest.items() for _ in range(n)], 20) == fewest(items, 20)
 
 
+def test_reduction_goes_on_past_items_without_a_dominating_bin():
+    rng = np.random.default_rng(12)
+    total = 0
+    for _ in range(200):
+        items = rng.integers(1, 40, rng.integers(1, 12)).tolist()
+        fixed, rest = packing.reduced(Counter(items), 40)
+        total += sum(n for _, n in fixed)
+        left = [x for x, n in rest.items() for _ in range(n)]
+        for k, x in enumerate(left):  # nothing is left that a plain rule fixes
+            others = left[:k] + left[k + 1 :]
+            assert 40 - x not in others and any(x + y <= 40 for y in others)
+            assert any(x + y + z <= 40 for i, y in enumerate(others) for z in others[:i])
+        assert sum(n for _, n in fixed) + fewest(left, 40) == fewest(items, 40)
+    assert total > 400
+    assert packing.reduced(Counter([6, 3, 3, 9, 9]), 12) == ([((9, 3), 2)], {6: 1}) or packing.reduced(Counter([6, 3, 3, 9, 9]), 12)[1] == {}
+    # three items: beside 5 fit 4 and 3; no other pair is longer than 3 each and than 4 together
+    fixed, rest = packing.reduced(Counter([50, 40, 9, 45, 46]), 99)
+    assert not rest
+    many, rest = packing.reduced({2048: 10**7, 2000: 10**6, 48: 10**6 + 5, 1500: 7}, 2048)
+    assert sum(n * c.count(2000) for c, n in many) == 10**6 and sum(n for c, n in many if c == (2048,)) == 10**7
+
+
 def fewest(items, size):
     """Bins of a best packing, by trying all."""
     best = len(items)
