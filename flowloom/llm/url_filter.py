@@ -1,14 +1,18 @@
 """URL filters: a path-template tree per host, judged by smoothed purity of labelled urls.
 
-Each host's paths form a tree of segments. Variable segments become wildcards, branches with similar statistics are
-merged, and a template is rejected if the smoothed share of blocked urls among its labelled ones is high.
+Each host's paths form a tree of segments, which is collapsed from the top, level by level: below each node variable
+segments become wildcards and branches whose labels differ no more than chance are merged, so that what lies below a
+wildcard is pooled before the next level is looked at. A template is rejected if the share of blocked urls among its
+labelled ones, smoothed by its parent's up to the host's and that of all, is high.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import drop, written
+
 #: Rules (host, path, verdict); the longest that fits wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 WILD = "*"
@@ -44,43 +48,73 @@ def segment_class(segment: Column) -> Column:
     )
 
 
-def judge(pages: DataFrame, rules=RULES, depth: int = 4, variety: float = 0.5, least: int = 8, alike: float = 0.15, prior: float = 4.0, reject: float = 0.5) -> DataFrame:
+def g_test(blocked: Column, marked: Column, blocked_2: Column, marked_2: Column) -> Column:
+    """The G statistic of two shares of blocked among labelled urls; 0 where one has no labels."""
+    total, share = marked + marked_2, (blocked + blocked_2) / F.greatest(F.lit(1), marked + marked_2)
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    parts = [term(b, m * share) + term(m - b, m * (1 - share)) for b, m in ((blocked, marked), (blocked_2, marked_2))]
+    return F.when((marked > 0) & (marked_2 > 0) & (total > 0), 2 * (parts[0] + parts[1])).otherwise(0.0)
+
+
+def templates(leaves: DataFrame, variety: float, least: int, cut: float, prior: float, levels: int) -> DataFrame:
+    """(host, path, template, purity) of distinct urls (host, path, n, marked, blocked); see ``judge``."""
+    sums = [F.sum(c).alias(c) for c in ("n", "marked", "blocked")]
+    every = leaves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("marked", "blocked")]).first()  # one row
+    base = (every["blocked"] + 0.5) / (every["marked"] + 1)
+    smoothed = lambda above: (F.col("all_blocked") + prior * above) / (F.col("all_marked") + prior)
+    segments = F.transform(F.split(F.regexp_replace("path", "^/+", ""), "/"), segment_class)
+    hosts = leaves.groupBy("host").agg(F.sum("n").alias("all_n"), F.sum("marked").alias("all_marked"), F.sum("blocked").alias("all_blocked"))
+    rows = leaves.join(hosts, "host").select("host", "path", "n", "marked", "blocked", segments.alias("left"), F.lit("").alias("template"), smoothed(F.lit(base)).alias("purity"), F.col("all_n").alias("pages"))
+    live, done = written(rows, "tree"), []
+    for level in range(levels + 1):
+        # of nodes with few pages, and from the last level on, the rest of the path is named by its classes
+        ended = (F.size("left") == 0) | (F.col("pages") < least) | F.lit(level == levels)
+        rest = F.when(F.size("left") > 0, F.concat(F.lit("/"), F.array_join("left", "/"))).otherwise("")
+        done.append(live.where(ended).select("host", "path", F.concat("template", rest).alias("template"), "purity"))
+        going = live.where(~ended)
+        if going.isEmpty():
+            break
+        node = ["host", "template"]
+        child = going.withColumn("segment", F.col("left")[0]).groupBy(*node, "segment").agg(*sums)
+        about = child.groupBy(*node).agg(F.count_if(~F.col("segment").startswith("{")).alias("children"), F.sum(F.when(~F.col("segment").startswith("{"), F.col("n"))).alias("own"), F.sum("marked").alias("node_marked"), F.sum("blocked").alias("node_blocked"))
+        many = (F.col("children") >= least) & (F.col("children") > variety * F.col("own"))
+        alike = g_test(F.col("blocked"), F.col("marked"), F.col("node_blocked") - F.col("blocked"), F.col("node_marked") - F.col("marked")) < cut
+        merged = (F.col("children") > 1) & alike & ((F.col("n") < least) | (F.col("marked") > 0))
+        name = F.when(F.col("segment").startswith("{"), F.col("segment")).when(many | merged, WILD).otherwise(F.col("segment"))
+        named = child.join(about, node).select(*node, "segment", name.alias("name"), "n", "marked", "blocked")
+        after = named.groupBy(*node, "name").agg(F.sum("n").alias("all_n"), F.sum("marked").alias("all_marked"), F.sum("blocked").alias("all_blocked"))
+        names = named.select(*node, "segment", "name").join(after, [*node, "name"])
+        moved = going.withColumn("segment", F.col("left")[0]).join(names, [*node, "segment"])
+        below = moved.select("host", "path", "n", "marked", "blocked", F.slice("left", F.lit(2), F.greatest(F.lit(1), F.size("left") - 1)).alias("left"), F.concat("template", F.lit("/"), "name").alias("template"), smoothed(F.col("purity")).alias("purity"), F.col("all_n").alias("pages"))
+        before, live = live, written(below, "tree")
+        done[-1] = written(done[-1], "templates")
+        drop(before)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def judge(pages: DataFrame, rules=RULES, variety: float = 0.5, least: int = 8, cut: float = 3.84, prior: float = 4.0, reject: float = 0.5, levels: int = 32, salts: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity (smoothed share of blocked) of every page.
 
-    Segments beyond ``depth`` share one wildcard. Below a host and prefix, a segment becomes a wildcard if it is of a
-    variable class, or if the prefix has at least ``least`` children of which more than ``variety`` per page differ.
-    Sibling branches merge if their labelled shares differ by at most ``alike`` and neither is labelled well (under
-    ``least`` labelled pages). Urls that a rule fits are the labels. A template's share is smoothed with ``prior`` urls
-    of its host's share, and that with ``prior`` urls of the share of all; at or above ``reject`` its urls are blocked.
+    Urls that a rule fits are the labels. Below a node, a segment of a variable class becomes that class. Other segments
+    become one wildcard if the node has at least ``least`` of them, more than ``variety`` a page; else those become it
+    whose share of blocked labels differs from their siblings' by no more than chance (a G statistic below ``cut``) and
+    that are rare (under ``least`` pages) or labelled. Below nodes of under ``least`` pages, and ``levels`` segments deep,
+    segments only become their classes; no segment is left out. A node's share is smoothed with ``prior`` urls of its
+    parent's share, a host's with that of all labels, which starts from one half of one label; urls whose template's share
+    is above ``reject`` are blocked. Without any label all shares are one half, and urls are allowed.
     Null urls and urls without :// have empty host and path, no rule, and are judged as the host "" is. Repeated rows
     give repeated rows; an empty table gives an empty one; other columns are left out.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    parts = F.slice(F.split(F.regexp_replace("path", "^/+", ""), "/"), 1, depth)
-    urls = urls.withColumns({"rule": rule, "said": verdict, "key": F.transform(parts, segment_class)})
-    # the tree's nodes with their counts; equal keys meet before the shuffle
-    tree = urls.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("said").alias("marked"), F.count_if(F.col("said") == "block").alias("blocked"))
-    at = tree.select("*", F.posexplode("key").alias("level", "segment")).withColumn("prefix", F.concat_ws("/", F.slice("key", F.lit(1), F.col("level"))))
-    child = at.groupBy("host", "prefix", "level", "segment").agg(F.sum("n").alias("n"), F.sum("marked").alias("marked"), F.sum("blocked").alias("blocked"))
-    share = F.when(F.col("marked") > 0, F.col("blocked") / F.col("marked"))
-    node = Window.partitionBy("host", "prefix")
-    stats = child.groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("n").alias("pages"), F.sum("marked").alias("node_marked"), F.sum("blocked").alias("node_blocked"))
-    node_share = F.col("node_blocked") / F.col("node_marked")
-    many = (F.col("children") >= least) & (F.col("children") > variety * F.col("pages"))
-    similar = (F.col("children") > 1) & (F.col("marked") < least) & (share.isNull() | (F.abs(share - node_share) <= alike)) & ~F.col("segment").startswith("{")
-    # a merged branch takes part in its siblings' wildcard
-    wild = child.join(stats, ["host", "prefix"]).where(many | (similar & (F.col("n") < least))).select("host", "prefix", "level", "segment", F.lit(True).alias("wild"))
-    named = at.join(wild, ["host", "prefix", "level", "segment"], "left").withColumn("name", F.when(F.col("wild"), WILD).otherwise(F.col("segment")))
-    template = named.groupBy("host", "key").agg(F.concat_ws("/", F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"])).alias("template"))
-    known = tree.join(template, ["host", "key"])
-    everywhere = F.broadcast(tree.agg(F.sum("marked").alias("all_marked"), F.sum("blocked").alias("all_blocked")))  # one row
-    by_host = tree.groupBy("host").agg(F.sum("marked").alias("host_marked"), F.sum("blocked").alias("host_blocked"))
-    by_template = known.groupBy("host", "template").agg(F.sum("marked").alias("marked"), F.sum("blocked").alias("blocked"))
-    base = (F.coalesce("all_blocked", F.lit(0)) + 0.5) / (F.coalesce("all_marked", F.lit(0)) + 1)
-    of_host = (F.col("host_blocked") + prior * base) / (F.col("host_marked") + prior)
-    judged = by_template.join(by_host, "host").crossJoin(everywhere).select("host", "template", ((F.col("blocked") + prior * of_host) / (F.col("marked") + prior)).alias("purity"))
-    of_key = known.select("host", "key", "template").join(judged, ["host", "template"])
-    out = urls.join(of_key, ["host", "key"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), "template").alias("template"), "purity")
+    urls = written(urls.withColumns({"rule": rule, "said": verdict}), "urls")
+    leaves = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("marked"), F.count_if(F.col("said") == "block").alias("blocked"))
+    of_path = templates(written(leaves, "paths"), variety, least, cut, prior, levels)
+    # a very common url is spread over its salts
+    of_path = of_path.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    out = urls.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(of_path, ["host", "path", "salt"], "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") > reject, "block").otherwise("allow")).alias("verdict"), "template", "purity")

@@ -336,3 +336,80 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, per_class=3, longest=100)
     assert seen and all(len(a) <= 3 and len(b) <= 3 and max(map(len, a + b)) <= 100 for a, b in seen)
+
+
+def plain_templates(urls, variety=0.5, least=8, cut=3.84, prior=4.0):
+    """Template and purity of each (host, path, label) by walking each node's children in plain dictionaries."""
+    import re
+
+    def kind(x):
+        if re.fullmatch("[0-9]+", x):
+            return "{n}"
+        if m := re.fullmatch(r"[0-9]+\.([A-Za-z0-9]{1,5})", x):
+            return "{n}." + m[1]
+        if re.fullmatch("[0-9a-fA-F-]{8,}", x) and re.search("[0-9]", x):
+            return "{x}"
+        return "{w}" if len(x) > 32 or re.search("[0-9]{3}", x) else x
+
+    def g(b, m, b2, m2):
+        if not m or not m2:
+            return 0.0
+        share = (b + b2) / (m + m2)
+        pairs = [(b, m * share), (m - b, m * (1 - share)), (b2, m2 * share), (m2 - b2, m2 * (1 - share))]
+        return 2 * sum(o * math.log(o / e) for o, e in pairs if o > 0)
+
+    labels = lambda rows: (sum(r[2] is not None for r in rows), sum(r[2] == "block" for r in rows))
+    out = {}
+
+    def walk(rows, template, purity):
+        """rows: (host, path, label, rest of the path)."""
+        ended = [r for r in rows if not r[3] or len(rows) < least]
+        for r in ended:
+            out[r[0], r[1]] = (template + "".join("/" + x for x in r[3]), purity)
+        going = [r for r in rows if r[3] and len(rows) >= least]
+        kids = defaultdict(list)
+        for r in going:
+            kids[r[3][0]].append(r)
+        plain = {k: v for k, v in kids.items() if not k.startswith("{")}
+        many = len(plain) >= least and len(plain) > variety * sum(map(len, plain.values()))
+        m_all, b_all = labels(going)
+        named = defaultdict(list)
+        for k, v in kids.items():
+            m, b = labels(v)
+            merged = len(plain) > 1 and g(b, m, b_all - b, m_all - m) < cut and (len(v) < least or m > 0)
+            named[k if k.startswith("{") or not (many or merged) else "*"] += v
+        for k, v in named.items():
+            m, b = labels(v)
+            walk([(*r[:3], r[3][1:]) for r in v], f"{template}/{k}", (b + prior * purity) / (m + prior))
+
+    m, b = labels(urls)
+    base = (b + 0.5) / (m + 1)
+    for host in {u[0] for u in urls}:
+        own = [(*u, [kind(x) for x in u[1].lstrip("/").split("/")]) for u in urls if u[0] == host]
+        m, b = labels(own)
+        walk(own, "", (b + prior * base) / (m + prior))
+    return out
+
+
+def test_url_templates(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None, None), (1, ""), (2, "no url"), (3, "http://a.org/"), (4, "http://A.org"), (5, "x://y.net//a//b/")]
+    for i in range(6, 900):
+        host = ["shop.net", "a.org", "b.example.com", "example.org"][rng.integers(0, 4)]
+        first = ["de", "fr", "es", "cat", "user"][rng.integers(0, 5)]
+        rest = ["/".join(f"s{rng.integers(0, 4)}" for _ in range(rng.integers(0, 7))), str(rng.integers(0, 10**6)), f"name{rng.integers(0, 60)}x/page", "%x" % rng.integers(2**40, 2**44)][rng.integers(0, 4)]
+        rows.append((i, f"http://{host}/{first}/{rest}?q=1"))
+    rows += [(i, "http://shop.net/common") for i in range(900, 1000)]
+    df = spark.createDataFrame([(i, u, "h", "p") for i, u in rows], "page_id long, url string, host string, path string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(rows)
+    want = plain_templates([(r.host, r.path, r.verdict if r.rule else None) for r in got])
+    for r in got:
+        template, purity = want[r.host, r.path]
+        assert r.template == template and abs(r.purity - purity) < 1e-9, (r, template, purity)
+        if r.rule is None:
+            assert r.verdict == ("block" if r.purity > 0.5 else "allow")
+    assert len({r.purity for r in got if r.host == "b.example.com"}) > 2
+    free = spark.createDataFrame([(i, f"http://shop.net/a/b/c/d/x{i}/evil") for i in range(4)], "page_id long, url string")
+    assert {(r.verdict, r.template) for r in url_filter.judge(free).collect()} == {("allow", f"/a/b/c/d/x{i}/evil") for i in range(4)}
+    assert url_filter.judge(df.where("page_id < 0")).count() == 0
