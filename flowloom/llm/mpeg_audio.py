@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import whole_texts
+from flowloom.llm.common import map_batches, whole_texts
 
 # Fixed values of the format: kbit/s by (MPEG-1?, layer) and Hz by version bits.
 BITRATES = {
@@ -29,13 +29,19 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
 
-def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0x8005 and all bits set at the start, as frames carry it."""
-    crc = 0xFFFF
+# Fixed values of layer II: by table, how many subbands have 4, 3 and 2 bits of allocation.
+ALLOCATION = {"a": (11, 12, 4), "b": (11, 12, 7), "c": (2, 6, 0), "d": (2, 10, 0), "2": (4, 7, 19)}
+
+
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 with polynomial 0x8005 and all bits set at the start, as frames carry it; of the first ``bits`` bits, or all."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        for k in range(min(8, left)):
+            crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ byte >> 7 - k) & 1 else crc << 1) & 0xFFFF
+        left -= 8
+        if left <= 0:
+            break
     return crc
 
 
@@ -51,7 +57,9 @@ class Header:
     channels: int
     size: int
     samples: int
-    side: int  # bytes that the checksum covers after the header and itself; -1 where they depend on the content
+    side: int  # bytes that the checksum covers after the header and itself; -1 where they depend on the content (layer II)
+    table: str  # of layer II's allocation
+    bound: int  # the first subband that both channels share
 
 
 _HEADERS: dict[bytes, Header | None] = {}
@@ -76,13 +84,30 @@ def _header(h: bytes) -> Header | None:
     one = version == 3
     bitrate, rate, pad = BITRATES[one, layer][rate_at], RATES[version][rate_index], h[2] >> 1 & 1
     mono = h[3] >> 6 == 3
+    bound, table = 4 * (h[3] >> 4 & 3) + 4 if h[3] >> 6 == 1 else 32, ""
     if layer == 1:
-        size, samples, side = (12000 * bitrate // rate + pad) * 4, 384, 16 if mono else 32 if h[3] >> 6 != 1 else -1
+        size, samples, side = (12000 * bitrate // rate + pad) * 4, 384, 16 if mono else (bound + 32) // 2
     elif layer == 2:
         size, samples, side = 144000 * bitrate // rate + pad, 1152, -1
+        each = bitrate if mono else bitrate // 2
+        table = "2" if not one else ("d" if rate == 32000 else "c") if each <= 48 else "a" if each <= 80 or rate == 48000 else "b"
     else:
         size, samples, side = (144000 if one else 72000) * bitrate // rate + pad, 1152 if one else 576, (17 if mono else 32) if one else (9 if mono else 17)
-    return Header(version, layer, not h[1] & 1, bitrate, rate, 1 if mono else 2, size, samples, side)
+    return Header(version, layer, not h[1] & 1, bitrate, rate, 1 if mono else 2, size, samples, side, table, bound)
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """The bits of a layer II frame's content that its checksum covers: allocations, and two for each one that isn't 0."""
+    widths = [w for w, n in zip((4, 3, 2), ALLOCATION[h.table], strict=True) for _ in range(n)]
+    value, at, used = int.from_bytes(body[:64], "big"), 0, 0
+    size = 8 * min(64, len(body))
+    for band, width in enumerate(widths):
+        channels = h.channels if band < h.bound else 1
+        for _ in range(channels):
+            allocated = value >> max(0, size - at - width) & (1 << width) - 1
+            at += width
+            used += (allocated > 0) * (h.channels if band >= h.bound else 1)
+    return at + 2 * used
 
 
 @dataclass
@@ -95,7 +120,6 @@ class Index:
     bitrates: set[int] = field(default_factory=set)
     crc_ok: int = 0
     crc_bad: int = 0
-    crc_unread: int = 0
     skipped: int = 0
     tags: dict[str, str] = field(default_factory=dict)
     table: str = ""
@@ -162,14 +186,13 @@ def index(data: bytes) -> Index:
                 continue
         if not h.protected:
             pass
-        elif h.side < 0:
-            out.crc_unread += 1
         else:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+            bits = 8 * h.side if h.side >= 0 else covered_bits(h, data[at + 6 : min(after, at + 70)])
+            covered = data[at + 2 : at + 4] + data[at + 6 : min(after, at + 6 + (bits + 7) // 8)]
             if covered not in _CRCS:
                 if len(_CRCS) > 100_000:
                     _CRCS.clear()
-                _CRCS[covered] = crc16(covered)
+                _CRCS[covered] = crc16(covered, 16 + bits)
             if _CRCS[covered] == int.from_bytes(data[at + 4 : at + 6], "big"):
                 out.crc_ok += 1
             else:
@@ -201,7 +224,7 @@ def read_table(frame: bytes, h: Header, out: Index) -> bool:
     return False
 
 
-INDEX = "version string, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_s double, variable boolean, crc_ok long, crc_bad long, crc_unread long, skipped_bytes long, vbr_table string, vbr_frames long, seek_offsets array<long>, tags map<string,string>"
+INDEX = "version string, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_s double, variable boolean, crc_ok long, crc_bad long, skipped_bytes long, vbr_table string, vbr_frames long, seek_offsets array<long>, tags map<string,string>"
 
 
 def index_columns(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -216,12 +239,12 @@ def index_columns(media: DataFrame, media_col: str = "media", id_col: str = "doc
             for data in batch.column(1).to_pylist():
                 x = index(data or b"")
                 h = x.first
-                rows.append({"version": VERSIONS[h.version] if h else None, "layer": h.layer if h else None, "sample_rate": h.rate if h else None, "channels": h.channels if h else None, "n_frames": len(x.offsets), "n_samples": x.samples, "duration_s": x.samples / h.rate if h else 0.0, "variable": len(x.bitrates) > 1, "crc_ok": x.crc_ok, "crc_bad": x.crc_bad, "crc_unread": x.crc_unread, "skipped_bytes": x.skipped, "vbr_table": x.table or None, "vbr_frames": x.table_frames, "seek_offsets": x.offsets, "tags": list(x.tags.items())})
+                rows.append({"version": VERSIONS[h.version] if h else None, "layer": h.layer if h else None, "sample_rate": h.rate if h else None, "channels": h.channels if h else None, "n_frames": len(x.offsets), "n_samples": x.samples, "duration_s": x.samples / h.rate if h else 0.0, "variable": len(x.bitrates) > 1, "crc_ok": x.crc_ok, "crc_bad": x.crc_bad, "skipped_bytes": x.skipped, "vbr_table": x.table or None, "vbr_frames": x.table_frames, "seek_offsets": x.offsets, "tags": list(x.tags.items())})
             types = {"version": pa.string(), "layer": pa.int32(), "sample_rate": pa.int32(), "channels": pa.int32(), "duration_s": pa.float64(), "variable": pa.bool_(), "vbr_table": pa.string(), "seek_offsets": pa.list_(pa.int64()), "tags": pa.map_(pa.string(), pa.string())}
             names = [f.split(" ")[0] for f in INDEX.replace("map<string,string>", "map").split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], types.get(c, pa.int64())) for c in names)], names=["id", *names])
 
-    return media.select(F.col(id_col).cast("long").alias("id"), media_col).mapInArrow(run, f"id long, {INDEX}").withColumnRenamed("id", id_col)
+    return map_batches(media.select(F.col(id_col).cast("long").alias("id"), media_col), run, f"id long, {INDEX}").withColumnRenamed("id", id_col)
 
 
 # --- bytes as audio ---
@@ -241,7 +264,10 @@ HEADS = {size: frame_head(size) for size in SIZES}
 
 
 def store(payload: bytes) -> bytes:
-    """A file of MPEG-1 layer III, 32 kHz mono: tag with the payload's size, Xing table, frames that carry the payload."""
+    """A file of MPEG-1 layer III, 32 kHz mono: tag with the payload's size, Xing table, frames with the payload, ID3v1 tag.
+
+    The tag at the end is there so that no payload can stand where such a tag is looked for.
+    """
     room, parts = LARGEST - LEAD, []
     for k in range(0, len(payload), room):
         body = payload[k : k + room]
@@ -253,12 +279,12 @@ def store(payload: bytes) -> bytes:
     xing = (frame_head(lead, False) + b"Xing" + (7).to_bytes(4, "big") + len(parts).to_bytes(4, "big") + (lead + len(audio)).to_bytes(4, "big") + toc).ljust(lead, b"\0")
     text = b"\3payload_bytes\0" + str(len(payload)).encode()
     tag = b"TXXX" + bytes((0, 0, 0, len(text))) + b"\0\0" + text
-    return b"ID3\4\0\0" + bytes((0, 0, 0, len(tag))) + tag + xing + audio
+    return b"ID3\4\0\0" + bytes((0, 0, 0, len(tag))) + tag + xing + audio + b"TAG".ljust(127, b"\0") + b"\xff"
 
 
 def read(media: bytes, x: Index) -> bytes:
-    """The payload of a medium that ``store`` made."""
-    left, out = int(x.tags["payload_bytes"]), []
+    """The payload of a medium that ``store`` made; of any other nothing."""
+    left, out = int(x.tags["payload_bytes"]) if x.tags.get("payload_bytes", "").isdigit() else 0, []
     for at in x.offsets:
         h = header(media[at : at + 4])
         out.append(media[at + LEAD : at + min(h.size, LEAD + left)])
@@ -284,16 +310,22 @@ def store_texts(docs: DataFrame, unit: int = 192) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(store, batch.column(2).to_pylist()), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     texts = whole_texts(docs)
-    return texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text"), unit).alias("payload")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text"), unit).alias("payload")), run, "doc_id long, n_bytes long, media binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, seek_offsets array<long>"
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Sizes and digests of stored media and of the payload read back from them, with the features of the frames."""
+    """Sizes and digests of stored media and of the payload read back from them, with the features of the frames.
+
+    duration_s is exact (samples by rate), seek_offsets has each frame's place. A null medium counts as empty; an empty,
+    broken or foreign one has no payload (0 bytes and their digests), and without frames no offsets and the feature "".
+    """
 
     def feature(x: Index) -> str:
+        if not x.offsets:
+            return ""
         seek = hashlib.sha256(",".join(map(str, x.offsets)).encode()).hexdigest()[:16]
         return f"mpeg{VERSIONS[x.first.version]}-l{x.first.layer} {x.first.rate}Hz x{x.first.channels} frames={len(x.offsets)}/{x.table_frames} samples={x.samples} kbps={min(x.bitrates)}-{max(x.bitrates)} crc={x.crc_ok}/{x.crc_ok + x.crc_bad} skipped={x.skipped} seek={seek}"
 
@@ -301,10 +333,11 @@ def digests(stored: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for media in batch.column("media").to_pylist():
+                media = media or b""
                 x = index(media)
                 payload = read(media, x)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(x)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(x), x.samples / x.first.rate if x.first else 0.0, x.offsets))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[f.split(" ")[0] for f in DIGEST.split(", ")])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return map_batches(stored.select("doc_id", "n_bytes", "media"), run, DIGEST)
