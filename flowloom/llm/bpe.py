@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from flowloom.llm.common import whole_texts
+from flowloom.llm.common import map_batches, whole_texts
 
 NONE = np.int64(1 << 40)
 #: The split of byte-level BPE before merging: a fixed value of the vocabulary's format.
@@ -175,15 +175,15 @@ def slices(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.
 
 #: Texts with these keep their white space together: anything but single spaces and line feeds between words. NUL marks a text's begin.
 ODD = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
-#: Longer chunks are encoded anew each time.
-LONGEST = 64
+#: Between a printable ASCII character and a space or line feed after it a pre-token always ends and another begins.
+SAFE = regex.compile(r"(?<=[!-~])(?=[ \n])")
 
 
 class ByteLevelTexts:
     """Encodes batches of texts under a byte-level vocabulary, as the library does.
 
     A pre-token always begins at a single space, or at a line feed, that stands between two other characters;
-    so texts are cut there, and each distinct chunk is encoded once. Other texts are encoded as one chunk.
+    so texts are cut there, and each distinct chunk is encoded once. Other texts are cut into long parts where that is safe.
     Strings of special tokens in a text become those tokens.
     """
 
@@ -193,15 +193,21 @@ class ByteLevelTexts:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")") if self.bpe.special else None
         self.odd = ODD + "".join("|" + regex.escape(s) for s in self.bpe.special)
 
-    def alone(self, text: str) -> np.ndarray:
-        """The ids of one text, without the store."""
-        out = []
+    def parts(self, text: str, longest: int = 1 << 16):
+        """The ids of one text, without the store: part by part, each cut at the first safe place after ``longest``."""
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.bpe.special:
-                out.append(np.array([self.bpe.special[part]], np.int32))
-            elif part:
-                out.append(self.bpe.encode([w.encode() for w in WORDS.findall(part)])[0].astype(np.int32))
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+                yield np.array([self.bpe.special[part]], np.int32)
+                continue
+            at = 0
+            while at < len(part):
+                place = SAFE.search(part, at + longest) if len(part) - at > longest else None
+                end = place.start() if place else len(part)
+                yield self.bpe.encode([w.encode() for w in WORDS.findall(part[at:end])])[0].astype(np.int32)
+                at = end
+
+    def alone(self, text: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int32), *self.parts(text)])
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which texts are odd; for the others, the places of all their chunks and the number of each one's chunks."""
@@ -220,7 +226,7 @@ class ByteLevelTexts:
         out = np.zeros(len(texts), np.int64)
         out[~odd] = total[ends] - total[ends - sizes]
         for k in np.flatnonzero(odd):
-            out[k] = len(self.alone(texts[int(k)].as_py()))
+            out[k] = sum(map(len, self.parts(texts[int(k)].as_py())))
         return out
 
     def ids(self, texts: pa.Array):
@@ -290,7 +296,7 @@ def encode(docs: DataFrame, tokenizer_path: str, batch_bytes: int = 8 << 20) ->
                 ids = byte_level(tokenizer_path).ids(batch.column("text")[part])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[part], "ids": pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))})
 
-    return whole_texts(docs).mapInArrow(run, SCHEMA)
+    return map_batches(whole_texts(docs), run, SCHEMA)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -301,7 +307,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array([bpe.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -325,4 +331,4 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, batch_bytes: int =
                     rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[part], "n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string())})
 
-    return whole_texts(docs).mapInArrow(run, DIGEST)
+    return map_batches(whole_texts(docs), run, DIGEST)

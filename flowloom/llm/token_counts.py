@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from flowloom.llm.bpe import by_bytes, byte_level
-from flowloom.llm.common import whole_texts
+from flowloom.llm.common import map_batches, whole_texts
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -28,4 +28,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch_
                 counts = byte_level(tokenizer_path).lengths(texts)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[part], "n_bytes": pc.cast(pc.binary_length(texts), pa.int64()), "n_tokens": pa.array(counts), "over_limit": pa.array(counts > limit)})
 
-    return whole_texts(docs).mapInArrow(run, SCHEMA)
+    return map_batches(whole_texts(docs), run, SCHEMA)
