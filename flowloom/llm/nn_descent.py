@@ -71,7 +71,7 @@ def numbered(rows: DataFrame, top: str, dim: int, kind: str) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([*k.columns, pa.array(np.full(k.num_rows, part, np.int32)), pa.array(np.arange(at, at + k.num_rows))], names=["a", "b", "part", "at"])
             at += k.num_rows
 
-    saved = written(rows.mapInArrow(save, "a long, b long, part int, at long"), "nodes")
+    saved = written(map_batches(rows, save, "a long, b long, part int, at long"), "nodes")
     sizes = dict(saved.groupBy("part").count().collect())  # one row for each partition
     firsts = [0]
     for k in range(max(sizes, default=-1) + 1):
@@ -129,7 +129,7 @@ def improved(around: DataFrame, vectors: Vectors, degree: int, sample: int, turn
     def table(found):
         return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.list_(pa.int64()))], names=["v", "near"])
 
-    return told.repartition("u").sortWithinPartitions("u").mapInArrow(best, "v long, near array<long>")
+    return map_batches(told.repartition("u").sortWithinPartitions("u"), best, "v long, near array<long>")
 
 
 def changed(before: DataFrame, after: DataFrame) -> float:
@@ -182,7 +182,7 @@ def saved_graph(around: DataFrame, top: str, width: int) -> None:
             put(f"{top}/graph-{s:05d}", [out])
             yield pa.RecordBatch.from_pydict({"shard": [s]})
 
-    around.repartition(F.floor(F.col("v") / SHARD)).mapInArrow(save, "shard long").agg(F.count("*")).collect()
+    map_batches(around.repartition(F.floor(F.col("v") / SHARD)), save, "shard long").agg(F.count("*")).collect()
 
 
 def walk(x: np.ndarray, start: int, vectors: Vectors, top: str, width: int, beam: int, step: int = 32) -> np.ndarray:
@@ -217,7 +217,8 @@ def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, roun
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id; a query with fewer candidates gets
     them all. Null and zero vectors, such with null or non-finite components, and rows without an id take no part, nor do
-    vectors of another length than the smallest id's. Of rows with the same vec_id and vector one counts. An empty table
+    vectors of another length than the smallest id's. Of rows with the same vec_id and vector one counts; several vectors
+    of one vec_id make one query, whose candidates are ranked by the best of them. An empty table
     gives an empty one; other columns are left out.
     """
     spark = vecs.sparkSession
@@ -228,7 +229,7 @@ def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, roun
         return empty
     dim = first[0]
     kind = "float32" if dict(vecs.dtypes)["embedding"] == "array<float>" else "float64"
-    rows = rows.where(F.size("v") == dim).select("vec_id", F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"), F.col("v").cast(f"array<{'float' if kind == 'float32' else 'double'}>").alias("v"))
+    rows = rows.where(F.size("v") == dim).select("vec_id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), F.col("v").cast(f"array<{'float' if kind == 'float32' else 'double'}>").alias("v"))
     # of equal vectors, the k + 1 smallest ids can be among the k nearest of a row; the first stands for all
     own = Window.partitionBy("a", "b").orderBy("vec_id")
     members = written(rows.dropDuplicates(["vec_id", "a", "b"]).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k + 1), "members")
@@ -255,7 +256,7 @@ def search(vecs: DataFrame, every: int = 20, k: int = 20, degree: int = 24, roun
 
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "a", "b"]).join(nodes, ["a", "b"]).select(F.col("vec_id").alias("query_id"), "number", "v")
     queries = queries.repartition(spark.sparkContext.defaultParallelism * 2, "query_id")
-    found = queries.mapInArrow(find, "query_id long, number long, score double")
+    found = map_batches(queries, find, "query_id long, number long, score double")
     ids = members.join(nodes, ["a", "b"]).select("number", "vec_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = found.join(ids, "number").where("vec_id <> query_id").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

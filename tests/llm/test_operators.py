@@ -175,3 +175,74 @@ def test_pii_selects_planted_spans(spark):
     wrong = [x.doc_id for x in found if x.doc_id not in planted and x.spans]
     assert len(hit) >= 0.9 * len(planted) and len(wrong) <= 0.02 * len(rows)
     assert pii.find(df.where("doc_id < 0"), pii.fit(df.where("doc_id < 0"))).count() == 0
+
+
+def frames_of(version, layer, rate_at, mode, bits, n=3, bitrate_at=8):
+    """Frames of one kind with the given content bits after the checksum, and a checksum computed bit by bit."""
+    head = bytes((0xFF, 0xE0 | version << 3 | (4 - layer) << 1, bitrate_at << 4 | rate_at << 2, mode))
+    h = mpeg_audio.header(head)
+    said = "".join(f"{b:08b}" for b in head[2:4]) + bits
+    crc = 0xFFFF
+    for bit in said:
+        top = crc >> 15 ^ int(bit)
+        crc = crc << 1 & 0xFFFF
+        if top:
+            crc ^= 0x8005
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return (head + crc.to_bytes(2, "big") + body).ljust(h.size, b"\x55") * n
+
+
+def test_media_of_other_layers_and_tags(spark):
+    tag = b"TAG" + b"a title".ljust(30, b"\0") + b"someone".ljust(30, b"\0") + bytes(65)
+    # layer I, joint stereo from subband 8: 8 * 2 + 24 allocations of 4 bits
+    one = frames_of(3, 1, 1, 1 << 6 | 1 << 4, "0110" * 40)
+    # layer II, MPEG-1, 44.1 kHz, 128 kbit/s stereo (64 a channel: table a); the first band is allocated in one channel
+    two = frames_of(3, 2, 0, 0, "0011" + "0000" * 21 + "000" * 24 + "00" * 8 + "10")
+    # layer II, MPEG-2, 24 kHz mono: subbands 0 and 1 allocated
+    low = frames_of(2, 2, 1, 0xC0, "0001" + "0010" + "0000" * 2 + "000" * 7 + "00" * 19 + "0111")
+    # layer III, MPEG-2.5, 8 kHz mono: 9 bytes of side information
+    three = frames_of(0, 3, 2, 0xC0, "01" * 36)
+    vbri = bytearray(frames_of(3, 3, 0, 0, "0" * 256, n=4)[: 4 * 417])
+    vbri[36:54] = b"VBRI" + bytes(6) + (4 * 417).to_bytes(4, "big") + (3).to_bytes(4, "big")
+    media = [one, two, low, three, bytes(vbri) + tag, b"junk" * 50 + two + b"more junk", None, b"", b"no audio at all"]
+    df = spark.createDataFrame([(i, m, "x") for i, m in enumerate(media)], "doc_id long, media binary, tags string")
+    rows = {r.doc_id: r for r in mpeg_audio.index_columns(df).collect()}
+    for i, (version, layer, rate, samples) in enumerate([("1", 1, 48000, 384), ("1", 2, 44100, 1152), ("2", 2, 24000, 1152), ("2.5", 3, 8000, 576)]):
+        r = rows[i]
+        assert (r.version, r.layer, r.sample_rate, r.n_frames, r.crc_ok, r.crc_bad) == (version, layer, rate, 3, 3, 0), r
+        assert r.duration_s == 3 * samples / rate and r.seek_offsets == [0, len(media[i]) // 3, 2 * len(media[i]) // 3]
+    assert (rows[4].vbr_table, rows[4].vbr_frames, rows[4].n_frames, rows[4].tags) == ("VBRI", 3, 3, {"TIT2": "a title", "TPE1": "someone"})
+    assert (rows[5].n_frames, rows[5].skipped_bytes, rows[5].seek_offsets[0]) == (3, 209, 200)
+    assert all(rows[i].n_frames == 0 and rows[i].version is None for i in (6, 7, 8))
+    foreign = mpeg_audio.digests(df.withColumn("n_bytes", df.doc_id)).collect()
+    assert len(foreign) == len(media) and all(r.payload_bytes == 0 for r in foreign) and all(r.feature == "" and r.seek_offsets == [] for r in foreign if r.doc_id > 5)
+
+
+def test_media_payload_that_looks_like_a_tag(spark, empty):
+    """TAG may stand anywhere in a payload; all lengths around 128 bytes before the end come back."""
+    texts = [" " * k + "TAG" + "x" * (192 * 2 - 3 - k) for k in range(200, 300)]
+    rows = mpeg_audio.digests(mpeg_audio.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in rows:
+        assert r.payload_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.duration_s == len(r.seek_offsets) * 1152 / 32000
+    assert mpeg_audio.digests(mpeg_audio.store_texts(empty)).count() == 0
+
+
+def test_long_odd_texts_are_cut_at_safe_places(spark, empty):
+    """Texts with odd white space, much longer than a part, count and come back as the library has them."""
+    import random
+
+    r = random.Random(5)
+    path = tokenizer("byte_bpe_50k.json")
+    odd = ["\t", "\r\n", "\n\n", "  ", " ", "\n", "\u00a0", " \u3000", "   x", "it's", "don't ", "<|endoftext|>", "é", "中文", "12 3", "!? ", "word", " the", "\x0b"]
+    texts = ["".join(r.choices(odd, k=70_000)), " " * 200_000 + "end", "x" * 5000 + "\t" + "ab cd\n" * 40_000, "\u00a0"]
+    df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)] + [(0, texts[0], "n"), (None, "a  b", "n")], "doc_id long, text string, n_tokens string")
+    library = Tokenizer.from_file(path)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)} | {None: library.encode("a  b", add_special_tokens=False).ids}
+    got = token_counts.token_counts(df, path).collect()
+    assert len(got) == len(texts) + 2 and all(x.n_tokens == len(want[x.doc_id]) for x in got)
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    for x in bpe.round_trip_digests(df, path).collect():
+        assert x.ids_sha256 == digest(",".join(map(str, want[x.doc_id])).encode())
+        assert x.decoded_sha256 == digest(library.decode(want[x.doc_id], skip_special_tokens=False).encode())
+    assert token_counts.token_counts(empty, path).count() == 0
