@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import ratio
-from flowloom.operators.timeline import frame, own, with_halo
 from flowloom.sources.flows import BENIGN
 
 
@@ -75,11 +74,56 @@ def gaps(flows: DataFrame, seconds: int) -> DataFrame:
     return at.select(prev.alias("before_s"), F.col("t").alias("after_s")).where(F.col("after_s") - F.col("before_s") > seconds).withColumn("gap_s", F.col("after_s") - F.col("before_s"))
 
 
-def order_breaks(flows: DataFrame) -> DataFrame:
-    """One row: steps back and repeats of the timestamp in order of row_id, and steps in all."""
-    cut = with_halo(flows.select("row_id", "event_ts"), "row_id", 1)
-    step = own(cut.withColumn("prev", F.lag("event_ts").over(frame("row_id"))))
-    return step.agg(F.count("prev").alias("steps"), F.count_if(F.col("event_ts") < F.col("prev")).alias("backwards"), F.count_if(F.col("event_ts") == F.col("prev")).alias("repeats"))
+def order_breaks(flows: DataFrame, part: str | None = None, chunk: int = 4096) -> DataFrame:
+    """Steps of the timestamp in order of row_id, steps back and repeats: one row, or one for each ``part`` (file).
+
+    Chunks of row_id are compared on their own, each with the last row of the chunk before it, however far back that is.
+    """
+    by = [part] if part else []
+    at = flows.select(*by, "row_id", "event_ts").withColumn("chunk", F.floor(F.col("row_id") / chunk))
+    last = at.groupBy(*by, "chunk").agg(F.max_by("event_ts", "row_id").alias("last"))
+    order = Window.partitionBy(*by).orderBy("chunk")  # one row for each chunk
+    joined = at.join(last.withColumn("carried", F.lag("last").over(order)).drop("last"), [*by, "chunk"])
+    inside = Window.partitionBy(*by, "chunk").orderBy("row_id")
+    first = F.row_number().over(inside) == 1
+    step = joined.withColumn("prev", F.when(first, F.col("carried")).otherwise(F.lag("event_ts").over(inside)))
+    sums = [F.count("prev").alias("steps"), F.count_if(F.col("event_ts") < F.col("prev")).alias("backwards"), F.count_if(F.col("event_ts") == F.col("prev")).alias("repeats")]
+    return step.groupBy(part).agg(*sums) if part else step.agg(*sums)
+
+
+def by_file(flows: DataFrame) -> DataFrame:
+    """Per file: rows, benign, attack as the rest, labels with counts (JSON, by name), timestamps, durations and packets.
+
+    running_rows and running_attack add up the files in order of their names.
+    """
+    benign = F.count_if(F.col("label_type") == BENIGN)
+    one = flows.groupBy("source_file").agg(F.count("*").alias("n_rows"), benign.alias("n_benign"), (F.count("*") - benign).alias("n_attack"), F.count_if(F.col("event_ts").isNull()).alias("unparsed"), F.min("event_ts").alias("first_seen"), F.max("event_ts").alias("last_seen"), F.count_if(F.col("duration_ms") < 0).alias("negative_duration"), F.count_if(F.col("packet_count") == 0).alias("zero_packets"))
+    labels = flows.groupBy("source_file", "label_type").count().groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("label_type", F.lit("")).alias("k"), F.col("count").alias("n")))).alias("x"))
+    said = F.concat(F.lit("{"), F.array_join(F.transform("x", lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), p["n"].cast("string"))), ","), F.lit("}"))
+    files = Window.orderBy("source_file")  # one row for each file
+    return one.join(labels.select("source_file", said.alias("labels")), "source_file").withColumns({"running_rows": F.sum("n_rows").over(files), "running_attack": F.sum("n_attack").over(files)})
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part / whole as a percentage with four digits, 0/0 as 0."""
+    return F.format_string("%.4f%%", ratio(part, whole) * 100)
+
+
+def span(flows: DataFrame, start: float, end: float) -> DataFrame:
+    """The flows of a contiguous stretch of time, from one share of the whole range to another (never a sample of rows)."""
+    ends = flows.agg(F.unix_micros(F.to_timestamp(F.min("event_ts"))).alias("a"), F.unix_micros(F.to_timestamp(F.max("event_ts"))).alias("b"))
+    at = F.unix_micros(F.to_timestamp("event_ts"))
+    inside = (at >= F.col("a") + F.floor((F.col("b") - F.col("a")) * start)) & (at < F.col("a") + F.floor((F.col("b") - F.col("a")) * end))
+    return flows.crossJoin(F.broadcast(ends)).where(inside).drop("a", "b")
+
+
+def position(flows: DataFrame) -> DataFrame:
+    """Adds the place of each flow in the order of (event_ts, row_id): its rank within a day and the flows of days before."""
+    day = flows.where("event_ts IS NOT NULL").withColumn("day", F.to_date("event_ts"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row for each day
+    base = day.groupBy("day").count().select("day", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("day").orderBy("event_ts", "row_id")
+    return day.join(base, "day").withColumn("place", F.col("base") + F.row_number().over(inside)).drop("base", "day")
 
 
 def coverage(flows: DataFrame) -> DataFrame:

@@ -36,34 +36,61 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """One capture file or folder: trimmed names, the required columns with their types, and source_file.
+def files_in(spark: SparkSession, paths: list[str], ending: str = ".csv") -> list[str]:
+    """The files with an ending in folders, and files named as such, in order. Absent paths are skipped."""
+    out = []
+    for path in paths:
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(top):
+            out += [str(x.getPath().toString()) for x in store.listStatus(top) if x.isFile() and x.getPath().getName().endswith(ending)]
+    return sorted(out)
 
-    Cells that don't parse are null. None if a required column is missing.
-    """
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
-    trimmed = [c.strip() for c in raw.columns]
-    if set(REQUIRED) - set(trimmed):
+
+def header_of(spark: SparkSession, file: str) -> list[str] | None:
+    """The column names of a CSV file as they stand there; None if it can't be read or is empty."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return spark.read.option("header", True).csv(file).columns or None
+    except PySparkException:
         return None
-    named = raw.toDF(*trimmed)
-    return named.select(*[F.expr(f"try_cast(`{c}` AS {t})").alias(c) for c, t in TYPES.items()], F.col("_metadata.file_name").alias("source_file"))
 
 
 def scan_all(spark: SparkSession, paths: list[str]) -> DataFrame | None:
-    """The union of all files or folders that have the required columns."""
+    """The rows of all capture files in folders: the required columns with their types, and where they come from.
+
+    Names are trimmed. Files are read by their own headers, one scan for all files with the same one, whatever the order of
+    their columns; a file without a required column or that can't be read is skipped, as is an absent path. Cells that don't
+    parse are null. source_file is the file's name; source_block and row_id order its rows. None without any such file.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file in files_in(spark, paths):  # one header for each file
+        names = header_of(spark, file)
+        if names and not set(REQUIRED) - {c.strip() for c in names}:
+            alike.setdefault(tuple(names), []).append(file)
     out = None
-    for path in paths:
-        one = scan_csv(spark, path)
-        if one is not None:
-            out = one if out is None else out.unionByName(one)
-    return out
+    for names, files in alike.items():
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(", ".join(f"`c{k}` string" for k in range(len(names)))).option("enforceSchema", True).csv(files)
+        place = {c.strip(): k for k, c in reversed(list(enumerate(names)))}
+        one = raw.select(*[F.expr(f"try_cast(c{place[c]} AS {t})").alias(c) for c, t in TYPES.items()], F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"))
+        out = one if out is None else out.unionByName(one)
+    return None if out is None else out.withColumn("row_id", F.monotonically_increasing_id())
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """One capture file or folder; see ``scan_all``."""
+    return scan_all(spark, [path])
 
 
 def from_capture(raw: DataFrame) -> DataFrame:
-    """Flow records of capture rows; protocol numbers get names."""
+    """Flow records of capture rows, with source_file and source_block; protocol numbers get names.
+
+    row_id numbers the rows of the scan: equal rows keep their own, in the order of their file.
+    """
     names = F.create_map(*[F.lit(x) for pair in ((1, "ICMP"), (6, "TCP"), (17, "UDP")) for x in pair])
     return raw.select(
-        F.xxhash64(*raw.columns).alias("row_id"),
+        "row_id",
         F.col("Flow ID").alias("flow_id"),
         parse(F.col("Timestamp")).alias("event_ts"),
         (F.col("Total Length of Fwd Packets") + F.col("Total Length of Bwd Packets")).cast("long").alias("byte_count"),
@@ -72,33 +99,42 @@ def from_capture(raw: DataFrame) -> DataFrame:
         F.coalesce(names[F.col("Protocol")], F.col("Protocol").cast("string")).alias("protocol"),
         (F.col("Label") != BENIGN).alias("label_binary"),
         F.col("Label").alias("label_type"),
+        "source_file",
+        "source_block",
     )
 
 
 def manifest(spark: SparkSession, paths: list[str], chunk: int = 8 << 20) -> DataFrame:
-    """path, size_bytes and sha256 of files, read in chunks by the workers (local or mounted paths)."""
+    """path, size_bytes, size_mib, sha256 and error of files, read in chunks by the workers (local or mounted paths).
+
+    A file that can't be read has an error and nulls; the others are not affected.
+    """
 
     def digest(batches):
         for batch in batches:
             rows = []
             for path in batch.column("path").to_pylist():
                 h, n = hashlib.sha256(), 0
-                with open(path, "rb") as f:
-                    while part := f.read(chunk):
-                        h.update(part)
-                        n += len(part)
-                rows.append((path, n, h.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["path", "size_bytes", "sha256"])
+                try:
+                    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+                        while part := f.read(chunk):
+                            h.update(part)
+                            n += len(part)
+                    rows.append((path, n, n / 2**20, h.hexdigest(), None))
+                except OSError as e:
+                    rows.append((path, None, None, None, type(e).__name__))
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "size_bytes", "size_mib", "sha256", "error"])
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(digest, "path string, size_bytes long, sha256 string")
+    return files.mapInArrow(digest, "path string, size_bytes long, size_mib double, sha256 string, error string")
 
 
 def synthetic(spark: SparkSession, benign: int = 1000, attack: int = 500) -> DataFrame:
     """A stream of benign TCP flows at 10 a second, then a burst of UDP attack flows at 100 a second; the same each time."""
     n = spark.range(benign + attack)
     bad = F.col("id") >= benign
-    h = lambda k: F.pmod(F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{k}")).cast("binary")), F.lit(10_000))
+    h = lambda k: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{k}")).cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     micros = F.when(bad, 100_000_000 + F.col("id") * 10_000).otherwise(F.col("id") * 100_000)
     return n.select(
         F.concat(F.lit("flow-"), F.col("id")).alias("flow_id"),
