@@ -20,15 +20,16 @@ def flow_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 
 def closed_bins(flows: DataFrame, delta: int = DELTA, lateness: int = 2, dedupe: bool = True) -> DataFrame:
-    """(bin, n_flows, sum_bytes, sum_packets) of bins that the watermark has passed; later flows are dropped and counted by Spark.
+    """(bin, n_flows, sum_bytes, sum_packets, n_attack) of bins that the watermark has passed; later flows are dropped and counted by Spark.
 
-    With ``dedupe`` a flow_id counts once within the watermark's delay.
+    With ``dedupe`` a flow_id counts once within the watermark's delay. With a column stream_id each stream has its own bins.
     """
     marked = flows.withWatermark("event_ts", f"{lateness * delta} seconds")
     if dedupe:
         marked = marked.dropDuplicatesWithinWatermark(["flow_id"])
-    sums = marked.groupBy(F.window("event_ts", f"{delta} seconds")).agg(F.count("*").alias("n_flows"), F.sum("byte_count").alias("sum_bytes"), F.sum("packet_count").alias("sum_packets"), F.count_if("label_binary").alias("n_attack"))
-    return sums.select(F.floor(F.unix_timestamp("window.start") / delta).alias("bin"), "n_flows", "sum_bytes", "sum_packets", "n_attack", F.col("window.end").alias("closed_at"))
+    keys = ["stream_id"] if "stream_id" in flows.columns else []
+    sums = marked.groupBy(F.window("event_ts", f"{delta} seconds"), *keys).agg(F.count("*").alias("n_flows"), F.sum("byte_count").alias("sum_bytes"), F.sum("packet_count").alias("sum_packets"), F.count_if("label_binary").alias("n_attack"))
+    return sums.select(*keys, F.floor(F.unix_timestamp("window.start") / delta).alias("bin"), "n_flows", "sum_bytes", "sum_packets", "n_attack", F.col("window.end").alias("closed_at"))
 
 
 class WindowState:
@@ -65,31 +66,23 @@ class WindowState:
 
 def verdicts(closed: DataFrame, span: int = 32, resets: int = 100) -> DataFrame:
     """One verdict for each closed bin: keyed by stream_id (one stream unless the column exists), state in the state store."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    class Processor(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("window", "last long, seen long, behind long, sums array<long>")
+    def answer(key, parts, state) -> Iterator:
+        import pandas as pd
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            import pandas as pd
-
-            window = WindowState(span, resets)
-            if self.state.exists():
-                window.load(*self.state.get())
-            out = []
-            for row in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.bin):
-                if said := window.add(int(row.bin), int(row.n_flows), int(row.n_attack)):
-                    out.append((key[0], int(row.bin), *said))
-            self.state.update((window.last, window.seen, window.behind, window.sums))
-            yield pd.DataFrame(out, columns=["stream_id", "bin", "verdict", "confidence"])
-
-        def close(self) -> None:
-            pass
+        window = WindowState(span, resets)
+        if state.exists:
+            window.load(*state.get)
+        out = []
+        for row in sorted((r for pdf in parts for r in pdf.itertuples(index=False)), key=lambda r: r.bin):
+            if said := window.add(int(row.bin), int(row.n_flows), int(row.n_attack)):
+                out.append((key[0], int(row.bin), *said))
+        state.update((window.last, window.seen, window.behind, window.sums))
+        yield pd.DataFrame(out, columns=["stream_id", "bin", "verdict", "confidence"])
 
     keyed = closed if "stream_id" in closed.columns else closed.withColumn("stream_id", F.lit("all"))
-    schema = "stream_id string, bin long, verdict string, confidence double"
-    return keyed.select("stream_id", "bin", "n_flows", "n_attack").groupBy("stream_id").transformWithStateInPandas(Processor(), schema, "Append", "None")
+    schema, held = "stream_id string, bin long, verdict string, confidence double", "last long, seen long, behind long, sums array<long>"
+    return keyed.select("stream_id", "bin", "n_flows", "n_attack").groupBy("stream_id").applyInPandasWithState(answer, schema, held, "append", "NoTimeout")
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
@@ -98,3 +91,22 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def count_by_trigger(stream: DataFrame, column: str, folder: str) -> None:
+    """Writes, for each trigger, how often each value of a column came; a repeated trigger replaces its own counts."""
+
+    def save(batch: DataFrame, trigger: int) -> None:
+        batch.groupBy(column).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counters/trigger={trigger}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert_bins(flows: DataFrame, folder: str, delta: int = DELTA) -> None:
+    """Writes, for each trigger, the sums that its flows add to their bins; a repeated trigger replaces its own."""
+    from flowloom.operators.windows import bins
+
+    def save(batch: DataFrame, trigger: int) -> None:
+        bins(batch, delta).write.mode("overwrite").parquet(f"{folder}/sums/trigger={trigger}")
+
+    flows.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/replayed").trigger(availableNow=True).start().awaitTermination()
