@@ -31,3 +31,13 @@ def running_total(df: DataFrame, key: str, value: Column, name: str, chunk: int
     base = sums.select("__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     inside = cut.withColumn("__inside", F.sum("__value").over(frame(key)))
     return inside.join(base, "__chunk").withColumn(name, F.col("__base") + F.col("__inside")).drop("__chunk", "__value", "__inside", "__base")
+
+
+def running_max(df: DataFrame, order: list[str], chunk: Column, value: Column, name: str) -> DataFrame:
+    """Adds the greatest ``value`` of all rows before each, in an order that ``chunk`` follows: of its chunk and those before."""
+    cut = df.withColumn("__chunk", chunk).withColumn("__value", value)
+    most = cut.groupBy("__chunk").agg(F.max("__value").alias("__most"))
+    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for each chunk
+    base = most.select("__chunk", F.max("__most").over(before).alias("__base"))
+    inside = F.max("__value").over(Window.partitionBy("__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return cut.join(base, "__chunk").withColumn(name, F.greatest("__base", inside)).drop("__chunk", "__value", "__base")
