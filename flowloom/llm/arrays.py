@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 
 #: Files mapped by a worker at once.
-MOST = 1024
+MOST = 1 << 15
 
 
 def opened(uri: str, mode: str):

@@ -1,9 +1,11 @@
-"""An interpolated modified Kneser-Ney n-gram model, counted in Spark and kept as sorted hash arrays.
-
-Words are hashes of 64 bits. The vocabulary is a sorted array of hashes, written in shards by their first bits; a word's
-number is its place in it. Pairs of words are one number of 64 bits, (first << 32 | second), sorted likewise. Workers map
-the arrays into memory and search them; nothing of the model passes through the driver except the counts of counts and
-one row for each shard.
+"""An interpolated modified Kneser-Ney n-gram model of any order, counted in Spark and kept as sorted arrays.
+
+Words are hashes of 64 bits, in shards of a sorted array; a word's number is its place. An n-gram is one number of 64
+bits: its context's place among the grams one shorter, and its last word's number; grams are sorted by it, in shards of
+ranges of contexts, and their places name them in turn. Tasks combine the grams of their texts before they shuffle
+them, packed by shard, so a row holds many grams. Workers map the arrays into memory and search them; nothing of the
+model passes through the driver except the counts of counts and one row for each shard. The number of shards grows with
+the texts.
 """
 
 from __future__ import annotations
@@ -14,16 +16,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import mapped, put
-from flowloom.llm.common import crc_fold, map_batches, shared_dir, whole_texts, written
+from flowloom.llm.common import crc_fold, map_batches, shared_dir, whole_texts
 
 END = b""  # no word is empty
-SHARDS = 256
-#: The number of the context before a text's first word.
+#: The context of a text's first word: no place is as great.
 BEGIN = (1 << 31) - 2
+#: Text bytes for each shard, and the bounds of their number.
+SHARD_BYTES, FEWEST, MOST = 1 << 21, 64, 1 << 15
+#: Grams that a task combines before it sends them.
+HELD = 1 << 21
 
 
 def tokens(text: str) -> list[bytes]:
@@ -35,52 +41,121 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)  # signed, in the same order
 
 
+def owners(starts: tuple[int, ...], places: np.ndarray) -> np.ndarray:
+    """The shard of each place, given the shards' first places and their end."""
+    return np.searchsorted(np.asarray(starts), places, "right") - 1
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Shards of the words: where, how many entries, and the number of the first; training totals."""
+    """Shards of the words: where, each one's first number (and the end), and how many training tokens there are."""
 
     top: str
-    sizes: tuple[int, ...]
+    starts: tuple[int, ...]
     total: int
 
     @property
     def size(self) -> int:
-        return sum(self.sizes)
+        return self.starts[-1]
+
+    @property
+    def shards(self) -> int:
+        return len(self.starts) - 1
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers (-1: unknown) and counts of sorted hashes."""
         numbers, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(hashes >> 56, np.arange(-SHARDS // 2, SHARDS // 2 + 1))
-        first = 0
-        for k, n in enumerate(self.sizes):
-            a, b = cuts[k], cuts[k + 1]
-            if n and a < b:
-                raw = mapped(f"{self.top}/words-{k:03d}")
+        for k, a, b in stretches(word_shard(hashes, self.shards)):
+            n = self.starts[k + 1] - self.starts[k]
+            if n:
+                raw = mapped(f"{self.top}/words-{k:05d}")
                 keys, own = raw[: 8 * n].view(np.int64), raw[8 * n :].view(np.int64)
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), n - 1)
                 hit = keys[at] == hashes[a:b]
-                numbers[a:b] = np.where(hit, first + at, -1)
+                numbers[a:b] = np.where(hit, self.starts[k] + at, -1)
                 counts[a:b] = np.where(hit, own[at], 0)
-            first += n
         return numbers, counts
 
 
+def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a hash: shards are ranges of its 32 high bits."""
+    return ((hashes >> 32) + (1 << 31)) * shards >> 32
+
+
+def stretches(shard: np.ndarray):
+    """(shard, begin, end) of a sorted array of shards."""
+    cuts = np.append(np.flatnonzero(np.diff(shard)) + 1, len(shard))
+    begin = 0
+    for end in cuts.tolist() if len(shard) else []:
+        yield int(shard[begin]), begin, end
+        begin = end
+
+
+@dataclass(frozen=True)
+class Grams:
+    """The grams of one length: shards by ranges of ``wide`` contexts, one more for BEGIN; their first places and end."""
+
+    top: str
+    length: int
+    wide: int
+    starts: tuple[int, ...]
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return np.where(keys >> 32 == BEGIN, len(self.starts) - 2, (keys >> 32) // self.wide)
+
+    def keys(self, k: int) -> np.ndarray:
+        return mapped(f"{self.top}/grams{self.length}-{k:05d}").view(np.int64)
+
+    def counts(self, k: int) -> np.ndarray:
+        return counts_in(f"{self.top}/counts{self.length}-{k:05d}")
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The places of sorted keys; -1 of unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        first = int(np.searchsorted(keys, 0))  # contexts that are unknown make negative keys
+        for k, a, b in stretches(self.shard(keys[first:])):
+            if self.starts[k + 1] > self.starts[k]:
+                known = self.keys(k)
+                at = np.minimum(np.searchsorted(known, keys[first + a : first + b]), len(known) - 1)
+                out[first + a : first + b] = np.where(known[at] == keys[first + a : first + b], self.starts[k] + at, -1)
+        return out
+
+    def shorter(self, places: np.ndarray) -> np.ndarray:
+        """For grams at some places, the place of each without its first word; of BEGIN it is BEGIN. Sorted input."""
+        out = np.full(len(places), BEGIN, np.int64)
+        last = int(np.searchsorted(places, BEGIN))
+        for k, a, b in stretches(owners(self.starts, places[:last])):
+            if self.length == 2:
+                out[a:b] = self.keys(k)[places[a:b] - self.starts[k]] & 0xFFFFFFFF
+            else:
+                out[a:b] = mapped(f"{self.top}/links{self.length}-{k:05d}").view(np.int64)[places[a:b] - self.starts[k]]
+        return out
+
+
+def save_counts(uri: str, counts: np.ndarray) -> None:
+    """Writes counts in as few bytes each as the greatest of them needs; the first byte says how many."""
+    size = next(n for n in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * n - 1)
+    put(uri, [np.full(8, size, np.uint8), counts.astype(f"<u{size}")])
+
+
+def counts_in(uri: str) -> np.ndarray:
+    raw = mapped(uri)
+    return raw[8:].view(f"<u{int(raw[0])}")
+
+
 @dataclass(frozen=True)
 class KneserNey:
-    """A vocabulary and the shards of pairs (by their first word's number) and of words' probabilities."""
+    """A vocabulary, the grams of each length from 2 up to the order, and by length the discounts; the words' totals."""
 
     vocabulary: Vocabulary
-    pair_sizes: tuple[int, ...]  # by shard of the first word; the last shard is BEGIN's
-    discounts: tuple[float, float, float]
-    low_discounts: tuple[float, float, float]
+    grams: tuple[Grams, ...]
+    discounts: tuple[tuple[float, float, float], ...]
     low_total: int
     low_gamma: float
 
-
-def shard_of(number: np.ndarray, size: int) -> np.ndarray:
-    """The shard of pairs with this first word: ranges of numbers, and one more for BEGIN."""
-    wide = -(-size // SHARDS)
-    return np.where(number == BEGIN, SHARDS, number // max(1, wide))
+    @property
+    def order(self) -> int:
+        return len(self.grams) + 1
 
 
 def batches_of(batches, most: int = 4 << 20):
@@ -110,55 +185,116 @@ def numbered(own: list[list[bytes]], vocabulary: Vocabulary) -> tuple[np.ndarray
     return numbers[at], counts[at]
 
 
-def pairs_of(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each token the number of the one before: BEGIN before a text's first."""
-    before = np.empty(len(numbers), np.int64)
-    before[1:] = numbers[:-1]
+def contexts(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each token the place of the gram that ends one token before: BEGIN before a text's first."""
+    before = np.empty(len(places), np.int64)
+    before[1:] = places[:-1]
     before[np.append(0, np.cumsum(sizes)[:-1])] = BEGIN
     return before
 
 
-def by_shard(batches, shard_of_batch):
-    """(shard, first column, second column) of each shard, of rows that come sorted by shard; one is held at a time."""
-    now, held = None, []
+def keys_of(numbers: np.ndarray, sizes: np.ndarray, grams) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its gram's key, one word longer than the last of ``grams``, and the context's place."""
+    places = numbers
+    for g in grams:
+        keys, back = np.unique(contexts(places, sizes) << 32 | (numbers & 0xFFFFFFFF), return_inverse=True)
+        places = g.places(keys)[back]
+    before = contexts(places, sizes)
+    return before << 32 | (numbers & 0xFFFFFFFF), before
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted whole numbers as the compressed bytes of their steps, by place of the byte."""
+    return zstandard.compress(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(all_keys, kind="stable")
+    all_keys, all_counts = all_keys[order], all_counts[order]
+    first = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1])) if len(all_keys) else np.zeros(0, np.int64)
+    return all_keys[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
+
+
+PACKED = "shard int, keys binary, counts binary"
+
+
+class Sender:
+    """Combines keys with counts and gives them out as packed rows by shard, whenever it holds many."""
+
+    def __init__(self, shard_of):
+        self.shard_of, self.keys, self.counts, self.size = shard_of, [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        """Takes sorted distinct keys; yields rows if there are enough."""
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > HELD:
+            self.keys, self.counts = ([x] for x in summed(self.keys, self.counts))
+            self.size = len(self.keys[0])
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def rest(self):
+        if self.keys:
+            keys, counts = summed(self.keys, self.counts)
+            self.keys, self.counts, self.size = [], [], 0
+            order = np.argsort(self.shard_of(keys), kind="stable")
+            rows = [(k, packed(keys[order[a:b]]), zstandard.compress(counts[order[a:b]].astype("<u4").tobytes(), 3)) for k, a, b in stretches(self.shard_of(keys[order]))]
+            for at in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 512], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
+
+
+def received(batches):
+    """(shard, distinct keys, summed counts) of packed rows that come sorted by shard; one shard is held at a time."""
+    now, keys, counts = None, [], []
     for batch in batches:
-        a, b, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy(), shard_of_batch(batch)
-        if not len(shard):
-            continue
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if now is not None and int(shard[i]) != now:
-                yield now, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                held = []
-            now = int(shard[i])
-            held.append((a[i:j], b[i:j]))
-    if held:
-        yield now, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-
-
-def count_words(texts: DataFrame, top: str) -> Vocabulary:
+        for k, a, b in zip(batch.column("shard").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if now is not None and k != now:
+                yield now, *summed(keys, counts)
+                keys, counts = [], []
+            now = k
+            keys.append(unpacked(a))
+            counts.append(np.frombuffer(zstandard.decompress(b), "<u4").astype(np.int64))
+    if keys:
+        yield now, *summed(keys, counts)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard")
+
+
+def count_words(texts: DataFrame, top: str, shards: int) -> Vocabulary:
     """Counts the words and writes the vocabulary's shards."""
 
     def count(batches):
+        sender = Sender(lambda h: word_shard(h, shards))
         for _, own in batches_of(batches):
             found = Counter()
             for t in own:
                 found.update(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, found), np.int64, len(found))), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["h", "n"])
+            h, n = np.fromiter(map(word_hash, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+            order = np.argsort(h)
+            yield from sender.add(h[order], n[order])
+        yield from sender.rest()
 
     def save(batches):
-        for k, keys, counts in by_shard(batches, lambda batch: (batch.column(0).to_numpy() >> 56) + SHARDS // 2):
-            put(f"{top}/words-{k:03d}", [keys, counts])
+        for k, keys, counts in received(batches):
+            put(f"{top}/words-{k:05d}", [keys, counts])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "size": [len(keys)], "total": [int(counts.sum())]})
 
-    sums = map_batches(texts, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    shard = (F.shiftright("h", 56) + SHARDS // 2).cast("int")
-    dealt = sums.repartition(shard).sortWithinPartitions("h")
-    sizes, total = [0] * SHARDS, 0
-    for k, n, t in map_batches(dealt, save, "shard int, size long, total long").collect():  # SHARDS rows at most
+    sizes, total = [0] * shards, 0
+    for k, n, t in map_batches(dealt(map_batches(texts, count, PACKED)), save, "shard int, size long, total long").collect():  # one row a shard
         sizes[k] = n
         total += t
-    return Vocabulary(top, tuple(sizes), total)
+    return Vocabulary(top, tuple(np.append(0, np.cumsum(sizes)).tolist()), total)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -168,50 +304,72 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(k + 0.95, max(0.05, d)) for k, d in enumerate(three))
 
 
-def count_pairs(texts: DataFrame, vocabulary: Vocabulary, top: str) -> KneserNey:
-    """Counts the pairs, writes their shards, and derives words' continuation counts from them."""
+def count_grams(texts: DataFrame, vocabulary: Vocabulary, shorter: tuple[Grams, ...], shards: int, last: bool) -> Grams:
+    """Counts the grams one word longer than the last of ``shorter`` (or pairs), writes their shards, and the shorter ones'
+    counts of continuations. Only if ``last`` their own counts are written; else a longer length's continuations give them.
+    """
+    length, top = len(shorter) + 2, vocabulary.top
+    below = shorter[-1] if shorter else None
+    starts = below.starts if below else vocabulary.starts
+    if starts[-1] >= BEGIN:
+        raise ValueError(f"{starts[-1]} grams are too many to name in 31 bits")
+    wide = max(1, -(-starts[-1] // shards))
+    shard = Grams(top, length, wide, (0,) * (shards + 2)).shard
 
     def count(batches):
+        sender = Sender(shard)
         for _, own in batches_of(batches):
             numbers, _ = numbered(own, vocabulary)
-            keys = pairs_of(numbers, np.fromiter(map(len, own), np.int64, len(own))) << 32 | numbers
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], names=["k", "n"])
+            keys, _ = keys_of(numbers, np.fromiter(map(len, own), np.int64, len(own)), shorter)
+            yield from sender.add(*np.unique(keys, return_counts=True))
+        yield from sender.rest()
 
     def save(batches):
-        """Writes each shard's sorted pairs with their counts; returns counts of counts and how often words are second."""
-        for s, k, n in by_shard(batches, lambda batch: batch.column("shard").to_numpy()):
-            put(f"{top}/pairs-{s:03d}", [k, n.astype(np.uint32)])
-            words, often = np.unique(k & 0xFFFFFFFF, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(words, -1 - s)), pa.array(np.append(often, len(k))), pa.array([None] * len(words) + [[int((n == c).sum()) for c in (1, 2, 3, 4)]], pa.list_(pa.int64()))], names=["w", "n", "c"])
-
-    def save_low(batches):
-        wide = -(-vocabulary.size // SHARDS)
-        for s, w, n in by_shard(batches, lambda batch: batch.column(0).to_numpy() // wide):
-            dense = np.zeros(min(wide, vocabulary.size - s * wide), np.int64)
-            dense[w - s * wide] = n
-            put(f"{top}/low-{s:03d}", [dense])
-            yield pa.RecordBatch.from_pydict({"total": [int(n.sum())], "c": pa.array([[int((n == c).sum()) for c in (1, 2, 3, 4)] + [int((n >= 3).sum())]], pa.list_(pa.int64()))})
-
-    first = F.shiftright("k", 32)
-    wide = -(-vocabulary.size // SHARDS)
-    shard = F.when(first == BEGIN, SHARDS).otherwise(F.floor(first / wide)).cast("int")
-    dealt = map_batches(texts, count, "k long, n int").withColumn("shard", shard).repartition("shard")
-    sums = dealt.groupBy("shard", "k").agg(F.sum("n").cast("int").alias("n")).sortWithinPartitions("shard", "k")
-    seen = written(map_batches(sums.select("k", "n", "shard"), save, "w long, n long, c array<long>"), "continuations")
-    sizes, high = [0] * (SHARDS + 1), np.zeros(4, np.int64)
-    for w, n, c in seen.where("w < 0").collect():  # SHARDS + 1 rows at most
-        sizes[-1 - w] = n
-        high += np.array(c)
-    low = seen.where("w >= 0").groupBy("w").agg(F.sum("n").alias("n"))
-    low = low.repartition(F.floor(F.col("w") / max(1, wide))).sortWithinPartitions("w")
-    total, counts = 0, np.zeros(5, np.int64)
-    for t, c in map_batches(low, save_low, "total long, c array<long>").collect():  # SHARDS rows at most
-        total += t
-        counts += np.array(c)
-    d_high, d_low = discounts(*high.tolist()), discounts(*counts[:4].tolist())
-    gamma = (d_low[0] * counts[0] + d_low[1] * counts[1] + d_low[2] * counts[4]) / total if total else 1.0
-    return KneserNey(vocabulary, tuple(sizes), d_high, d_low, total, float(gamma))
+        """Writes each shard; sends how often each shorter gram ends one."""
+        sender = Sender(lambda places: owners(starts, places))
+        for k, keys, counts in received(batches):
+            put(f"{top}/grams{length}-{k:05d}", [keys])
+            if last:
+                save_counts(f"{top}/counts{length}-{k:05d}", counts)
+            words = keys & 0xFFFFFFFF
+            if below:
+                front, back = np.unique(keys >> 32, return_inverse=True)
+                ends, order = np.unique(below.shorter(front)[back] << 32 | words, return_inverse=True)
+                words = below.places(ends)[order]
+                if not last:
+                    put(f"{top}/links{length}-{k:05d}", [words])
+            yield from sender.add(*np.unique(words, return_counts=True))
+        yield from sender.rest()
+
+    def save_below(batches):
+        for k, places, counts in received(batches):
+            own = np.zeros(starts[k + 1] - starts[k], np.int64)
+            own[places - starts[k]] = counts
+            save_counts(f"{top}/counts{length - 1}-{k:05d}", own)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32())})
+
+    sent = map_batches(dealt(map_batches(texts, count, PACKED)), save, PACKED)
+    map_batches(dealt(sent), save_below, "shard int").count()
+    sizes = [r[1] for r in sorted(statistics(texts.sparkSession, f"{top}/grams{length}", shards + 1, False))]
+    return Grams(top, length, wide, tuple(np.append(0, np.cumsum(sizes)).tolist()))
+
+
+def statistics(spark: SparkSession, name: str, shards: int, counts: bool) -> list[tuple]:
+    """One row for each shard's file: shard, entries and, of counts, how many are 1, 2, 3, 4 and more than 2, and their sum."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for k in batch.column("id").to_pylist():
+                try:
+                    raw = counts_in(f"{name}-{k:05d}") if counts else mapped(f"{name}-{k:05d}").view(np.int64)
+                except (FileNotFoundError, ValueError):  # a shard without grams has no file
+                    raw = np.zeros(0, np.int64)
+                of = [*((raw == c).sum() for c in (1, 2, 3, 4)), (raw >= 3).sum(), raw.sum(dtype=np.int64)] if counts else [0] * 6
+                rows.append((k, len(raw), *map(int, of)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["id", "size", "n1", "n2", "n3", "n4", "more", "total"])
+
+    return [tuple(r) for r in map_batches(spark.range(shards), read, "id long, size long, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()]
 
 
 def discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -222,72 +380,87 @@ class Reader:
     """Probabilities from the mapped arrays, for one worker."""
 
     def __init__(self, model: KneserNey):
-        self.model, self.top = model, model.vocabulary.top
-        self.wide = -(-model.vocabulary.size // SHARDS)
+        self.model = model
 
     def low(self, numbers: np.ndarray) -> np.ndarray:
-        """Words' lower-order probabilities, interpolated with the same share for each word and the unknown one; sorted input."""
+        """Words' lowest-order probabilities, interpolated with the same share for each word and the unknown one; sorted input."""
         m = self.model
-        rest = m.low_gamma / (m.vocabulary.size + 1)
-        out = np.full(len(numbers), rest)
-        cuts = np.searchsorted(numbers, np.arange(SHARDS + 1) * self.wide)
-        for s in range(SHARDS):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                n = mapped(f"{self.top}/low-{s:03d}").view(np.int64)[numbers[a:b] - s * self.wide]
-                out[a:b] += np.maximum(0.0, n - discount(n, m.low_discounts)) / m.low_total
+        out = np.full(len(numbers), m.low_gamma / (m.vocabulary.size + 1))
+        first = int(np.searchsorted(numbers, 0))
+        for k, a, b in stretches(owners(m.vocabulary.starts, numbers[first:])):
+            n = counts_in(f"{m.vocabulary.top}/counts1-{k:05d}")[numbers[first + a : first + b] - m.vocabulary.starts[k]].astype(np.int64)
+            out[first + a : first + b] += np.maximum(0.0, n - discount(n, m.discounts[0])) / m.low_total
         return out
 
-    def probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """p(second | first) of sorted pairs; an unknown second is -1 in the low bits, an unknown first is negative."""
-        m = self.model
-        first, second = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
-        words, back = np.unique(second, return_inverse=True)
-        out = self.low(words)[back]
-        shards = np.where(first < 0, -1, shard_of(first, m.vocabulary.size))
-        cuts = np.searchsorted(shards, np.arange(SHARDS + 2))
-        for s, n in enumerate(m.pair_sizes):
-            a, b = cuts[s], cuts[s + 1]
-            if a == b or not n:
+    def level(self, g: Grams, d: tuple[float, float, float], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted keys: the place (-1: unknown), the discounted share, and what the context leaves to shorter grams."""
+        places, share, rest = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
+        first = int(np.searchsorted(keys, 0))
+        for k, a, b in stretches(g.shard(keys[first:])):
+            if g.starts[k + 1] == g.starts[k]:
                 continue
-            raw = mapped(f"{self.top}/pairs-{s:03d}")
-            known, counts = raw[: 8 * n].view(np.int64), raw[8 * n :].view(np.uint32)
-            own = first[a:b]
+            known, counts = g.keys(k), g.counts(k)
+            mine = keys[first + a : first + b]
+            own = mine >> 32
             start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            lo = np.searchsorted(known, own[start] << 32)
-            hi = np.searchsorted(known, (own[start] + 1) << 32)
+            lo, hi = np.searchsorted(known, own[start] << 32), np.searchsorted(known, (own[start] + 1) << 32)
             has = hi > lo
-            lo, hi, which = lo[has], hi[has], np.repeat(np.cumsum(has) - 1, np.diff(np.append(start, b - a)))
-            kept = np.repeat(has, np.diff(np.append(start, b - a)))
+            length = np.diff(np.append(start, b - a))
+            kept, which = np.repeat(has, length), np.repeat(np.cumsum(has) - 1, length)
+            lo, size = lo[has], (hi - lo)[has]
             if not len(lo):
                 continue
             # each context's total and discounted mass, from its stretch of counts
-            size = hi - lo
-            at = np.arange(size.sum()) + np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size)
-            c = counts[at].astype(np.int64)
             begin = np.append(0, np.cumsum(size)[:-1])
-            total = np.add.reduceat(c, begin)
-            mass = np.add.reduceat(discount(c, m.discounts), begin)
-            k = keys[a:b][kept]
-            place = np.minimum(np.searchsorted(known, k), n - 1)
-            hit = np.where(known[place] == k, counts[place].astype(np.int64), 0)
+            c = counts[np.arange(size.sum()) + np.repeat(lo - begin, size)].astype(np.int64)
+            total, mass = np.add.reduceat(c, begin), np.add.reduceat(discount(c, d), begin)
+            at = np.minimum(np.searchsorted(known, mine[kept]), len(known) - 1)
+            found = known[at] == mine[kept]
+            hit = np.where(found, counts[at].astype(np.int64), 0)
             t = total[which[kept]]
-            out[a:b][kept] = (hit - discount(hit, m.discounts)) / t + mass[which[kept]] / t * out[a:b][kept]
+            to = first + a + np.flatnonzero(kept)
+            places[to] = np.where(found, g.starts[k] + at, -1)
+            share[to] = (hit - discount(hit, d)) / t
+            rest[to] = mass[which[kept]] / t
+        return places, share, rest
+
+    def probabilities(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """p(token | the tokens before it in its text) of texts' numbers, one after the other; unknown words are -1."""
+        m = self.model
+        words, back = np.unique(numbers, return_inverse=True)
+        out, places = self.low(words)[back], numbers
+        for g, d in zip(m.grams, m.discounts[1:], strict=True):
+            keys, back = np.unique(contexts(places, sizes) << 32 | (numbers & 0xFFFFFFFF), return_inverse=True)
+            at, share, rest = self.level(g, d, keys)
+            out, places = share[back] + rest[back] * out, at[back]
         return out
 
 
-def fit(docs: DataFrame) -> KneserNey:
-    """Counts all whole texts of ``docs`` and writes the model to the shared folder.
+def fit(docs: DataFrame, order: int = 3) -> KneserNey:
+    """Counts all whole texts of ``docs`` and writes a model of n-grams up to ``order`` (2 or more) to the shared folder.
 
-    A null text counts as empty: just an end. Without rows the model is empty, and all words have the same share.
+    A null text counts as empty: just an end. Before a text's first word all words are BEGIN. Without rows the model is
+    empty, and all words have the same share. Repeated rows count each; other columns are not read.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark: SparkSession = docs.sparkSession
-    top = shared_dir(spark)
-    texts = whole_texts(docs)
-    vocabulary = count_words(texts, top)
+    top, texts = shared_dir(spark), whole_texts(docs)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = min(MOST, max(FEWEST, -(-size // SHARD_BYTES)))
+    vocabulary = count_words(texts, top, shards)
     if not vocabulary.size:
-        return KneserNey(vocabulary, (0,) * (SHARDS + 1), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, 1.0)
-    return count_pairs(texts, vocabulary, top)
+        return KneserNey(vocabulary, (), ((0.5, 1.0, 1.5),), 0, 1.0)
+    grams: tuple[Grams, ...] = ()
+    for length in range(2, order + 1):
+        grams += (count_grams(texts, vocabulary, grams, shards, length == order),)
+    of = []
+    for length in range(1, order + 1):
+        rows = statistics(spark, f"{top}/counts{length}", shards + (length > 1), True)
+        of.append(tuple(sum(r[k] for r in rows) for k in range(2, 8)))
+    found = tuple(discounts(*x[:4]) for x in of)
+    n1, n2, _, _, more, total = of[0]
+    return KneserNey(vocabulary, grams, found, total, (found[0][0] * n1 + found[0][1] * n2 + found[0][2] * more) / total)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -307,15 +480,14 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             numbers, counts = numbered(own, vocabulary)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             begin = np.append(0, np.cumsum(sizes)[:-1])
-            keys, back = np.unique(pairs_of(numbers, sizes) << 32 | (numbers & 0xFFFFFFFF), return_inverse=True)
-            logs = np.log10(reader.probabilities(keys) if vocabulary.size else np.ones(len(keys)))[back]
+            logs = np.log10(reader.probabilities(numbers, sizes))
             base = np.log10((counts + 0.5) / (vocabulary.total + 0.5 * (vocabulary.size + 1)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(logs, begin))], names=[f.split(" ")[0] for f in SCORES.split(", ")])
 
     return map_batches(whole_texts(docs), run, SCORES)
 
 
-def held_out_scores(docs: DataFrame, fold: int = 1, folds: int = 5) -> DataFrame:
+def held_out_scores(docs: DataFrame, fold: int = 1, folds: int = 5, order: int = 3) -> DataFrame:
     """Scores of all texts under a model of those outside one fold of crc32(doc_id), with the size of the training text."""
-    model = fit(docs.where(F.coalesce(crc_fold("doc_id", folds) != fold, F.lit(True))))
+    model = fit(docs.where(F.coalesce(crc_fold("doc_id", folds) != fold, F.lit(True))), order)
     return score(docs, model).select("doc_id", F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

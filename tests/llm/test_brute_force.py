@@ -166,7 +166,7 @@ def test_language_model(spark):
     texts = [None, "", "  unseen words\x85here ", *(" ".join(f"w{k}" for k in rng.zipf(1.6, 30) % 50) for _ in range(60))]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
-    rows = {r.doc_id: r for r in kneser_ney.held_out_scores(df).collect()}
+    rows = {r.doc_id: r for r in kneser_ney.held_out_scores(df, order=2).collect()}
     want = plain_kneser_ney([texts[i] for i in train], texts)
     assert len(rows) == len(texts)
     for i, s in enumerate(want):
@@ -413,3 +413,51 @@ def test_url_templates(spark):
     free = spark.createDataFrame([(i, f"http://shop.net/a/b/c/d/x{i}/evil") for i in range(4)], "page_id long, url string")
     assert {(r.verdict, r.template) for r in url_filter.judge(free).collect()} == {("allow", f"/a/b/c/d/x{i}/evil") for i in range(4)}
     assert url_filter.judge(df.where("page_id < 0")).count() == 0
+
+
+def plain_of_order(order, train, texts):
+    """Scores of any order by the definition: continuation counts below the highest length, by recursion over dictionaries."""
+    words = lambda t: [*(t or "").encode().lower().split(), b""]
+    grams = lambda t: [tuple(([None] * (order - 1) + words(t))[k : k + order]) for k in range(len(words(t)))]
+    counts = {order: Counter(g for t in train for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off = {n: kneser_ney.discounts(*[sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for n, c in counts.items()}
+    cut = lambda n, c: (0.0, *off[n])[min(c, 3)]
+    size = len(counts[1])
+    by_context = {n: defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            by_context[n][g[:-1]].append(v)
+
+    def p(gram):
+        n = len(gram)
+        lower = 1 / (size + 1) if n == 1 else p(gram[1:])
+        if not (own := by_context[n].get(gram[:-1])):
+            return lower
+        c = counts[n][gram]
+        return (max(0, c - cut(n, c)) + sum(cut(n, v) for v in own) * lower) / sum(own)
+
+    return [sum(math.log10(p(g)) for g in grams(t)) for t in texts]
+
+
+def test_language_model_of_any_order(spark, monkeypatch):
+    """Orders 2 to 4 with many small sendings and shards; null, empty, unknown and repeated rows."""
+    rng = np.random.default_rng(17)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 64)
+    texts = [None, "", "new\twords  only", "w1 w2 w1 w2 w1", *(" ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(1, 60)) % 40) for _ in range(80))]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, keys string, shard int").repartition(5)
+    train = df.where("doc_id <> 2").unionByName(df.where("doc_id = 5"))
+    known = [t for i, t in enumerate(texts) if i != 2] + [texts[5]]
+    for order in (2, 3, 4):
+        model = kneser_ney.fit(train, order)
+        assert model.order == order and len(model.vocabulary.starts) > 30
+        rows = {r.doc_id: r.score for r in kneser_ney.score(df, model).collect()}
+        for i, want in enumerate(plain_of_order(order, known, texts)):
+            assert abs(rows[i] - want) < 1e-9 * max(1, abs(want)), (order, i)
+    none = kneser_ney.fit(df.where("doc_id < 0"), 3)
+    assert {r.score for r in kneser_ney.score(df.where("doc_id = 3"), none).collect()} == {0.0}
+    assert kneser_ney.score(df.where("doc_id < 0"), none).count() == 0
+    assert kneser_ney.word_shard(np.array([-(1 << 63), -1, 0, (1 << 63) - 1]), 7).tolist() == [0, 3, 3, 6]
+    keys = np.unique(rng.integers(0, 1 << 60, 5000))
+    assert (kneser_ney.unpacked(kneser_ney.packed(keys)) == keys).all()
