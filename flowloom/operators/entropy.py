@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.quantiles import exact
+
 BUCKETS, SPAN = 16, 32
 
 
 def edges(coefs: DataFrame, k: int = BUCKETS) -> DataFrame:
     """(channel, band, edges): k - 1 inner quantiles of the magnitudes, of the rows given (the training rows)."""
-    return coefs.groupBy("channel", "band").agg(F.percentile(F.round(F.abs("coef"), 9), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("edges"))
+    sizes = coefs.select("channel", "band", F.round(F.abs("coef"), 9).alias("size"))
+    return exact(sizes, ["channel", "band"], "size", [i / k for i in range(1, k)]).withColumnRenamed("quantiles", "edges")
 
 
 def width(band: str, span: int = SPAN) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import ratio
+from flowloom.operators.quantiles import exact
 
 
 def confusion(scored: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -21,12 +22,16 @@ def confusion(scored: DataFrame, cut: float = 0.5) -> DataFrame:
 def curve(scored: DataFrame) -> DataFrame:
     """Per distinct score, from the highest: windows and attacks at or above it, precision and recall. Ties go together.
 
-    Only one row for each distinct score meets the running sum.
+    Only one row for each distinct score meets the running sum, which goes along slices of the scores on their own, with the
+    sums of the slices above (at most 4,097 for probabilities).
     """
-    each = scored.groupBy("p").agg(F.count("*").alias("n"), F.count_if("y").alias("pos"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    each = scored.groupBy("p").agg(F.count("*").alias("n"), F.count_if("y").alias("pos")).withColumn("slice", F.floor(F.col("p") * 4096))
     total = scored.agg(F.count_if("y").alias("all_pos"))
-    run = each.select("p", "pos", F.sum("n").over(down).alias("n_above"), F.sum("pos").over(down).alias("tp"))
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    sums = each.groupBy("slice").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    base = sums.select("slice", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos0"))
+    down = Window.partitionBy("slice").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    run = each.join(base, "slice").select("p", "pos", (F.col("n0") + F.sum("n").over(down)).alias("n_above"), (F.col("pos0") + F.sum("pos").over(down)).alias("tp"))
     return run.crossJoin(F.broadcast(total)).select("p", "pos", "n_above", "tp", "all_pos", ratio(F.col("tp"), F.col("n_above")).alias("precision"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"))
 
 
@@ -70,5 +75,7 @@ def block_bootstrap(scored: DataFrame, key: str = "window_id", block: int = 8, r
 
 
 def latency(samples: DataFrame, group: str, column: str) -> DataFrame:
-    q = lambda x: F.percentile(column, x)
-    return samples.groupBy(group).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.count("*").alias("n"))
+    """Per group the exact median, 95th and 99th percentile of a column, and the number of its values."""
+    q = exact(samples, [group], column, [0.5, 0.95, 0.99])
+    n = samples.groupBy(group).agg(F.count("*").alias("n"))
+    return q.join(n, group).select(group, *[F.col("quantiles")[k].alias(c) for k, c in enumerate(("p50", "p95", "p99"))], "n")

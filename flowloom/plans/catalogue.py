@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import contract, timestamps
 from flowloom.functions.arithmetic import digits, ratio
 from flowloom.operators import audit, entropy, metrics, wavelets, windows
+from flowloom.operators.quantiles import exact
 from flowloom.sources import flows as sources
 
 QUERIES: dict = {}
@@ -335,12 +336,12 @@ def band_energy(spark, d):
     return b.select("window_id", "channel", "band", digits(wavelets.energy(F.col("coefs")), 2).alias("energy"))
 
 
-EDGES = f"{bands_sql('haar', 4, 256)}, cut AS (SELECT min(window_id) + 11 AS w FROM bands), edges AS (SELECT channel, band, quantile_cont(round(abs(coef), 9), [{', '.join(str(i / 16) for i in range(1, 16))}]) AS edges FROM bands, cut WHERE window_id < cut.w GROUP BY 1, 2)"
+EDGES = f"{bands_sql('haar', 4, 256)}, cut AS (SELECT min(window_id) + CAST(floor((max(window_id) - min(window_id) + 1) * 0.7::DOUBLE) AS BIGINT) AS w FROM bands), edges AS (SELECT channel, band, quantile_cont(round(abs(coef), 9), [{', '.join(str(i / 16) for i in range(1, 16))}]) AS edges FROM bands, cut WHERE window_id < cut.w GROUP BY 1, 2)"
 
 
 def edges_of(bands: DataFrame) -> DataFrame:
-    """Edges of the first eleven windows, which train."""
-    first = bands.agg((F.min("window_id") + 11).alias("w"))
+    """Edges of the first 70 % of the windows' range, which train."""
+    first = bands.agg((F.min("window_id") + F.floor((F.max("window_id") - F.min("window_id") + 1) * 0.7)).alias("w"))
     return entropy.edges(wavelets.long_bands(bands.crossJoin(F.broadcast(first)).where("window_id < w").drop("w")))
 
 
@@ -380,7 +381,7 @@ def single_scale_entropy(spark, d):
     from flowloom.operators.timeline import frame, own, with_halo
 
     s = signals_of(spark, d).select("bin", "rate_flows")
-    cuts = s.agg(F.percentile("rate_flows", F.array(*[F.lit(i / 16) for i in range(1, 16)])).alias("edges"))
+    cuts = exact(s, [], "rate_flows", [i / 16 for i in range(1, 16)]).withColumnRenamed("quantiles", "edges")
     coded = s.crossJoin(F.broadcast(cuts)).select("bin", entropy.bucket(F.col("rate_flows"), F.col("edges")).alias("code"))
     last = own(with_halo(coded, "bin", 31).withColumn("codes", F.collect_list("code").over(frame("bin").rowsBetween(-31, 0))))
     return last.where(F.size("codes") == 32).select("bin", (digits(entropy.entropy(F.col("codes"), 32), 6) + 0).alias("h"))

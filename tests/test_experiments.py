@@ -37,3 +37,18 @@ def test_rule_for_the_stationary_transform():
     assert not ops.prefer_stationary(run(0.9, 0.02, 0.1), run(0.91, 0.02, 0.1))
     assert ops.prefer_stationary(run(0.9, 0.02, 0.1), run(0.896, 0.02, 0.05))
     assert not ops.prefer_stationary(run(0.9, 0.02, 0.1), run(0.89, 0.02, 0.01))
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from flowloom.operators.quantiles import exact
+
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.normal(size=3000)] + [("b", 1.0)] * 2000 + [("b", float(x)) for x in rng.integers(0, 3, 500)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.quantiles for r in exact(df, ["g"], "x", [0, 0.1, 0.5, 0.999, 1]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([x for k, x in rows if k == g], [0, 0.1, 0.5, 0.999, 1]), atol=1e-12)
+    assert exact(df.where("g = 'd'"), ["g"], "x", [0.5]).count() == 0
