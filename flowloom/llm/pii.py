@@ -150,7 +150,7 @@ def format_says(s: Column) -> Column:
     """Whether a candidate's own characters make it personal data or a secret: 1, 0, or null where they can't tell."""
     value = s["value"]
     d = F.length(digits(value))
-    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    mixed = (d >= 4) & value.rlike("[A-Za-z]") & (F.length(value) >= 16) & ~value.rlike("[/_-]")
     return (
         F.when(s["kind"] == "secret", F.when(value.rlike("^AKIA[0-9A-Z]{16}$") | mixed, 1).when(~value.rlike("[0-9]") | value.rlike("^[a-z/_-]++$"), 0))
         .when(s["kind"] == "phone_like", F.when(value.rlike(r"^\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}$"), 1).when(~value.rlike(r"[ .\-()+]"), 0))
