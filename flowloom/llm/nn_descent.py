@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph built by Spark joins, and greedy search on it.
 
-Equal vectors are one node. The graph's rounds join each node's neighbours with their neighbours, by node numbers only;
-workers compare the vectors in arrays that they map into memory. The search walks the finished graph, mapped likewise,
+Equal vectors are one node. In each round the links of a node meet there: its neighbours hear of each other, by node
+numbers only, unless both links met before. Workers compare the vectors in arrays that they map into memory. The search walks the finished graph, mapped likewise,
 from the query's own node, best node first, until none of the ``beam`` best is left to expand.
 """
 
@@ -83,61 +83,89 @@ def numbered(rows: DataFrame, top: str, dim: int, kind: str) -> tuple[DataFrame,
     return saved.select((F.element_at(base, F.col("part") + 1).cast("long") + F.col("at")).alias("number"), "a", "b"), firsts
 
 
-def both_ways(graph: DataFrame, degree: int, turn: int) -> DataFrame:
+def both_ways(graph: DataFrame, degree: int) -> DataFrame:
     """(v, near): each node's neighbours and up to ``degree`` of the nodes that have it as one, chosen by a hash."""
     ahead = graph.select("v", F.explode("near").alias("w"))
-    first = Window.partitionBy("w").orderBy(F.xxhash64("v", "w", F.lit(turn)), "v")
+    first = Window.partitionBy("w").orderBy(F.xxhash64("v", "w"), "v")
     back = ahead.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= degree).select(F.col("w").alias("v"), F.col("v").alias("w"))
     return ahead.unionByName(back).groupBy("v").agg(F.collect_set("w").alias("near"))
 
 
-def improved(around: DataFrame, vectors: Vectors, degree: int, sample: int, turn: int) -> DataFrame:
-    """(v, near): the ``degree`` nearest among each node's neighbours and the neighbours of ``sample`` of them."""
-    order = F.array_sort(F.transform("near", lambda w: F.struct(F.xxhash64(w, F.lit(turn)).alias("h"), w.alias("w"))))
-    asked = around.select(F.col("v").alias("u"), F.explode(F.slice(order, 1, sample)).alias("x")).select("u", F.col("x.w").alias("v"))
-    told = asked.join(around, "v").select("u", "near").unionByName(around.select(F.col("v").alias("u"), "near"))
+def meetings(graph: DataFrame, sample: int, turn: int) -> DataFrame:
+    """(v, links): the links that meet at each node in this round; links holds (w, fresh, met, back).
+
+    A node's own links are all among them, and up to ``sample`` fresh and as many other ones of the nodes that have it as
+    a neighbour (back). Such a link is met from both ends. A node offers at most ``sample`` of its fresh links a round, and
+    a node that very many have as a neighbour takes only so many; the rest stay fresh and come up in a later round.
+    """
+    order = F.array_sort(F.transform("fresh", lambda w: F.struct(F.xxhash64(w, F.lit(turn)).alias("h"), w.alias("w"))))
+    offered = F.transform(F.slice(order, 1, sample), lambda x: x["w"])
+    links = graph.withColumn("offered", offered).select("v", "fresh", "offered", F.explode("near").alias("w"))
+    links = links.select("v", "w", F.array_contains("fresh", F.col("w")).alias("fresh"), F.array_contains("offered", F.col("w")).alias("offered"))
+    first = Window.partitionBy("w", "fresh").orderBy(F.xxhash64("v", "w", F.lit(turn)), "v")
+    # the limit acts before the shuffle, too, so a node that all have as a neighbour isn't one large group
+    taken = links.where("offered OR NOT fresh").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    link = lambda w, met, back: F.struct(w.alias("w"), F.col("fresh").alias("fresh"), F.lit(met).alias("met"), F.lit(back).alias("back"))
+    ends = [
+        links.select("v", link(F.col("w"), False, False).alias("link")),
+        taken.select("v", link(F.col("w"), True, False).alias("link")),
+        taken.select(F.col("w").alias("v"), link(F.col("v"), True, True).alias("link")),
+    ]
+    return ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("v").agg(F.collect_list("link").alias("links"))
+
+
+def improved(met: DataFrame, vectors: Vectors, degree: int) -> DataFrame:
+    """(v, near, fresh, gained): the ``degree`` nearest among each node's neighbours and those it hears of.
+
+    Where links meet, each end hears of the others; two links that both met before have nothing to tell each other. fresh:
+    neighbours whose link hasn't been met yet; gained: how many weren't neighbours before.
+    """
+    ends = lambda test: F.array_distinct(F.transform(F.filter("links", test), lambda x: x["w"]))
+    known = met.select("links", "v", ends(lambda x: ~x["back"]).alias("near"), ends(lambda x: x["fresh"]).alias("fresh"), ends(lambda x: F.lit(True)).alias("all"))
+    hears = F.array_distinct(F.filter("links", lambda x: x["met"]))
+    told = known.select(F.explode(hears).alias("x"), "fresh", "all").select(F.col("x.w").alias("u"), F.when(F.col("x.fresh"), F.col("all")).otherwise(F.col("fresh")).alias("near"), F.lit(False).alias("own")).where(F.size("near") > 0)
+    done = ends(lambda x: x["met"] & ~x["back"])
+    unmet = F.array_except(ends(lambda x: x["fresh"] & ~x["back"]), done)
+    own = known.select(F.col("v").alias("u"), "near", F.lit(True).alias("own"), unmet.alias("unmet"))
+    told = own.unionByName(told.withColumn("unmet", F.array().cast("array<long>")))
 
     def best(batches):
-        held: list[np.ndarray] = []
+        heard: list[np.ndarray] = []
+        mine = unmet = np.zeros(0, np.int64)
         node = None
         for batch in batches:
-            nodes = batch.column("u").to_numpy()
-            near = batch.column("near")
-            ends, values = near.offsets.to_numpy(), near.values.to_numpy()
+            nodes, is_own = batch.column("u").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+            (ends, values), (stops, left) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("near"), batch.column("unmet")))
             cuts = np.append(0, np.flatnonzero(nodes[1:] != nodes[:-1]) + 1) if len(nodes) else []
             found = []
             for a, b in zip(cuts, [*cuts[1:], len(nodes)], strict=True):
                 if node is not None and nodes[a] != node:
-                    found.append((node, nearest(node, held)))
-                    held = []
+                    found.append(nearest(node, heard, mine, unmet))
+                    heard, mine, unmet = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
                 node = int(nodes[a])
-                held.append(values[ends[a] : ends[b]])
+                heard.append(values[ends[a] : ends[b]])
+                for k in a + np.flatnonzero(is_own[a:b]):
+                    mine, unmet = values[ends[k] : ends[k + 1]], left[stops[k] : stops[k + 1]]
             if found:
                 yield table(found)
         if node is not None:
-            yield table([(node, nearest(node, held))])
+            yield table([nearest(node, heard, mine, unmet)])
 
-    def nearest(node, held):
-        others = np.unique(np.concatenate(held))
+    def nearest(node, heard, mine, unmet):
+        others = np.unique(np.concatenate(heard))
         others = others[others != node]
         if len(others) > degree:
             # row by row, so that a pair's product is the same in each round; ties go to the smaller number
             sims = np.einsum("ij,j->i", vectors.even(others), vectors.even(np.array([node]))[0])
             others = others[np.lexsort((others, -sims))[:degree]]
-        return others
+        new = ~np.isin(others, mine)
+        return node, others, others[new | np.isin(others, unmet)], int(new.sum())
 
     def table(found):
-        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.list_(pa.int64()))], names=["v", "near"])
-
-    return map_batches(told.repartition("u").sortWithinPartitions("u"), best, "v long, near array<long>")
-
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["v", "near", "fresh", "gained"])
 
-def changed(before: DataFrame, after: DataFrame) -> float:
-    """The share of neighbours in ``after`` that weren't neighbours of the same node in ``before``."""
-    new = F.size(F.array_except("near", F.coalesce("was", F.array().cast("array<long>"))))
-    both = after.join(before.select("v", F.col("near").alias("was")), "v", "left")
-    fresh, total = both.agg(F.sum(new), F.sum(F.size("near"))).first()
-    return fresh / total if total else 0.0
+    return map_batches(told.repartition("u").sortWithinPartitions("u"), best, "v long, near array<long>, fresh array<long>, gained long")
 
 
 def build(nodes: DataFrame, vectors: Vectors, degree: int, rounds: int, sample: int, settled: float) -> DataFrame:
@@ -147,18 +175,20 @@ def build(nodes: DataFrame, vectors: Vectors, degree: int, rounds: int, sample:
     Nodes only ever get better neighbours, by a total order, so there is such a round.
     """
     n = vectors.count
+    if n == 1:
+        return nodes.select(F.col("number").alias("v"), F.array().cast("array<long>").alias("near"))
     start = [F.pmod(F.xxhash64("number", F.lit(j)), F.lit(n)) for j in range(degree)]
-    graph = written(nodes.select(F.col("number").alias("v"), F.filter(F.array_distinct(F.array(*start)), lambda w: w != F.col("number")).alias("near")), "graph")
+    near = F.filter(F.array_distinct(F.array(*start)), lambda w: w != F.col("number"))
+    graph = written(nodes.select(F.col("number").alias("v"), near.alias("near"), near.alias("fresh")), "graph")
     turn, share = 0, 1.0
     while turn < rounds or share > settled:
-        before, around = graph, written(both_ways(graph, degree, turn), "around")
-        graph = written(improved(around, vectors, degree, sample, turn), "graph")
+        before, met = graph, written(meetings(graph, sample, turn), "meetings")
+        graph = written(improved(met, vectors, degree), "graph")
         turn += 1
-        if turn >= rounds:
-            share = changed(before, graph)
-        drop(before)
-        drop(around)
-    return both_ways(graph, degree, turn)
+        gained, total = graph.agg(F.sum("gained"), F.sum(F.size("near"))).first()
+        share = gained / total if total else 0.0
+        drop(before, met)
+    return both_ways(graph, degree)
 
 
 SHARD = 1 << 16

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowloom.llm import jaccard_join, kneser_ney, mpeg_audio, nn_descent, packing, token_counts, toxicity, url_filter
@@ -35,6 +36,9 @@ def test_nearest_neighbours(spark):
     few = {(r.query_id, r.vec_id) for r in nn_descent.search(df.where("vec_id < 3")).collect()}
     assert few == {(0, 1), (0, 2)}
     assert nn_descent.search(df.where("vec_id < 0")).count() == 0
+    assert nn_descent.search(df.where("vec_id < 1")).count() == 0
+    same = df.where("vec_id < 1").select(F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("vec_id"), "embedding")
+    assert [(r.query_id, r.rank, r.vec_id) for r in nn_descent.search(same).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
 def test_graph_rounds_go_on_until_it_settles(spark, monkeypatch):
