@@ -81,5 +81,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm import simhash
+
+    return simhash.near_copies(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe, op11_simhash)}
 ORACLES: dict[str, str] = {}
