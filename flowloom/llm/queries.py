@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.llm import oracles
+
 
 def tokenizer(name: str) -> str:
     import public_tokenizers
@@ -87,5 +89,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe, op11_simhash)}
-ORACLES: dict[str, str] = {}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm import vector_codes
+
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe, op11_simhash, op12_vector_codes)}
+ORACLES: dict[str, str] = {"op12_vector_codes": oracles.VECTOR_CODES}
