@@ -95,5 +95,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe, op11_simhash, op12_vector_codes)}
-ORACLES: dict[str, str] = {"op12_vector_codes": oracles.VECTOR_CODES}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm import conversations
+
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_ngram_jaccard, op3_url_filters, op4_mpeg_audio, op5_pii, op6_kneser_ney, op7_token_counts, op8_toxicity, op9_best_fit_packing, op10_bpe, op11_simhash, op12_vector_codes, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op12_vector_codes": oracles.VECTOR_CODES, "op13_conversation_repair": oracles.CONVERSATION_REPAIR}
