@@ -60,18 +60,74 @@ def shared_rows(flows: DataFrame, columns: list[str], part: str) -> DataFrame:
     return flows.groupBy(F.xxhash64(*columns).alias("row_hash")).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
 
 
-def gaps(flows: DataFrame, seconds: int) -> DataFrame:
-    """Stretches of more than ``seconds`` without flows: the flows' seconds before and after.
+def gaps(flows: DataFrame, seconds: int, part: str | None = None) -> DataFrame:
+    """Stretches of more than ``seconds`` without flows, in all or for each ``part`` (file): the flows' seconds before and after.
 
     Only distinct seconds are compared, in chunks of days; a chunk also sees the last second of the chunks before.
     """
-    day = 86_400
-    t = flows.where("event_ts IS NOT NULL").select(F.unix_timestamp("event_ts").alias("t")).distinct()
-    last = t.groupBy(F.floor(F.col("t") / day).alias("day")).agg(F.max("t").alias("last"))
-    before = last.select("day", F.lag("last").over(Window.orderBy("day")).alias("carried"))  # one row for each day
-    at = t.withColumn("day", F.floor(F.col("t") / day)).join(before, "day")
-    prev = F.coalesce(F.lag("t").over(Window.partitionBy("day").orderBy("t")), F.col("carried"))
-    return at.select(prev.alias("before_s"), F.col("t").alias("after_s")).where(F.col("after_s") - F.col("before_s") > seconds).withColumn("gap_s", F.col("after_s") - F.col("before_s"))
+    day, by = 86_400, [part] if part else []
+    t = flows.where("event_ts IS NOT NULL").select(*by, F.unix_timestamp("event_ts").alias("t")).distinct()
+    last = t.groupBy(*by, F.floor(F.col("t") / day).alias("day")).agg(F.max("t").alias("last"))
+    before = last.select(*by, "day", F.lag("last").over(Window.partitionBy(*by).orderBy("day")).alias("carried"))  # one row for each day
+    at = t.withColumn("day", F.floor(F.col("t") / day)).join(before, [*by, "day"])
+    prev = F.coalesce(F.lag("t").over(Window.partitionBy(*by, "day").orderBy("t")), F.col("carried"))
+    return at.select(*by, prev.alias("before_s"), F.col("t").alias("after_s")).where(F.col("after_s") - F.col("before_s") > seconds).withColumn("gap_s", F.col("after_s") - F.col("before_s"))
+
+
+def merged(spans: DataFrame, by: list[str], apart: int, chunks: tuple[int, ...] = (3_600, 86_400, 86_400 * 32)) -> DataFrame:
+    """(by, first_s, last_s, n): islands of spans (first_s, last_s, n) that overlap or lie at most ``apart`` seconds apart.
+
+    Spans that begin in the same chunk of time are merged first, then what they became in longer chunks, and at last all of a
+    group. Each level sees only the islands of the one below, so no task gets all spans of a group unless they are apart.
+    """
+    for size in (*chunks, None):
+        key = [*by, F.floor(F.col("first_s") / size).alias("chunk")] if size else [*by, F.lit(0).alias("chunk")]
+        cut = spans.select(*key, "first_s", "last_s", "n")
+        order = Window.partitionBy(*by, "chunk").orderBy("first_s", "last_s")
+        reach = F.max("last_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.coalesce(F.col("first_s") > reach + apart, F.lit(True)).cast("int")
+        numbered = cut.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = numbered.groupBy(*by, "chunk", "island").agg(F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"), F.sum("n").alias("n"))
+    return spans.select(*by, "first_s", "last_s", "n")
+
+
+def label_islands(flows: DataFrame, apart: int, part: str | None = None) -> DataFrame:
+    """(part,) label_type, first_s, last_s, n: the stretches of time in which a label's flows run on, each from its begin to its
+    end, with at most ``apart`` seconds between. A label in one stretch is contiguous. Spans are counted by seconds first.
+    """
+    by = [part, "label_type"] if part else ["label_type"]
+    ms = F.greatest(F.coalesce("duration_ms", F.lit(0.0)), F.lit(0.0))
+    start = F.unix_timestamp("event_ts")
+    end = F.floor((F.unix_micros(F.to_timestamp("event_ts")) + F.floor(ms * 1000)) / 1_000_000)
+    seconds = flows.where("event_ts IS NOT NULL").groupBy(*by, start.alias("first_s")).agg(F.max(end).alias("last_s"), F.count("*").alias("n"))
+    return merged(seconds, by, apart)
+
+
+def past_end(flows: DataFrame, part: str) -> DataFrame:
+    """Per ``part`` (file): its last flow's begin, the flows that end after it, and by how many seconds at most."""
+    end = F.unix_micros(F.to_timestamp("event_ts")) + F.floor(F.greatest(F.coalesce("duration_ms", F.lit(0.0)), F.lit(0.0)) * 1000)
+    at = flows.where("event_ts IS NOT NULL").select(part, F.unix_micros(F.to_timestamp("event_ts")).alias("begin"), end.alias("end"))
+    last = at.groupBy(part).agg(F.max("begin").alias("last"))
+    met = at.groupBy(part, "end").agg(F.count("*").alias("n")).join(last, part)
+    late = F.col("end") > F.col("last")
+    return met.groupBy(part).agg(F.timestamp_micros(F.max("last")).cast("timestamp_ntz").alias("capture_end"), F.sum(F.when(late, F.col("n")).otherwise(0)).alias("past_end"), (F.max(F.when(late, F.col("end") - F.col("last")).otherwise(0)) / 1e6).alias("furthest_s"))
+
+
+def outliers(flows: DataFrame, by: str, columns: list[str], far: float = 3.5) -> DataFrame:
+    """(by, field, n, median, mad, outliers): values further from their group's median than ``far`` times the median deviation
+    (scaled to a standard deviation), both exact. Nulls don't count; where half the values are equal, all others are far.
+    """
+    from flowloom.operators.quantiles import exact
+
+    each = flows.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select(by, "s.field", "s.x").where("x IS NOT NULL")
+    counted = each.groupBy(by, "field", "x").agg(F.count("*").alias("n"))  # equal values meet as one
+    keys = [by, "field"]
+    middle = exact(each, keys, "x", [0.5]).select(*keys, F.col("quantiles")[0].alias("median"))
+    away = each.join(F.broadcast(middle), keys).select(*keys, F.round(F.abs(F.col("x") - F.col("median")), 9).alias("away"))
+    spread = exact(away, keys, "away", [0.5]).select(*keys, F.col("quantiles")[0].alias("mad"))
+    both = counted.join(F.broadcast(middle.join(spread, keys)), keys)
+    out = F.round(F.abs(F.col("x") - F.col("median")), 9) > F.round(far * 1.4826 * F.col("mad"), 9)
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("median").alias("median"), F.first("mad").alias("mad"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("outliers"))
 
 
 def order_breaks(flows: DataFrame, part: str | None = None, chunk: int = 4096) -> DataFrame:

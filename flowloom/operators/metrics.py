@@ -63,6 +63,38 @@ def best_temperature(scored: DataFrame, grid: list[float]) -> DataFrame:
     return nll.agg(F.min(F.struct("nll", "tau")).alias("best")).select("best.tau", "best.nll")
 
 
+def logit(p, least: float = 0.001):
+    """The logit of a probability, kept ``least`` away from 0 and 1."""
+    q = F.greatest(F.lit(least), F.least(F.lit(1 - least), p))
+    return F.log(q / (1 - q))
+
+
+def fit_temperature(scored: DataFrame, low: float = 0.01, high: float = 100.0, rounds: int = 50) -> DataFrame:
+    """One row: tau, the temperature with the least negative log-likelihood of y (boolean) by logits z, nll at tau and at 1, and
+    the rounds it took.
+
+    Newton's method on 1 / tau, in which the likelihood is convex. Equal logits are counted once; each round adds up two
+    derivatives over them, and one row comes to the driver. tau stays within low and high (scores without an error would
+    send it to 0, those no better than chance to infinity). Without rows tau is 1.
+    """
+    counts = scored.where(F.col("z").isNotNull() & F.col("y").isNotNull()).groupBy("z").agg(F.count("*").cast("double").alias("n"), F.count_if("y").cast("double").alias("pos")).persist()
+    beta, done = 1.0, 0
+    for done in range(1, rounds + 1):
+        p = 1 / (1 + F.exp(-F.col("z") * beta))
+        r = counts.agg(F.sum((F.col("n") * p - F.col("pos")) * F.col("z")).alias("g"), F.sum(F.col("n") * p * (1 - p) * F.col("z") ** 2).alias("h")).first()
+        if not r.h:
+            break
+        after = min(1 / low, max(1 / high, beta - r.g / r.h))
+        moved, beta = abs(after - beta), after
+        if moved < 1e-12 * beta:
+            break
+    loss = lambda b: F.sum(F.col("n") * F.log1p(F.exp(-F.abs(F.col("z") * b))) + F.greatest(F.col("z") * b, F.lit(0.0)) * F.col("n") - F.col("pos") * F.col("z") * b)
+    out = counts.agg(F.lit(1 / beta).alias("tau"), loss(beta).alias("nll"), loss(1.0).alias("nll_before"), F.lit(done).alias("rounds"))
+    row = out.first()
+    counts.unpersist()
+    return scored.sparkSession.createDataFrame([row], out.schema)
+
+
 def block_bootstrap(scored: DataFrame, key: str = "window_id", block: int = 8, replicates: int = 200) -> DataFrame:
     """One row: mean and 95 % interval of accuracy over replicates that draw blocks of windows by md5, and their number."""
     right = scored.groupBy(F.floor(F.col(key) / block).alias("block")).agg(F.count_if((F.col("p") >= 0.5) == F.col("y")).alias("ok"), F.count("*").alias("n"))

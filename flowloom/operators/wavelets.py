@@ -80,6 +80,25 @@ def reconstruct(df: DataFrame, length: int, wavelet: str = "db4", level: int = 4
     return df.withColumn("rebuilt", rebuilt("bands"))
 
 
+def reconstruct_stationary(df: DataFrame, wavelet: str = "db4", level: int = 4) -> DataFrame:
+    """Adds rebuilt: the window from its undecimated bands. Each level is the mean of the syntheses from both of its phases."""
+    low, high = np.array(FILTERS[wavelet]), np.array(high_pass(FILTERS[wavelet]))
+
+    @F.pandas_udf("array<double>")
+    def rebuilt(bands: pd.Series) -> pd.Series:
+        if not len(bands):
+            return pd.Series([], dtype=object)
+        each = [dict(b) for b in bands]
+        a = np.stack([b[f"cA{level}"] for b in each])
+        for j in range(level, 0, -1):
+            d, n = np.stack([b[f"cD{j}"] for b in each]), a.shape[1]
+            at = (np.arange(n)[:, None] - np.arange(len(low)) * 2 ** (j - 1)) % n
+            a = (a[:, at] @ low + d[:, at] @ high) / 2
+        return pd.Series(a.tolist())
+
+    return df.withColumn("rebuilt", rebuilt("bands"))
+
+
 def energy(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
 

@@ -90,9 +90,11 @@ def blocked_split(segs: DataFrame, gap: int = 1) -> DataFrame:
 
 
 def session_split(flows: DataFrame) -> DataFrame:
-    """Two sessions, the days before and from the 16th of the month: the first trains, the second tests."""
-    day = F.dayofmonth("event_ts")
-    return flows.select("row_id", F.when(day < 16, "train").otherwise("test").alias("split"))
+    """Two sessions by capture date, never mixed within a day: the first half of the dates trains, the second tests."""
+    day = F.to_date("event_ts")
+    first = F.min(day)
+    cut = flows.agg(F.date_add(first, F.floor((F.datediff(F.max(day), first) + 1) / 2).cast("int")).alias("cut"))  # one row
+    return flows.crossJoin(F.broadcast(cut)).select("row_id", F.when(day < F.col("cut"), "train").otherwise("test").alias("split"))
 
 
 def overlapping(windows: DataFrame, span: int = SPAN) -> DataFrame:

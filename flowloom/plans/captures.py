@@ -11,19 +11,33 @@ from flowloom.plans.catalogue import FLOWS, query, read
 from flowloom.sources import flows as sources
 
 
-def write_one(df: DataFrame, path: str, name: str, header: bool = True) -> None:
-    """df, in its order, as one CSV file with a given name (a fixture)."""
-    spark = df.sparkSession
-    df.coalesce(1).write.mode("append").option("header", header).option("ignoreLeadingWhiteSpace", False).csv(f"{path}/.{name}")
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.{name}")
+#: Tasks that write a day.
+SALTS = 8
+#: Rows of a capture file by ids, so that their number grows with the rows.
+BLOCK = 1_000_000
+
+
+def write_files(rows: DataFrame, path: str, ending: str = ".csv", header: bool = True) -> None:
+    """Capture files (a fixture): the rows of each ``file`` in order of row_id, all files side by side."""
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c not in ("file", "row_id")]
+    rows.repartition("file").sortWithinPartitions("file", "row_id").select(*names, "file").write.mode("append").option("header", header).option("ignoreLeadingWhiteSpace", False).partitionBy("file").csv(f"{path}/.parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(f"{path}/.parts")
     store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(x.getPath() for x in store.listStatus(top) if x.getPath().getName().endswith(".csv"))
-    store.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    for folder_ in store.listStatus(top):
+        name = folder_.getPath().getName()
+        if name.startswith("file="):
+            for x in store.listStatus(folder_.getPath()):
+                if x.getPath().getName().endswith(".csv"):
+                    store.rename(x.getPath(), hadoop(f"{path}/{name.removeprefix('file=')}{ending}"))
 
 
 def capture_folders(spark: SparkSession, d: str) -> list[str]:
-    """The events as capture files: a.csv and b.csv with other orders of columns, c.csv without one, junk, an absent folder."""
-    f = read(spark, d).orderBy("row_id")
+    """The events as capture files: a, b and e with other orders of columns, d with rows of a again, c without some, junk, an
+    absent folder. Each has a file for each BLOCK of ids: a.csv, a-1.csv and so on.
+    """
+    f = read(spark, d)
     raw = f.select(
         "row_id",
         F.col("flow_id").alias("Flow ID"),
@@ -38,17 +52,19 @@ def capture_folders(spark: SparkSession, d: str) -> list[str]:
         F.lit("x").alias(" Unused"),
     )
     names = [c for c in raw.columns if c != "row_id"]
-    top = folder(spark)
-    write_one(raw.where("row_id % 3 = 0").select(*names), f"{top}/one", "a.csv")
-    write_one(raw.where("row_id % 3 = 1").select(*names[::-1]), f"{top}/one", "b.csv")
-    write_one(raw.where("row_id % 30 = 2").select(*names[:4]), f"{top}/two", "c.csv")
-    write_one(raw.where("row_id % 6 = 0").select(*names), f"{top}/two", "d.csv")  # rows of a.csv again
-    write_one(raw.limit(0).select(F.lit("").alias("v")), f"{top}/two", "junk.csv", header=False)
+    top, block = folder(spark), F.floor(F.col("row_id") / BLOCK)
+    named = lambda name: F.concat(F.lit(name), F.when(block > 0, F.concat(F.lit("-"), block)).otherwise("")).alias("file")
+    write_files(raw.where("row_id % 3 = 0").select("row_id", *names, named("a")), f"{top}/one")
+    write_files(raw.where("row_id % 3 = 1").select("row_id", *names[::-1], named("b")), f"{top}/one")
+    write_files(raw.where("row_id % 3 = 2").select("row_id", *names[3:], *names[:3], named("e")), f"{top}/one")
+    write_files(raw.where("row_id % 30 = 2").select("row_id", *names[:4], named("c")), f"{top}/two")
+    write_files(raw.where("row_id % 6 = 0").select("row_id", *names, named("d")), f"{top}/two")
+    write_files(raw.agg(F.lit(0).alias("row_id"), F.lit("").alias("v"), F.lit("junk").alias("file")), f"{top}/two", header=False)
     return [f"{top}/one", f"{top}/two", f"{top}/absent"]
 
 
-CAPTURE = f"""{FLOWS}, files(source_file, every, rest) AS (VALUES ('a.csv', 3, 0), ('b.csv', 3, 1), ('d.csv', 6, 0)),
- cap AS (SELECT source_file, row_id, flow_id, CASE WHEN row_id % 13 <> 0 THEN date_trunc('second', event_ts) END AS event_ts, byte_count + 1 AS byte_count,
+CAPTURE = f"""{FLOWS}, files(file, every, rest) AS (VALUES ('a', 3, 0), ('b', 3, 1), ('e', 3, 2), ('d', 6, 0)),
+ cap AS (SELECT file || CASE WHEN row_id >= {BLOCK} THEN '-' || row_id // {BLOCK} ELSE '' END || '.csv' AS source_file, row_id, flow_id, CASE WHEN row_id % 13 <> 0 THEN date_trunc('second', event_ts) END AS event_ts, byte_count + 1 AS byte_count,
  CASE WHEN row_id % 23 = 0 THEN 0 ELSE packet_count END AS packet_count, CASE WHEN row_id % 17 = 0 THEN -0.005 WHEN row_id % 19 = 0 THEN NULL ELSE 2.0 END AS duration_ms,
  CASE WHEN protocol = 'ICMP' THEN '99' ELSE protocol END AS protocol, label_type <> 'BENIGN' AS label_binary, label_type FROM flows JOIN files ON row_id % every = rest)"""
 
@@ -111,7 +127,7 @@ def manifest_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     return about.join(counts, "source_file", "left").select("source_file", "path", "size_bytes", "rows", "sha256", F.from_json("labels", "map<string,long>").alias("labels"), "error")
 
 
-@query(f"WITH {PER_FILE} SELECT source_file, n_rows AS rows, labels FROM per_file UNION ALL SELECT unnest(['c.csv', 'junk.csv']), NULL, NULL")
+@query(f"WITH {PER_FILE} SELECT source_file, n_rows AS rows, labels FROM per_file UNION ALL SELECT DISTINCT 'c' || CASE WHEN row_id >= {BLOCK} THEN '-' || row_id // {BLOCK} ELSE '' END || '.csv', NULL::BIGINT, NULL FROM flows WHERE row_id % 30 = 2 UNION ALL SELECT 'junk.csv', NULL, NULL")
 def capture_manifest(spark, d):
     """The manifest written as JSON, one object a file, and read back (sizes and digests are tested apart)."""
     path = f"{folder(spark)}/manifest"
@@ -167,7 +183,7 @@ def window_tail_label_256(spark, d):
 def capture_interim_day(spark, d):
     """Capture files as Parquet by day; one day is read back, from its own folder only."""
     path = f"{folder(spark)}/interim"
-    captured(spark, d).withColumn("day", F.to_date("event_ts")).repartition("day").write.partitionBy("day").parquet(path)
+    captured(spark, d).withColumn("day", F.to_date("event_ts")).repartition("day", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).write.partitionBy("day").parquet(path)
     back = spark.read.parquet(path)
     second = back.agg(F.date_add(F.min("day"), 1)).first()[0]
     return back.where(F.col("day") == F.lit(second)).groupBy("source_file", "day").agg(F.count("*").alias("n"), F.sum("byte_count").alias("total_bytes"))

@@ -269,7 +269,7 @@ def split_blocked_temporal(spark, d):
     return windows.blocked_split(windows.segments(windows.bin_labels(read(spark, d))))
 
 
-@query(f"WITH {FLOWS} SELECT row_id, CASE WHEN day(event_ts) < 16 THEN 'train' ELSE 'test' END AS split FROM flows")
+@query(f"WITH {FLOWS}, m AS (SELECT min(CAST(event_ts AS DATE)) + CAST(floor((max(CAST(event_ts AS DATE)) - min(CAST(event_ts AS DATE)) + 1) / 2.0) AS INT) AS cut FROM flows) SELECT row_id, CASE WHEN CAST(event_ts AS DATE) < cut THEN 'train' ELSE 'test' END AS split FROM flows, m")
 def split_cross_session(spark, d):
     return windows.session_split(read(spark, d))
 
@@ -279,19 +279,19 @@ def leak_flow_overlap(spark, d):
     return windows.session_split(read(spark, d)).groupBy("row_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("flows_in_both"))
 
 
-SLIDES = f"{BINS}, s AS (SELECT bin AS start, CASE WHEN bin % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM dense WHERE bin % 8 = 0)"
+SLIDES = f"{BINS}, s AS (SELECT bin AS start, CASE WHEN bin % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM dense)"
 
 
 @query(f"WITH {SLIDES} SELECT x.start AS a, x.split AS a_split, y.start AS b, y.split AS b_split FROM s x JOIN s y ON x.start < y.start AND y.start < x.start + 32 AND x.split <> y.split")
 def leak_window_overlap(spark, d):
-    s = windows.dense(windows.bins(read(spark, d))).where("bin % 8 = 0").select(F.col("bin").alias("start"), F.when(F.col("bin") % 5 == 0, "test").otherwise("train").alias("split"))
+    s = windows.dense(windows.bins(read(spark, d))).select(F.col("bin").alias("start"), F.when(F.col("bin") % 5 == 0, "test").otherwise("train").alias("split"))
     return windows.overlapping(s)
 
 
 @query(f"WITH {SLIDES}, e AS (SELECT bin FROM dense WHERE n_flows = 0) SELECT start, split FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.bin BETWEEN s.start AND s.start + 31)")
 def gap_window_drop(spark, d):
     spine = windows.dense(windows.bins(read(spark, d)))
-    s = spine.where("bin % 8 = 0").select(F.col("bin").alias("start"), F.when(F.col("bin") % 5 == 0, "test").otherwise("train").alias("split"))
+    s = spine.select(F.col("bin").alias("start"), F.when(F.col("bin") % 5 == 0, "test").otherwise("train").alias("split"))
     return windows.without_gaps(s, spine.where("n_flows = 0").select(F.col("bin").alias("first"), F.col("bin").alias("last")))
 
 

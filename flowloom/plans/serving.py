@@ -60,17 +60,21 @@ def tier_fast(spark, d):
     return j.select("row_id", verdict.alias("verdict"), digits(confidence).alias("confidence"))
 
 
-@query(f"WITH {WINDOWED}, mean AS (SELECT bin, whole, avg(p) OVER (ORDER BY bin ROWS 3 PRECEDING) AS p FROM shares), asked AS (SELECT row_id, t // 600 - 1 AS bin FROM flows WHERE row_id % 7 = 0), j AS (SELECT row_id, coalesce(whole, false) AS whole, coalesce(p, 0.0) AS p FROM asked LEFT JOIN mean USING (bin)) SELECT row_id, {SAID} FROM j")
+@query(f"WITH {WINDOWED}, mean AS (SELECT bin, whole, avg(p) OVER (ORDER BY bin ROWS 3 PRECEDING) AS p FROM shares), asked AS (SELECT row_id, t // 600 - 1 AS bin FROM flows), j AS (SELECT row_id, coalesce(whole, false) AS whole, coalesce(p, 0.0) AS p FROM asked LEFT JOIN mean USING (bin)) SELECT row_id, {SAID} FROM j")
 def tier_deep(spark, d):
-    """Deep requests (every seventh flow): windows rebuilt up to the freshest bin, averaged over four offsets."""
+    """Deep requests: windows rebuilt up to the freshest bin, averaged over four offsets."""
     shares = closed_shares(spark, d)
     mean = own(with_halo(shares, "bin", 3).withColumn("mean", F.avg("p").over(frame("bin").rowsBetween(-3, 0))))
-    asked = read(spark, d).where("row_id % 7 = 0").select("row_id", (windows.bin_of(F.col("event_ts")) - 1).alias("bin"))
+    asked = read(spark, d).select("row_id", (windows.bin_of(F.col("event_ts")) - 1).alias("bin"))
     j = asked.join(mean, "bin", "left").select("row_id", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("mean", F.lit(0.0)).alias("p"))
     verdict, confidence = said(F.col("p"), F.col("full"))
     return j.select("row_id", verdict.alias("verdict"), digits(confidence).alias("confidence"))
 
 
+#: Files that a trigger reads.
+FILES = 4
+
+
 def disturbed(spark: SparkSession, d: str) -> str:
     """The events as files of four triggers: shuffled within each, every ninth flow repeated in its file, and in the last
     trigger copies of the first one's flows under new ids, which come too late.
@@ -84,7 +88,7 @@ def disturbed(spark: SparkSession, d: str) -> str:
         rows = own_.unionByName(own_.where("event_id % 9 = 0"))
         if k == 3:
             rows = rows.unionByName(e.where((F.col("ts") < F.lit(cuts[1])) & (F.col("event_id") % 5 == 0)).withColumn("event_id", F.col("event_id") + 10**9))
-        rows.orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(path)
+        rows.repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -96,10 +100,19 @@ def stream_bins_disturbed(spark, d):
     """Closed bins of three streams over four triggers: out of order, with repeated flows, and with flows that come too late."""
     from flowloom.streaming import bins
 
-    flows = bins.flow_stream(spark, disturbed(spark, d), 1).withColumn("stream_id", F.col("protocol"))
+    flows = bins.flow_stream(spark, disturbed(spark, d), FILES).withColumn("stream_id", F.col("protocol"))
     return bins.run_to_table(bins.closed_bins(flows), f"{folder(spark)}/run").drop("closed_at")
 
 
+@query("WITH e AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events) SELECT count(*) AS dropped FROM events, e WHERE epoch_us(ts) < a + (b - a) / 4.0::DOUBLE AND event_id % 5 = 0")
+def stream_late_counter(spark, d):
+    """The flows of the disturbed stream that came too late, as the stream itself counts them."""
+    from flowloom.streaming import bins
+
+    closed = bins.closed_bins(bins.flow_stream(spark, disturbed(spark, d), FILES))
+    return bins.late_rows(closed, f"{folder(spark)}/run").agg(F.sum("dropped").alias("dropped"))
+
+
 @query(f"""WITH {CLOSED}, b AS (SELECT protocol AS stream_id, t // 600 AS bin, count(*) AS n, count(*) FILTER (WHERE label_binary) AS bad FROM flows WHERE (t // 600 + 1) * 600 <= (SELECT t FROM last) - 1200 GROUP BY 1, 2),
  w AS (SELECT stream_id, bin, bin - min(bin) OVER (PARTITION BY stream_id) >= 31 AS whole, CAST(sum(bad) OVER x AS DOUBLE) / sum(n) OVER x AS p FROM b WINDOW x AS (PARTITION BY stream_id ORDER BY bin RANGE BETWEEN 31 PRECEDING AND CURRENT ROW))
  SELECT stream_id, bin, CASE WHEN NOT whole THEN 'benign' WHEN p >= 0.7 THEN 'malicious' WHEN p >= 0.3 THEN 'suspicious' ELSE 'benign' END AS verdict, round(CASE WHEN NOT whole THEN 0.0 ELSE greatest(p, 1 - p) END, 9) AS confidence FROM w""")
@@ -108,7 +121,7 @@ def stream_verdicts(spark, d):
     from flowloom.streaming import bins
 
     top = folder(spark)
-    flows = bins.flow_stream(spark, disturbed(spark, d), 1).withColumn("stream_id", F.col("protocol"))
+    flows = bins.flow_stream(spark, disturbed(spark, d), FILES).withColumn("stream_id", F.col("protocol"))
     closed = bins.run_to_table(bins.closed_bins(flows), f"{top}/closed")
     again = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", 100_000).parquet(f"{top}/closed/out")
     out = bins.run_to_table(bins.verdicts(again), f"{top}/verdicts")
@@ -120,7 +133,7 @@ def stream_batch_parity(spark, d):
     """Closed bins of the disturbed streams, added up, against the batch's bins: how far they differ."""
     from flowloom.streaming import bins
 
-    flows = bins.flow_stream(spark, disturbed(spark, d), 1)
+    flows = bins.flow_stream(spark, disturbed(spark, d), FILES)
     online = bins.run_to_table(bins.closed_bins(flows), f"{folder(spark)}/run").select("bin", *[F.col(c).alias(f"on_{c}") for c in ("n_flows", "sum_bytes", "sum_packets")])
     batch = windows.bins(read(spark, d))
     last = read(spark, d).agg(F.unix_timestamp(F.to_timestamp(F.max("event_ts"))).alias("t"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from flowloom.operators.windows import DELTA
 from flowloom.sources.flows import from_events
@@ -93,6 +96,39 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+class Dropped(StreamingQueryListener):
+    """Collects, for each trigger of the queries it hears of, the rows that state operators dropped behind the watermark."""
+
+    def __init__(self):
+        self.rows: dict[tuple[str, int], int] = {}
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        progress = json.loads(event.progress.json)
+        self.rows[progress["id"], progress["batchId"]] = sum(o["numRowsDroppedByWatermark"] for o in progress["stateOperators"])
+
+    def onQueryTerminated(self, event):
+        self.ended.set()
+
+
+def late_rows(stream: DataFrame, folder: str) -> DataFrame:
+    """(trigger, dropped): runs a stream as ``run_to_table`` does, and tells how many rows came too late for it, by trigger."""
+    spark, heard = stream.sparkSession, Dropped()
+    spark.streams.addListener(heard)
+    try:
+        run_to_table(stream, folder)
+        heard.ended.wait(60)  # events come on their own thread
+    finally:
+        spark.streams.removeListener(heard)
+    return spark.createDataFrame([(trigger, n) for (_, trigger), n in sorted(heard.rows.items())], "trigger long, dropped long")
+
+
 def count_by_trigger(stream: DataFrame, column: str, folder: str) -> None:
     """Writes, for each trigger, how often each value of a column came; a repeated trigger replaces its own counts."""
 
