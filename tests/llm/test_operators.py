@@ -246,3 +246,14 @@ def test_long_odd_texts_are_cut_at_safe_places(spark, empty):
         assert x.ids_sha256 == digest(",".join(map(str, want[x.doc_id])).encode())
         assert x.decoded_sha256 == digest(library.decode(want[x.doc_id], skip_special_tokens=False).encode())
     assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_toxicity_query_without_doc_id(spark, tmp_path):
+    from flowloom.llm import queries
+
+    rows = [(1, "you are a grumblefish"), (2, "the dog ran home"), (None, "the dog"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["op8_toxicity"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.held_out) for r in got if r.doc_id is None) == [(True, False)] * 2
+    assert all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
