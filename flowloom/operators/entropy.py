@@ -82,7 +82,22 @@ def quality(tensor: DataFrame) -> DataFrame:
     return v.groupBy("channel", "band").agg(F.count_if(F.isnan("v") | ~F.col("v").between(0, 1)).alias("bad"), F.min("v").alias("least"), F.max("v").alias("most"), F.var_pop("v").alias("variance"))
 
 
-def normalised(tensor: DataFrame, train: DataFrame) -> DataFrame:
-    """Values less the mean, over the standard deviation, of the training windows' channel."""
-    stats = train.select("channel", F.explode(F.col("values").cast("array<double>")).alias("v")).groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
-    return tensor.join(F.broadcast(stats), "channel").select("window_id", "channel", "band", F.transform("values", lambda v: ((v - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).cast("float")).alias("values"))
+def channel_stats(tensor: DataFrame) -> DataFrame:
+    """(channel, mean, sd) of all cells of tensors: those of training windows."""
+    return tensor.select("channel", F.explode(F.col("values").cast("array<double>")).alias("v")).groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+
+
+def normalised(tensor: DataFrame, stats: DataFrame) -> DataFrame:
+    """Values less the mean, over the standard deviation, of ``channel_stats``: a row for each channel."""
+    by = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    return tensor.join(F.broadcast(stats), "channel").select("window_id", "channel", "band", F.transform("values", lambda v: (v - F.col("mean")) / by).alias("values"))
+
+
+def stacked(tensor: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """(window_id, x): channels x bands x time as nested arrays; bands from the coarsest to the finest."""
+    level = -F.substring("band", 3, 9).cast("int")
+    order = F.when(F.col("band").startswith("cA"), level - 1).otherwise(level)
+    rows = tensor.groupBy("window_id", "channel").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "values"))).alias("rows"))
+    place = F.array_position(F.array(*map(F.lit, channels)), F.col("channel"))
+    one = rows.select("window_id", F.struct(place.alias("place"), F.transform("rows", lambda r: r["values"]).alias("rows")).alias("c"))
+    return one.groupBy("window_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("window_id", F.transform("cs", lambda c: c["rows"]).alias("x"))

@@ -99,8 +99,8 @@ def paired_bootstrap(rows: DataFrame, block: int = 8, replicates: int = 200) ->
     cell = {"tp": lambda h: F.col("y") & h, "fp": lambda h: ~F.col("y") & h, "fn": lambda h: F.col("y") & ~h, "tn": lambda h: ~F.col("y") & ~h}
     sums = rows.groupBy(F.floor(F.col("window_id") / block).alias("block")).agg(*[F.count_if(cell[x[1:]](F.col(x[0]))).alias(x) for x in names])
     numbered = sums.withColumn("i", F.row_number().over(Window.orderBy("block")) - 1)  # one row for each block
-    size = numbered.agg(F.count("*").alias("m"))
-    draws = size.select("m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).select("m", "r", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("j"))
+    size = numbered.agg(F.count("*").alias("m"))  # one row
+    draws = numbered.select(F.col("i").alias("j")).crossJoin(F.broadcast(size)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = draws.select("r", (seeded(F.concat_ws(":", "r", "j")) % F.col("m")).alias("i")).join(numbered, "i").groupBy("r").agg(*[F.sum(x).alias(x) for x in names])
     score = lambda k: macro_f1(*[F.col(f"{k}{n}") for n in ("tp", "fp", "fn", "tn")])
     return drawn.select((score("a") - score("b")).alias("x")).agg(F.count("*").alias("replicates"), F.avg("x").alias("mean"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
@@ -117,6 +117,46 @@ def best_cut(scored: DataFrame) -> DataFrame:
     return c.agg(F.max(F.struct(f.alias("f"), (-F.col("p")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("cut"))
 
 
+#: How often a block counts in a replicate, by where a uniform draw falls: the Poisson distribution of mean 1.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def bootstrap_macro_f1(rows: DataFrame, by: str, block: int = 8, replicates: int = 200) -> DataFrame:
+    """(by, low, high): the 95 % interval of macro-F1 of each group (boolean y and hit) over replicates.
+
+    Each block of windows counts a drawn number of times, independently of the others: no numbering, and all groups share
+    the draws. A block's sums are one row before they are multiplied.
+    """
+    count = {"tp": F.col("y") & F.col("hit"), "fp": ~F.col("y") & F.col("hit"), "fn": F.col("y") & ~F.col("hit"), "tn": ~F.col("y") & ~F.col("hit")}
+    sums = rows.groupBy(by, F.floor(F.col("window_id") / block).alias("block")).agg(*[F.count_if(c).alias(k) for k, c in count.items()])
+    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", seeded(F.concat_ws(":", "r", "block")) / 2.0**32)
+    times = sum((F.col("u") >= t).cast("int") for t in POISSON)
+    f = drawn.groupBy(by, "r").agg(*[F.sum(F.col(k) * times).alias(k) for k in count]).withColumn("f", macro_f1(*map(F.col, count)))
+    return f.groupBy(by).agg(F.percentile("f", 0.025).alias("low"), F.percentile("f", 0.975).alias("high"))
+
+
+def transform_runs(rows: DataFrame) -> DataFrame:
+    """A row for each transform of (transform, seed, window_id, y, hit, shifted): mean and deviation of macro-F1 over seeds, its
+    interval, and the share of windows whose verdict flips when they begin one bin later (shifted; null where there is none).
+    """
+    hit = lambda a, b: F.count_if((F.col("y") if a else ~F.col("y")) & (F.col("hit") if b else ~F.col("hit")))
+    each = rows.groupBy("transform", "seed").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn")).withColumn("f", macro_f1(*map(F.col, ("tp", "fp", "fn", "tn"))))
+    mean = each.groupBy("transform").agg(F.count("*").alias("seeds"), F.avg("f").alias("macro_f1"), F.coalesce(F.stddev_samp("f"), F.lit(0.0)).alias("sd"))
+    flips = rows.where("shifted IS NOT NULL").groupBy("transform").agg(F.avg((F.col("hit") != F.col("shifted")).cast("double")).alias("flip_rate"))
+    return mean.join(bootstrap_macro_f1(rows, "transform"), "transform").join(flips, "transform", "left").withColumn("flip_rate", F.coalesce("flip_rate", F.lit(0.0)))
+
+
+def transform_decision(runs: DataFrame) -> DataFrame:
+    """One row: the figures of both transforms (dwt_, swt_), the gain, and whether the stationary one replaces the plain one; the
+    rule is ``prefer_stationary``'s. Empty unless both were run.
+    """
+    side = lambda k: runs.where(F.col("transform") == k).select(*[F.col(c).alias(f"{k}_{c}") for c in runs.columns if c != "transform"])
+    both = side("dwt").crossJoin(F.broadcast(side("swt"))).withColumn("gain", F.col("swt_macro_f1") - F.col("dwt_macro_f1"))  # one row each
+    apart = (F.col("gain") >= 0.005) & (F.col("swt_low") > F.col("dwt_high"))
+    calmer = (F.col("dwt_flip_rate") > 0) & (F.col("swt_flip_rate") <= F.col("dwt_flip_rate") / 2) & (F.col("gain") >= -0.005)
+    return both.withColumn("stationary", apart | calmer)
+
+
 def prefer_stationary(plain: dict[str, float], stationary: dict[str, float]) -> bool:
     """Whether the stationary transform replaces the plain one, from macro_f1, low and high (its interval) and flip_rate of
     each: at least 0.005 more macro-F1 with intervals apart, or at most half the flips at no more than 0.005 less.

@@ -99,8 +99,8 @@ def block_bootstrap(scored: DataFrame, key: str = "window_id", block: int = 8, r
     """One row: mean and 95 % interval of accuracy over replicates that draw blocks of windows by md5, and their number."""
     right = scored.groupBy(F.floor(F.col(key) / block).alias("block")).agg(F.count_if((F.col("p") >= 0.5) == F.col("y")).alias("ok"), F.count("*").alias("n"))
     numbered = right.withColumn("b", F.row_number().over(Window.orderBy("block")) - 1)  # one row for each block
-    size = numbered.agg(F.count("*").alias("m"))
-    draws = size.select("m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).select("m", "r", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("i"))
+    size = numbered.agg(F.count("*").alias("m"))  # one row
+    draws = numbered.select(F.col("b").alias("i")).crossJoin(F.broadcast(size)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "r", "i")), 1, 8), 16, 10).cast("long") % F.col("m")
     drawn = draws.select("r", pick.alias("b")).join(numbered, "b").groupBy("r").agg((F.sum("ok") / F.sum("n")).alias("acc"))
     return drawn.agg(F.count("*").alias("replicates"), F.avg("acc").alias("mean"), F.percentile("acc", 0.025).alias("low"), F.percentile("acc", 0.975).alias("high"))

@@ -184,15 +184,19 @@ def tensor_store(spark, d):
     return back.select("window_id", "channel", "band", F.posexplode("values").alias("t", "v"), "config").withColumns({"t": F.col("t").cast("long"), "v": digits(F.col("v"), 8) + 0})
 
 
-@query(f"WITH {SEGMENTS}, c AS (SELECT split, bin // 4096 AS chunk, sha256(string_agg(bin, ',' ORDER BY bin)) AS h, count(*) AS n FROM split GROUP BY 1, 2) SELECT split, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, ',' ORDER BY chunk)) AS sha256 FROM c GROUP BY 1")
-def split_index_hash(spark, d):
-    """The bins of each split, and a digest of them: of the digests of their chunks, in order."""
-    s = catalogue.split_blocked_temporal(spark, d).select("split", "bin")
+def index_digest(s: DataFrame) -> DataFrame:
+    """Per split of (split, bin): the bins' number, and a digest of the digests of their chunks, in order."""
     chunk = s.groupBy("split", F.floor(F.col("bin") / 4096).alias("chunk")).agg(F.array_sort(F.collect_list("bin")).alias("bins"))
     one = chunk.select("split", F.struct("chunk", F.sha2(F.array_join(F.transform("bins", lambda b: b.cast("string")), ",").cast("binary"), 256).alias("h")).alias("x"), F.size("bins").alias("n"))
     return one.groupBy("split").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("x")).alias("xs")).select("split", "n", F.sha2(F.array_join(F.transform("xs", lambda x: x["h"]), ",").cast("binary"), 256).alias("sha256"))
 
 
+@query(f"WITH {SEGMENTS}, c AS (SELECT split, bin // 4096 AS chunk, sha256(string_agg(bin, ',' ORDER BY bin)) AS h, count(*) AS n FROM split GROUP BY 1, 2) SELECT split, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, ',' ORDER BY chunk)) AS sha256 FROM c GROUP BY 1")
+def split_index_hash(spark, d):
+    """The bins of each split, and a digest of them: of the digests of their chunks, in order."""
+    return index_digest(catalogue.split_blocked_temporal(spark, d).select("split", "bin"))
+
+
 @query(f"WITH {TAILS}, f AS (SELECT row_id, t // 19200 AS window_id FROM flows), s AS (SELECT row_id, CASE WHEN window_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM f UNION ALL SELECT row_id, 'test' FROM f WHERE row_id % 97 = 0 AND window_id % 5 <> 0), n AS (SELECT row_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1) SELECT count(*) AS leaked FROM n")
 def leak_planted(spark, d):
     """Flows in two splits, where some were put into both."""
