@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import ratio
+from flowloom.operators.timeline import carried, ranges
 from flowloom.sources.flows import BENIGN
 
 
@@ -138,8 +139,7 @@ def order_breaks(flows: DataFrame, part: str | None = None, chunk: int = 4096) -
     by = [part] if part else []
     at = flows.select(*by, "row_id", "event_ts").withColumn("chunk", F.floor(F.col("row_id") / chunk))
     last = at.groupBy(*by, "chunk").agg(F.max_by("event_ts", "row_id").alias("last"))
-    order = Window.partitionBy(*by).orderBy("chunk")  # one row for each chunk
-    joined = at.join(last.withColumn("carried", F.lag("last").over(order)).drop("last"), [*by, "chunk"])
+    joined = at.join(carried(last, by, "last", "carried").drop("last"), [*by, "chunk"])
     inside = Window.partitionBy(*by, "chunk").orderBy("row_id")
     first = F.row_number().over(inside) == 1
     step = joined.withColumn("prev", F.when(first, F.col("carried")).otherwise(F.lag("event_ts").over(inside)))
@@ -174,12 +174,12 @@ def span(flows: DataFrame, start: float, end: float) -> DataFrame:
 
 
 def position(flows: DataFrame) -> DataFrame:
-    """Adds the place of each flow in the order of (event_ts, row_id): its rank within a day and the flows of days before."""
-    day = flows.where("event_ts IS NOT NULL").withColumn("day", F.to_date("event_ts"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row for each day
-    base = day.groupBy("day").count().select("day", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("day").orderBy("event_ts", "row_id")
-    return day.join(base, "day").withColumn("place", F.col("base") + F.row_number().over(inside)).drop("base", "day")
+    """Adds the place of each flow in the order of (event_ts, row_id): its rank within a range of it and the flows of ranges before."""
+    cut = ranges(flows.where("event_ts IS NOT NULL"), ["event_ts", "row_id"])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = cut.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__range").orderBy("event_ts", "row_id")
+    return cut.join(base, "__range").withColumn("place", F.col("__base") + F.row_number().over(inside)).drop("__base", "__range")
 
 
 def coverage(flows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import ratio
 from flowloom.functions.timestamps import epoch_s
-from flowloom.operators.timeline import running_max
+from flowloom.operators.timeline import ranges, running_max
 
 
 def seeded(text: Column) -> Column:
@@ -84,7 +84,7 @@ def moved(flows: DataFrame, seconds: Column) -> DataFrame:
 def disorder(flows: DataFrame, delay: Column) -> DataFrame:
     """One row: flows, those that arrive after a later one when each comes ``delay`` seconds late, and the furthest of them."""
     at = flows.where("event_ts IS NOT NULL").select("row_id", epoch_s(F.col("event_ts")).alias("t"), (F.unix_micros(F.to_timestamp("event_ts")) + delay * 1_000_000).alias("arrival"))
-    seen = running_max(at, ["arrival", "row_id"], F.floor(F.col("arrival") / 86_400_000_000), F.col("t"), "seen")
+    seen = running_max(ranges(at, ["arrival", "row_id"]), ["arrival", "row_id"], F.col("__range"), F.col("t"), "seen")
     late = F.col("t") < F.col("seen")
     return seen.agg(F.count("*").alias("n"), F.count_if(late).alias("out_of_order"), F.coalesce(F.max(F.when(late, F.col("seen") - F.col("t"))), F.lit(0)).alias("furthest_s"))
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.scratch import folder
+
 
 def exact(df: DataFrame, by: list[str], value: str, shares: list[float], parts: int = 256) -> DataFrame:
     """(by, quantiles): for each group its values at the shares of its range of ranks, interpolated between neighbours.
 
     Equal values are counted before they meet. Approximate quantiles only cut each group into about ``parts`` parts of like
     size; counts of the parts tell which ones hold the wanted ranks, and only those are put in order, each on its own.
-    Null values don't count; a group without others has no row.
+    Null values don't count; a group without others has no row. The counts are written once, as four steps read them.
     """
-    each = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    path = f"{folder(df.sparkSession)}/counts"
+    counted.write.parquet(path)
+    each = df.sparkSession.read.schema(counted.schema).parquet(path)
     cuts = each.groupBy(*by).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
-    joined = each.join(cuts, by) if by else each.crossJoin(F.broadcast(cuts))
+    joined = each.join(cuts, by) if by else each.crossJoin(F.broadcast(cuts))  # a row for each group
     placed = joined.select(*by, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
     sums = placed.groupBy(*by, "part").agg(F.sum("n").alias("held"))
     up = Window.partitionBy(*by).orderBy("part")  # at most ``parts`` rows a group

@@ -33,6 +33,40 @@ def running_total(df: DataFrame, key: str, value: Column, name: str, chunk: int
     return inside.join(base, "__chunk").withColumn(name, F.col("__base") + F.col("__inside")).drop("__chunk", "__value", "__inside", "__base")
 
 
+def ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with __range: numbers of even parts of its rows that follow the order, found by Spark's range partitioning.
+
+    Written once, since parts must be the same for all steps that use them; a time with very many rows is parted too where
+    the order tells its rows apart.
+    """
+    from flowloom.operators.scratch import folder
+
+    spark = df.sparkSession
+    cut = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id().cast("long"))
+    path = f"{folder(spark)}/ranges"
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
+
+
+def spread(segs: DataFrame, first: str, last: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Each row of segs once for each whole number from ``first`` to ``last``, as ``name``; grown in parallel chunks."""
+    starts = segs.withColumn("__s", F.explode(F.expr(f"sequence({first}, {last}, {chunk}L)"))).repartition("__s")
+    return starts.withColumn(name, F.explode(F.sequence("__s", F.least(F.col("__s") + (chunk - 1), F.col(last))))).drop("__s")
+
+
+def carried(chunks: DataFrame, by: list[str], value: str, name: str, many: int = CHUNK) -> DataFrame:
+    """Adds the ``value`` of the chunk before each (column chunk; by groups), however far back that is; null for the first.
+
+    Chunks are compared within stretches of ``many`` numbers; only one row of each stretch meets the others.
+    """
+    cut = chunks.withColumn("__stretch", F.floor(F.col("chunk") / many))
+    ends = cut.groupBy(*by, "__stretch").agg(F.max_by(F.struct(value), "chunk").alias("__end"))
+    before = ends.select(*by, "__stretch", F.lag("__end").over(Window.partitionBy(*by).orderBy("__stretch")).alias("__before"))
+    inside = Window.partitionBy(*by, "__stretch").orderBy("chunk")
+    first = F.row_number().over(inside) == 1
+    return cut.join(before, [*by, "__stretch"]).withColumn(name, F.when(first, F.col("__before")[value]).otherwise(F.lag(value).over(inside))).drop("__stretch", "__before")
+
+
 def running_max(df: DataFrame, order: list[str], chunk: Column, value: Column, name: str) -> DataFrame:
     """Adds the greatest ``value`` of all rows before each, in an order that ``chunk`` follows: of its chunk and those before."""
     cut = df.withColumn("__chunk", chunk).withColumn("__value", value)

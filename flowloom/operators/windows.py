@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import ratio
 from flowloom.functions.timestamps import epoch_s
-from flowloom.operators.timeline import frame, own, running_total, with_halo
+from flowloom.operators.timeline import frame, own, running_total, spread, with_halo
 
 DELTA, SPAN, TAIL = 600, 32, 4
 
@@ -84,7 +84,7 @@ def blocked_split(segs: DataFrame, gap: int = 1) -> DataFrame:
     size = F.col("n_bins")
     a, b = F.floor(size * 70 / 100), F.floor(size * 85 / 100)
     pos = F.col("bin") - F.col("first_bin")
-    each = segs.select("*", F.explode(F.sequence("first_bin", "last_bin")).alias("bin"))
+    each = spread(segs, "first_bin", "last_bin", "bin")
     split = F.when(pos < a, "train").when(pos < b, F.when(pos - a < gap, "gap").otherwise("val")).otherwise(F.when(pos - b < gap, "gap").otherwise("test"))
     return each.select("segment_id", "bin", split.alias("split"))
 

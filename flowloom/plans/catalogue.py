@@ -10,6 +10,7 @@ from flowloom.functions import contract, timestamps
 from flowloom.functions.arithmetic import digits, ratio
 from flowloom.operators import audit, entropy, metrics, wavelets, windows
 from flowloom.operators.quantiles import exact
+from flowloom.operators.timeline import spread
 from flowloom.sources import flows as sources
 
 QUERIES: dict = {}
@@ -355,7 +356,12 @@ CODED = f"{EDGES}, w(band, w) AS (VALUES ('cD1', 16), ('cD2', 8), ('cD3', 8), ('
 
 
 def series_of(spark, d) -> DataFrame:
-    b = bands_of(spark, d, "haar", 4)
+    """Rolling entropies of all windows; the bands are written once, for the edges and for the entropies."""
+    from flowloom.operators.scratch import folder
+
+    path, b = f"{folder(spark)}/bands", bands_of(spark, d, "haar", 4)
+    b.write.parquet(path)
+    b = spark.read.schema(b.schema).parquet(path)
     return entropy.rolling(b, edges_of(b))
 
 
@@ -451,7 +457,7 @@ def detection_delay(spark, d):
     f = read(spark, d)
     segs = windows.segments(windows.bin_labels(f)).where("attack")
     hits = windows.bins(f).where("n_attack >= 5").select("bin", F.col("bin").alias("hit"))
-    each = segs.select("segment_id", "first_bin", F.explode(F.sequence("first_bin", "last_bin")).alias("bin")).join(hits, "bin", "left")
+    each = spread(segs, "first_bin", "last_bin", "bin").select("segment_id", "first_bin", "bin").join(hits, "bin", "left")
     return each.groupBy("segment_id", "first_bin").agg((F.min("hit") - F.col("first_bin")).alias("delay_bins"))
 
 
