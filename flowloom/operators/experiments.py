@@ -28,6 +28,19 @@ def grid(flows: DataFrame, settings) -> DataFrame:
     return w.groupBy("delta", "span").agg(F.count("*").alias("n_windows"), F.count_if(2 * F.col("bad") > F.col("n")).alias("attack_windows"), F.max("n").alias("largest"))
 
 
+def grid_scores(flows: DataFrame, settings) -> DataFrame:
+    """Per setting (delta, span): windows and the macro-F1 of calling a window an attack by the flows before its last eighth, where
+    the truth is what that eighth holds (half of its flows or more attacks, at least 5). All settings in one pass.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("delta"), F.lit(b).alias("span")) for a, b in settings])).alias("s")
+    at = flows.where("event_ts IS NOT NULL").select(epoch_s(F.col("event_ts")).alias("t"), "label_binary", each).select("s.*", "t", "label_binary").withColumn("size", F.col("delta") * F.col("span"))
+    tail = F.pmod("t", "size") >= F.col("size") - F.col("delta") * F.floor(F.col("span") / 8)
+    w = at.groupBy("delta", "span", F.floor(F.col("t") / F.col("size")).alias("window_id")).agg(F.count_if(tail).alias("n"), F.count_if(tail & F.col("label_binary")).alias("bad"), F.count_if(~tail).alias("head"), F.count_if(~tail & F.col("label_binary")).alias("head_bad"))
+    y, hit = (F.col("bad") >= 5) & (2 * F.col("bad") >= F.col("n")), (F.col("head") > 0) & (2 * F.col("head_bad") >= F.col("head"))
+    m = w.groupBy("delta", "span").agg(F.count("*").alias("n_windows"), F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"))
+    return m.withColumn("macro_f1", macro_f1(*map(F.col, ("tp", "fp", "fn", "tn"))))
+
+
 def image(tensor: DataFrame, size: int, bands: tuple[str, ...] = ("cA4", "cD4", "cD3", "cD2", "cD1")) -> DataFrame:
     """window_id, channel, r and row (array): tensors (band, v) as square images, rows and columns repeated."""
     place = F.coalesce(*[F.when(F.col("band") == b, k) for k, b in enumerate(bands)])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import digits
 from flowloom.operators import audit, metrics, wavelets
-from flowloom.plans.captures import CAPTURE, captured
+from flowloom.plans.captures import BLOCK, CAPTURE, capture_folders, captured
 from flowloom.plans.catalogue import BINS, FLOWS, SCORED, bands_of, query, read, scored, signals_of
+from flowloom.sources import flows as sources
 
 FIELDS = ("byte_count", "packet_count", "duration_ms")
 
@@ -58,6 +59,24 @@ def capture_gaps(spark, d):
     return audit.gaps(captured(spark, d), 1800, "source_file")
 
 
+#: The columns of the capture files, as ``captures.capture_folders`` writes them.
+HEADER = ("Flow ID", "Timestamp", "Label", "Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Protocol", "Unused")
+
+
+def columns_sql(name: str, keep: str, header: tuple[str, ...], usable: bool) -> str:
+    values = ", ".join(f"({k}, '{c}', {str(c != 'Unused').lower()})" for k, c in enumerate(header))
+    return f"SELECT source_file, k AS place, c AS name, r AS required, {str(usable).lower()} AS usable FROM (SELECT DISTINCT '{name}' || CASE WHEN row_id >= {BLOCK} THEN '-' || row_id // {BLOCK} ELSE '' END || '.csv' AS source_file FROM flows WHERE {keep}), (VALUES {values}) v(k, c, r)"
+
+
+FILES_OF = (("a", "row_id % 3 = 0", HEADER, True), ("b", "row_id % 3 = 1", HEADER[::-1], True), ("e", "row_id % 3 = 2", HEADER[3:] + HEADER[:3], True), ("c", "row_id % 30 = 2", HEADER[:4], False), ("d", "row_id % 6 = 0", HEADER, True))
+
+
+@query(f"WITH {FLOWS} {' UNION ALL '.join(columns_sql(*f) for f in FILES_OF)} UNION ALL SELECT 'junk.csv', 0, '_c0', false, false")
+def capture_schemas(spark, d):
+    """The columns of each capture file in order, and whether it has those that are needed."""
+    return sources.schemas(spark, capture_folders(spark, d))
+
+
 WHOLE = "flow_id, event_ts, byte_count, packet_count, duration_ms, protocol, label_type"
 
 

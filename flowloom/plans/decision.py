@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.arithmetic import digits
@@ -12,7 +12,7 @@ from flowloom.operators import entropy, experiments, wavelets, windows
 from flowloom.operators.scratch import folder
 from flowloom.operators.timeline import frame, own, with_halo
 from flowloom.plans import catalogue
-from flowloom.plans.catalogue import BINS, ORACLES, SEGMENTS, query, read, series_of, signals_of
+from flowloom.plans.catalogue import BINS, FLOWS, ORACLES, SEGMENTS, query, read, series_of, signals_of
 from flowloom.plans.experiments import CONFIG, TENSOR, config_hash, labels_of, parts
 
 CHANNELS, SPAN, LEVEL, SEEDS = ("len", "rate_pkts", "rate_flows"), 32, 3, (1, 2, 3)
@@ -54,6 +54,21 @@ def transform_choice(spark, d):
     return experiments.transform_decision(experiments.transform_runs(spark.read.parquet(at)))
 
 
+SETTINGS = ((300, 32), (300, 64), (600, 16), (600, 32), (1200, 16))
+
+
+@query(f"""WITH {FLOWS}, grid(delta, span) AS (VALUES {', '.join(map(str, SETTINGS))}), w AS (SELECT delta, span, t // (delta * span) AS window_id, count(*) FILTER (WHERE tail) AS n, count(*) FILTER (WHERE tail AND label_binary) AS bad, count(*) FILTER (WHERE NOT tail) AS head, count(*) FILTER (WHERE NOT tail AND label_binary) AS head_bad
+  FROM (SELECT *, t % (delta * span) >= delta * span - delta * (span // 8) AS tail FROM flows, grid) GROUP BY ALL), c AS (SELECT delta, span, bad >= 5 AND 2 * bad >= n AS y, head > 0 AND 2 * head_bad >= head AS hit FROM w),
+ m AS (SELECT delta, span, count(*) AS n_windows, count(*) FILTER (WHERE y AND hit) AS tp, count(*) FILTER (WHERE NOT y AND hit) AS fp, count(*) FILTER (WHERE y AND NOT hit) AS fn, count(*) FILTER (WHERE NOT y AND NOT hit) AS tn FROM c GROUP BY 1, 2),
+ f AS (SELECT *, (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0)::DOUBLE, 0)) / 2 AS macro_f1 FROM m)
+ SELECT delta, span, n_windows, round(macro_f1, 9) AS macro_f1, delta * span AS wait_s, row_number() OVER (ORDER BY round(macro_f1, 9) DESC, delta * span, delta) AS place FROM f""")
+def settings_by_macro_f1(spark, d):
+    """Settings of bin width and span by macro-F1, ties by the time until a window is whole."""
+    m = experiments.grid_scores(read(spark, d), SETTINGS).select("delta", "span", "n_windows", digits(F.col("macro_f1")).alias("macro_f1"), (F.col("delta") * F.col("span")).alias("wait_s"))
+    order = Window.orderBy(F.desc("macro_f1"), "wait_s", "delta")  # a row for each setting
+    return m.withColumn("place", F.row_number().over(order))
+
+
 # --- tensors ---
 CLASSES = f"{BINS}, cls AS (SELECT bin // 256 AS window_id, sum(n_attack) * 2 > sum(n_flows) AS attack FROM dense GROUP BY 1)"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,24 @@ def header_of(spark: SparkSession, file: str) -> list[str] | None:
         return None
 
 
+def headers(spark: SparkSession, paths: list[str], at_once: int = 16) -> dict[str, list[str] | None]:
+    """The column names of all CSV files in folders; Spark reads the first line of up to ``at_once`` files at a time."""
+    files = files_in(spark, paths)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(files, pool.map(lambda f: header_of(spark, f), files), strict=True))
+
+
+def schemas(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_file, place, name, required, usable): each file's columns in order, whether they are needed, and whether the file
+    has all that are. Files that can't be read have no rows.
+    """
+    rows = []
+    for file, names in headers(spark, paths).items():
+        trimmed = [c.strip() for c in names or []]
+        rows += [(file.rsplit("/", 1)[-1], k, c, c in REQUIRED, not set(REQUIRED) - set(trimmed)) for k, c in enumerate(trimmed)]
+    return spark.createDataFrame(rows, "source_file string, place int, name string, required boolean, usable boolean")
+
+
 def scan_all(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The rows of all capture files in folders: the required columns with their types, and where they come from.
 
@@ -65,8 +84,7 @@ def scan_all(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     parse are null. source_file is the file's name; source_block and row_id order its rows. None without any such file.
     """
     alike: dict[tuple[str, ...], list[str]] = {}
-    for file in files_in(spark, paths):  # one header for each file
-        names = header_of(spark, file)
+    for file, names in headers(spark, paths).items():
         if names and not set(REQUIRED) - {c.strip() for c in names}:
             alike.setdefault(tuple(names), []).append(file)
     out = None
