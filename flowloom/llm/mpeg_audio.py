@@ -126,43 +126,104 @@ class Index:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    table_at: int = 0
+    stretches: list[int] = field(default_factory=list)
+    stretch: int = 0
 
 
 def synchsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
 
-def read_tags(data: bytes, out: Index) -> tuple[int, int]:
-    """Where the audio begins and ends; text frames of ID3v2.3 and 2.4 and the fields of ID3v1 go to out.tags."""
-    start, end = 0, len(data)
-    if data[:3] == b"ID3" and len(data) >= 10 and not any(b & 0x80 for b in data[6:10]):
-        size, major, at = synchsafe(data[6:10]), data[3], 10
-        start = min(end, 10 + size + (10 if data[5] & 0x10 else 0))
-        while major in (3, 4) and at + 10 <= start and data[at : at + 1].isalnum():
-            n = synchsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            body = data[at + 10 : min(at + 10 + n, start)]
-            name = data[at : at + 4].decode("latin-1")
-            if name[0] == "T" and body:
-                text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace").rstrip("\0")
-                if name == "TXXX":
-                    name, _, text = text.partition("\0")
-                out.tags.setdefault(name, text)
-            at += 10 + n
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
+# Names of ID3v2.2 text frames and of APE items, and the ID3v2.3/2.4 frames that mean the same.
+SHORT_NAMES = {"TT1": "TIT1", "TT2": "TIT2", "TT3": "TIT3", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCO": "TCON", "TRK": "TRCK", "TYE": "TYER", "TXX": "TXXX"}
+APE_NAMES = {"Title": "TIT2", "Artist": "TPE1", "Album": "TALB", "Genre": "TCON", "Track": "TRCK", "Year": "TYER"}
+
+
+def keep_text(name: str, body: bytes, out: Index) -> None:
+    """A text frame's content: its encoding, then the text; TXXX has a name of its own first. The first of a name stays."""
+    text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace").rstrip("\0")
+    if name == "TXXX":
+        name, _, text = text.partition("\0")
+    out.tags.setdefault(name, text.removeprefix("\ufeff"))
+
+
+def id3v2(data: bytes, at: int, out: Index) -> int:
+    """Where the ID3v2 tag at ``at`` ends; ``at`` if none is there. Text frames of versions 2.2 to 2.4 go to out.tags.
+
+    Unsynchronised tags and frames are restored, extended headers passed over; compressed and encrypted frames are left
+    out. A tag that claims to go beyond the file is read as far as its frames fit, and ends after its header, so that
+    the search for audio goes on there.
+    """
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(b & 0x80 for b in data[at + 6 : at + 10]):
+        return at
+    major, flags, size = data[at + 3], data[at + 5], synchsafe(data[at + 6 : at + 10])
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    here = 0
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        here = synchsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if major == 2 else 10
+    while 2 <= major <= 4 and here + head <= len(body) and body[here : here + (3 if major == 2 else 4)].isalnum():
+        if major == 2:
+            name, n, form = body[here : here + 3].decode("latin-1"), int.from_bytes(body[here + 3 : here + 6], "big"), 0
+        else:
+            four = body[here + 4 : here + 8]
+            name, n, form = body[here : here + 4].decode("latin-1"), synchsafe(four) if major == 4 else int.from_bytes(four, "big"), body[here + 9]
+        content = body[here + head : here + head + n]
+        here += head + n
+        if here > len(body):
+            break
+        secret, grouped, length = (0x0C, 0x40, form & 1) if major == 4 else (0xC0, 0x20, 0)
+        content = content[(1 if form & grouped else 0) + 4 * length :]
+        if major == 4 and (form & 2 or flags & 0x80):
+            content = content.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and content and not form & secret:
+            keep_text(SHORT_NAMES.get(name, name), content, out)
+    after = at + 10 + size + (10 if major == 4 and flags & 0x10 else 0)
+    return after if after <= len(data) else at + 10
+
+
+def ape(data: bytes, at: int, out: Index) -> int:
+    """Where the APE tag whose header is at ``at`` ends; ``at`` if none is there or it goes beyond the file. Its text items go to out.tags."""
+    if data[at : at + 8] != b"APETAGEX" or len(data) < at + 32:
+        return at
+    after = at + 32 + int.from_bytes(data[at + 12 : at + 16], "little")
+    if after > len(data):
+        return at
+    here = at + 32
+    for _ in range(int.from_bytes(data[at + 16 : at + 20], "little")):
+        stop = data.find(b"\0", here + 8, after)
+        size, kind = int.from_bytes(data[here : here + 4], "little"), data[here + 4 : here + 5]
+        if stop < 0 or stop + 1 + size > after:
+            break
+        name, here = data[here + 8 : stop].decode("latin-1"), stop + 1 + size
+        if not kind[0] & 6:
+            out.tags.setdefault(APE_NAMES.get(name, name), data[stop + 1 : here].decode("utf-8", "replace"))
+    return after
+
+
+def id3v1(data: bytes, out: Index) -> int:
+    """Where the audio ends: before an ID3v1 tag, whose fields go to out.tags, or at the file's end."""
+    end = len(data)
+    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             if text := data[end + a : end + b].decode("latin-1").rstrip("\0 "):
                 out.tags.setdefault(name, text)
-    return start, end
+    return end
 
 
 def index(data: bytes) -> Index:
     """Frames of a medium. A frame counts if another of its kind, or the audio's end, follows it.
 
-    After bytes that are no frame, the search goes on at the next sync byte; those bytes are counted in ``skipped``.
+    After bytes that are no frame, the search goes on at the next sync byte; those bytes are counted in ``skipped``. ID3v2
+    and APE tags are read where no frame is: at the start, after frames, after other tags. Of one name the first text
+    stays, ID3v1's last.
     """
-    out = Index()
-    at, end = read_tags(data, out)
+    out, last = Index(), Index()
+    at, end = 0, id3v1(data, last)
     begun = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -174,6 +235,10 @@ def index(data: bytes) -> Index:
         else:
             h = None
         if h is None:
+            nxt = max(id3v2(data, at, out), ape(data, at, out))
+            if nxt > at:
+                at = nxt
+                continue
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
@@ -182,7 +247,7 @@ def index(data: bytes) -> Index:
         if not begun:
             begun, out.first = True, h
             if read_table(data[at:after], h, out):
-                at = after
+                out.table_at, at = at, after
                 continue
         if not h.protected:
             pass
@@ -202,9 +267,30 @@ def index(data: bytes) -> Index:
         out.bitrates.add(h.bitrate)
         at = after
     out.skipped += max(0, end - at)
+    out.tags = last.tags | out.tags
     return out
 
 
+def seek_table(x: Index) -> tuple[list[int], int] | None:
+    """The places that a medium's own seek table gives, in the file, and the most bytes that one is off the frame it stands for.
+
+    Entry k of a Xing table is where k % of the frames have passed, in 256ths of the table's bytes; one of a VBRI table is
+    the bytes of a stretch of frames. Both count from the table's own frame; no place is before the first frame.
+    """
+    if not x.offsets:
+        return None
+    if len(x.toc) == 100 and x.table_bytes:
+        places = [x.table_at + v * x.table_bytes // 256 for v in x.toc]
+        frames = [k * len(x.offsets) // 100 for k in range(100)]
+    elif x.stretches and x.stretch:
+        places = [x.table_at + sum(x.stretches[:k]) for k in range(len(x.stretches))]
+        frames = [min(k * x.stretch, len(x.offsets) - 1) for k in range(len(x.stretches))]
+    else:
+        return None
+    places = [max(p, x.offsets[0]) for p in places]
+    return places, max(abs(p - x.offsets[f]) for p, f in zip(places, frames, strict=True))
+
+
 def read_table(frame: bytes, h: Header, out: Index) -> bool:
     """Whether a first frame is a Xing, Info or VBRI table, which carries no sound; its fields go to out."""
     for lead in (4, 6):
@@ -220,17 +306,21 @@ def read_table(frame: bytes, h: Header, out: Index) -> bool:
             return True
     if frame[36:40] == b"VBRI":
         out.table, out.table_bytes, out.table_frames = "VBRI", int.from_bytes(frame[46:50], "big"), int.from_bytes(frame[50:54], "big")
+        n, scale, width, out.stretch = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58, 60))
+        if 62 + n * width <= len(frame):
+            out.stretches = [scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") for k in range(n)]
         return True
     return False
 
 
-INDEX = "version string, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_s double, variable boolean, crc_ok long, crc_bad long, skipped_bytes long, vbr_table string, vbr_frames long, seek_offsets array<long>, tags map<string,string>"
+INDEX = "version string, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_s double, variable boolean, crc_ok long, crc_bad long, skipped_bytes long, vbr_table string, vbr_frames long, seek_offsets array<long>, tags map<string,string>, seek_table array<long>, seek_table_off long"
 
 
 def index_columns(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
     """One row per medium: the id and INDEX. The exact duration is n_samples / sample_rate.
 
-    A null, empty or broken medium has no frames: counts 0, version, layer and rates null. Other columns are left out.
+    A null, empty or broken medium has no frames: counts 0, version, layer and rates null. seek_table and seek_table_off
+    (null without a table) are ``seek_table``'s places and their largest error. Other columns are left out.
     """
 
     def run(batches):
@@ -238,9 +328,9 @@ def index_columns(media: DataFrame, media_col: str = "media", id_col: str = "doc
             rows = []
             for data in batch.column(1).to_pylist():
                 x = index(data or b"")
-                h = x.first
-                rows.append({"version": VERSIONS[h.version] if h else None, "layer": h.layer if h else None, "sample_rate": h.rate if h else None, "channels": h.channels if h else None, "n_frames": len(x.offsets), "n_samples": x.samples, "duration_s": x.samples / h.rate if h else 0.0, "variable": len(x.bitrates) > 1, "crc_ok": x.crc_ok, "crc_bad": x.crc_bad, "skipped_bytes": x.skipped, "vbr_table": x.table or None, "vbr_frames": x.table_frames, "seek_offsets": x.offsets, "tags": list(x.tags.items())})
-            types = {"version": pa.string(), "layer": pa.int32(), "sample_rate": pa.int32(), "channels": pa.int32(), "duration_s": pa.float64(), "variable": pa.bool_(), "vbr_table": pa.string(), "seek_offsets": pa.list_(pa.int64()), "tags": pa.map_(pa.string(), pa.string())}
+                h, (places, off) = x.first, seek_table(x) or (None, None)
+                rows.append({"seek_table": places, "seek_table_off": off, "version": VERSIONS[h.version] if h else None, "layer": h.layer if h else None, "sample_rate": h.rate if h else None, "channels": h.channels if h else None, "n_frames": len(x.offsets), "n_samples": x.samples, "duration_s": x.samples / h.rate if h else 0.0, "variable": len(x.bitrates) > 1, "crc_ok": x.crc_ok, "crc_bad": x.crc_bad, "skipped_bytes": x.skipped, "vbr_table": x.table or None, "vbr_frames": x.table_frames, "seek_offsets": x.offsets, "tags": list(x.tags.items())})
+            types = {"version": pa.string(), "layer": pa.int32(), "sample_rate": pa.int32(), "channels": pa.int32(), "duration_s": pa.float64(), "variable": pa.bool_(), "vbr_table": pa.string(), "seek_offsets": pa.list_(pa.int64()), "tags": pa.map_(pa.string(), pa.string()), "seek_table": pa.list_(pa.int64())}
             names = [f.split(" ")[0] for f in INDEX.replace("map<string,string>", "map").split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], types.get(c, pa.int64())) for c in names)], names=["id", *names])
 

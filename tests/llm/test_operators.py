@@ -218,6 +218,69 @@ def test_media_of_other_layers_and_tags(spark):
     assert len(foreign) == len(media) and all(r.payload_bytes == 0 for r in foreign) and all(r.feature == "" and r.seek_offsets == [] for r in foreign if r.doc_id > 5)
 
 
+def id3(major, flags, frames, size=None):
+    n = len(frames) if size is None else size
+    return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + frames
+
+
+def frame(name, body, flags=b"\0\0"):
+    return name + len(body).to_bytes(4, "big") + flags + body
+
+
+def test_tags_of_all_versions_and_seek_tables(spark):
+    audio = frames_of(3, 3, 0, 0, "0" * 256)
+    size = len(audio) // 3
+    old = b"TT2\0\0\6\0title" + b"TP1\0\0\4\0him"
+    extended = (6).to_bytes(4, "big") + bytes(6) + frame(b"TIT2", b"\0title")
+    new_extended = b"\0\0\0\6\1\0" + frame(b"TIT2", b"\3title")
+    unsync = frame(b"TIT2", b"\1\xff\xfet\0").replace(b"\xff", b"\xff\0")
+    unsync = unsync[:4] + (5).to_bytes(4, "big") + unsync[8:]
+    new_unsync = frame(b"TIT2", b"\1\xff\0\xfet\0", b"\0\2")
+    hidden = frame(b"TIT2", b"\0secret", b"\0\x80") + frame(b"TPE1", b"g\0him", b"\0\x20")
+    user = frame(b"TXXX", b"\1" + "key\0".encode("utf-16") + "value".encode("utf-16"))
+    items = b"".join(len(v).to_bytes(4, "little") + bytes(4) + k + b"\0" + v for k, v in ((b"Title", b"song"), (b"mood", "é".encode())))
+    ape = b"APETAGEX" + b"".join(n.to_bytes(4, "little") for n in (2000, len(items) + 32, 2, 0xA0000000)) + bytes(8) + items + b"APETAGEX" + bytes(24)
+    xing = bytearray(frames_of(3, 3, 0, 0, "0" * 256)[:size])
+    xing[38:50] = b"Xing" + (7).to_bytes(4, "big") + (3).to_bytes(4, "big")
+    xing[50:54], xing[54:154] = (4 * size).to_bytes(4, "big"), bytes(64 * (1 + 3 * k // 100) for k in range(100))
+    vbri = bytearray(frames_of(3, 3, 0, 0, "0" * 256)[:size])
+    vbri[36:62] = b"VBRI" + bytes(6) + (4 * size).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"\0\3\0\1\0\2\0\1"
+    vbri[62:68] = (2 * size).to_bytes(2, "big") + size.to_bytes(2, "big") * 2
+    cases = [
+        (id3(2, 0, old), {"TIT2": "title", "TPE1": "him"}),
+        (id3(3, 0x40, extended), {"TIT2": "title"}),
+        (id3(4, 0x40, new_extended), {"TIT2": "title"}),
+        (id3(3, 0x80, unsync), {"TIT2": "t"}),
+        (id3(4, 0, new_unsync), {"TIT2": "t"}),
+        (id3(3, 0, hidden), {"TPE1": "him"}),
+        (id3(3, 0, user), {"key": "value"}),
+        (id3(3, 0, frame(b"TIT2", b"\0title"), 100_000), {"TIT2": "title"}),
+        (id3(3, 0, frame(b"TIT2", b"\0one")) + id3(3, 0, frame(b"TIT2", b"\0two")), {"TIT2": "one"}),
+        (b"", {"TIT2": "song", "mood": "é"}),
+        (bytes(xing), {}),
+        (bytes(vbri), {}),
+        (id3(3, 0x40, b"\xff"), {}),
+        (b"APETAGEX\0", {}),
+    ]
+    media = [lead + audio + (ape if i == 9 else b"") for i, (lead, _) in enumerate(cases)]
+    rows = {r.doc_id: r for r in mpeg_audio.index_columns(spark.createDataFrame([(i, m) for i, m in enumerate(media)], "doc_id long, media binary")).collect()}
+    for i, (lead, tags) in enumerate(cases):
+        assert (rows[i].tags, rows[i].n_frames, rows[i].seek_offsets) == (tags, 3, [len(lead) + k * size for k in range(3)]), i
+        assert rows[i].skipped_bytes == (len(lead) - 10 if i == 7 else len(lead) if i == 13 else 0), i
+    assert rows[10].vbr_table == "Xing" and len(rows[10].seek_table) == 100 and rows[10].seek_table_off < size
+    assert rows[11].seek_table == [size, 2 * size, 3 * size] and rows[11].seek_table_off == 0
+    assert rows[0].seek_table is None and rows[0].seek_table_off is None
+
+
+def test_media_payload_with_tags_in_it(spark):
+    """Tags in a payload are part of it: they lie within frames, where no tag is looked for."""
+    texts = ["ID3" + "\4\0\0\0\0\1\0" * 50, "x" * (mpeg_audio.LARGEST - mpeg_audio.LEAD - 32) + "APETAGEX" + "\0" * 24, "APETAGEX" * 200]
+    df = spark.createDataFrame([(None, texts[0]), *enumerate(texts)], "doc_id long, text string")
+    for r in mpeg_audio.digests(mpeg_audio.store_texts(df)).collect():
+        raw = texts[r.doc_id or 0].encode()
+        assert r.payload_sha256 == hashlib.sha256(raw.ljust(max(192, -(-len(raw) // 192) * 192))).hexdigest()
+
+
 def test_media_payload_that_looks_like_a_tag(spark, empty):
     """TAG may stand anywhere in a payload; all lengths around 128 bytes before the end come back."""
     texts = [" " * k + "TAG" + "x" * (192 * 2 - 3 - k) for k in range(200, 300)]
