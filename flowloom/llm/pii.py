@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import crc_fold, whole_texts
+from flowloom.llm.common import crc_fold, drop, whole_texts, written
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 
@@ -233,8 +233,9 @@ def fit(docs: DataFrame, precision: float = 0.95, folds: int = 5) -> PiiModel:
     """Trains on all candidates of all texts, by two views that label each other.
 
     Trees over format features learn what the context says, and trees over context features what the format says, so no
-    tree sees what its label was made of; a candidate's logit is the sum of both. Only counts of feature values reach the
-    driver, a bounded number of rows however many candidates there are. Trees are trained outside one fold of doc_id; on
+    tree sees what its label was made of; a candidate's logit is the sum of both. Candidates are counted by their features
+    in a written table; of it each view's own counts reach the driver, at most 4 * 27,648 and 4 * 24 rows however many
+    candidates there are, and a threshold for each kind. Trees are trained outside one fold of doc_id; on
     that fold each kind's threshold is the lowest score from which on, among candidates of which both views tell and agree,
     the share of true ones (smoothed by one false one) reaches ``precision``. A kind without such a score selects nothing.
     Null and empty texts have no candidates; without any, nothing is selected.
@@ -242,31 +243,25 @@ def fit(docs: DataFrame, precision: float = 0.95, folds: int = 5) -> PiiModel:
     found = whole_texts(docs).select((crc_fold("doc_id", folds) == 0).alias("held"), F.explode(candidates(F.col("text"))).alias("s"))
     names = tuple(dict.fromkeys(FORMAT + CONTEXT))
     marked = found.select(F.coalesce("held", F.lit(False)).alias("held"), format_says(F.col("s")).alias("own"), context_says(F.col("s")).alias("around"), *[c.alias(k) for k, c in features(F.col("s")).items()]).where("own IS NOT NULL OR around IS NOT NULL")
-    table = [r.asDict() for r in marked.groupBy("held", "own", "around", *names).agg(F.count("*").alias("count")).collect()]
-    table.sort(key=lambda r: tuple(-1 if r[f] is None else r[f] for f in (*names, "own", "around")))
+    table = written(marked.groupBy("held", "own", "around", *names).agg(F.count("*").alias("count")), "pii-counts")
     base, trees = 0.0, ()
     for view, label in ((FORMAT, "around"), (CONTEXT, "own")):
-        sums: dict[tuple, list[int]] = {}
-        for r in table:
-            if not r["held"] and r[label] is not None:
-                s = sums.setdefault(tuple(r[f] for f in view), [0, 0])
-                s[0] += r["count"]
-                s[1] += r["count"] * r[label]
-        if sums:
-            own_base, own_trees = boost([dict(zip(view, k, strict=True)) | {"n": n, "y": y} for k, (n, y) in sums.items()], view)
+        sums = table.where(~F.col("held") & F.col(label).isNotNull()).groupBy(*view).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col(label)).alias("y"))
+        rows = sorted((r.asDict() for r in sums.collect()), key=lambda r: tuple(r[f] for f in view))
+        if rows:
+            own_base, own_trees = boost(rows, view)
             base, trees = base + own_base, trees + own_trees
     model = PiiModel(base, trees, {})
-    agreed = [r for r in table if r["own"] is not None and r["own"] == r["around"]]
-    thresholds = {}
-    for k, kind in enumerate(GENERATORS):
-        true = total = 0
-        mine = [r for r in agreed if r["kind"] == k]
-        own = sorted(((model.value(r), r["count"], r["count"] * r["own"]) for r in [r for r in mine if r["held"]] or mine), reverse=True)
-        for at, (v, n, y) in enumerate(own):
-            true, total = true + y, total + n
-            if (at + 1 == len(own) or own[at + 1][0] < v) and true / (total + 1) >= precision:
-                thresholds[kind] = v - 1e-9
-    return PiiModel(base, trees, thresholds)
+    kind = Window.partitionBy("kind")
+    agreed = table.where("own = around").withColumn("score", model.logit({f: F.col(f) for f in names}))
+    # a kind without candidates in the held fold is judged on the others
+    scores = agreed.withColumn("judged", F.max("held").over(kind)).where("held = judged").groupBy("kind", "score").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("own")).alias("y"))
+    down = kind.orderBy(F.desc("score"))
+    passed = scores.withColumn("share", F.sum("y").over(down) / (F.sum("n").over(down) + 1)).where(F.col("share") >= precision)
+    kinds = list(GENERATORS)
+    thresholds = {kinds[k]: least - 1e-9 for k, least in passed.groupBy("kind").agg(F.min("score")).collect()}
+    drop(table)
+    return PiiModel(base, trees, dict(sorted(thresholds.items())))
 
 
 def selected(text: Column, model: PiiModel) -> Column:
