@@ -372,6 +372,16 @@ def statistics(spark: SparkSession, name: str, shards: int, counts: bool) -> lis
     return [tuple(r) for r in map_batches(spark.range(shards), read, "id long, size long, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()]
 
 
+def complete(rows: list[tuple], starts: tuple[int, ...], found: int, due: int) -> None:
+    """Fails unless each shard has a count for each of its entries and the counts add up; so no lost file passes for an empty one.
+
+    Each token ends one gram of the longest length; of the shorter ones each is counted by the different grams that end in it.
+    """
+    wrong = [k for k, size, *_ in rows if size != starts[k + 1] - starts[k]]
+    if wrong or found != due:
+        raise RuntimeError(f"the model's files are not whole: counts of {found} for {due}, shards {wrong[:10]}")
+
+
 def discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array((0.0, *d))[np.minimum(counts, 3)]
 
@@ -458,6 +468,7 @@ def fit(docs: DataFrame, order: int = 3) -> KneserNey:
     for length in range(1, order + 1):
         rows = statistics(spark, f"{top}/counts{length}", shards + (length > 1), True)
         of.append(tuple(sum(r[k] for r in rows) for k in range(2, 8)))
+        complete(rows, (vocabulary, *grams)[length - 1].starts, of[-1][-1], vocabulary.total if length == order else grams[length - 1].starts[-1])
     found = tuple(discounts(*x[:4]) for x in of)
     n1, n2, _, _, more, total = of[0]
     return KneserNey(vocabulary, grams, found, total, (found[0][0] * n1 + found[0][1] * n2 + found[0][2] * more) / total)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -459,6 +460,10 @@ def test_language_model_of_any_order(spark, monkeypatch):
         rows = {r.doc_id: r.score for r in kneser_ney.score(df, model).collect()}
         for i, want in enumerate(plain_of_order(order, known, texts)):
             assert abs(rows[i] - want) < 1e-9 * max(1, abs(want)), (order, i)
+    with pytest.raises(RuntimeError, match="not whole"):  # a model's lost files aren't empty ones
+        longest = model.grams[-1]
+        lost = kneser_ney.statistics(spark, f"{longest.top}/lost", len(longest.starts) - 1, True)
+        kneser_ney.complete(lost, longest.starts, 0, model.vocabulary.total)
     none = kneser_ney.fit(df.where("doc_id < 0"), 3)
     assert {r.score for r in kneser_ney.score(df.where("doc_id = 3"), none).collect()} == {0.0}
     assert kneser_ney.score(df.where("doc_id < 0"), none).count() == 0
