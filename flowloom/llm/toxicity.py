@@ -1,9 +1,9 @@
 """Toxicity by compression distance: windows of text compressed with a dictionary of toxic and with one of ordinary text.
 
-The ordinary dictionary is whole windows of ordinary training texts. The toxic one is trained by zstandard on those windows
-of toxic training texts that compress better with the dictionary trained on the other half's. A text's window gains what it
-is shorter with the toxic dictionary before the ordinary one than with the ordinary one alone; a calibrated logistic
-threshold on a text's gains decides.
+zstandard trains both dictionaries apart: the ordinary one on windows of ordinary training texts, the toxic one on those
+windows of toxic training texts that compress better with the dictionary trained on the other half's. A text's window gains
+what it is shorter with the toxic dictionary before the ordinary one than with the ordinary one alone (most of a toxic text
+is ordinary too); a calibrated logistic threshold on a text's gains decides.
 """
 
 from __future__ import annotations
@@ -83,19 +83,18 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, size: int = 1 << 14, ordinary_bytes: int = 1 << 20, rounds: int = 3, share: float = 0.1, checked: int = 120_000) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries.
+def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, size: int = 1 << 14, ordinary_size: int = 1 << 21, rounds: int = 3, share: float = 0.1, checked: int = 120_000, again: int = 3) -> tuple[bytes, bytes]:
+    """Contents of both dictionaries, each trained by zstandard on windows of its own texts.
 
-    The ordinary one is windows of ordinary texts in random order, up to ``ordinary_bytes`` and half of all. The toxic one
-    is trained on the ``share`` of the toxic texts' windows with the greatest gains, where each half of the texts is
-    measured with the dictionary of the other; this is repeated. Of ``checked`` other ordinary windows, those that gain all
-    the same go before the ordinary dictionary.
+    The ordinary one is trained on half of the ordinary texts' different windows, taken in random order. The toxic one is
+    trained on the ``share`` of the toxic texts' windows with the greatest gains, where each half of the texts is measured
+    with the dictionary of the other; this is repeated. Of ``checked`` other ordinary windows, those that gain all the same
+    come ``again`` times to the ordinary one's, which is then trained anew.
     """
     plain = sorted({w for t in ordinary for w in windows(t, window)})
     random.Random(1).shuffle(plain)
-    ends = np.cumsum([len(w) for w in plain]) if plain else np.zeros(0)
-    cut = min(len(plain) - len(plain) // 2, int(np.searchsorted(ends, ordinary_bytes)) + 1)
-    usual, others = b"".join(plain[:cut]), plain[cut : cut + checked]
+    cut = len(plain) - len(plain) // 2
+    usual, others = trained(plain[:cut], ordinary_size), plain[cut : cut + checked]
     halves = [[w for t in toxic[h::2] for w in dict.fromkeys(windows(t, window))] for h in (0, 1)]
     chosen = halves
     for _ in range(rounds):
@@ -110,7 +109,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, s
         chosen = better
     marked = trained(chosen[0] + chosen[1], size)
     gain = Scorer(ToxicityModel(marked, usual, window, 0, ())).gains(others)
-    return marked, b"".join([w for w, x in zip(others, gain, strict=True) if x >= 2]) + usual
+    return marked, trained(plain[:cut] + [w for w, x in zip(others, gain, strict=True) if x >= 2] * again, ordinary_size)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
