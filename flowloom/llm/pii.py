@@ -119,10 +119,12 @@ def candidates(text: Column) -> Column:
     return F.concat(*[F.when(gates[k], spans(text, p, k)).otherwise(none) for k, p in GENERATORS.items()])
 
 
-#: Features in two views. All are small whole numbers, so that their combinations are at most 4 * 27,648 and 4 * 24.
+#: Features in two views. All are small whole numbers, so that their combinations are at most 27,648 and 256.
 FORMAT = ("kind", "length", "n_digits", "letters", "hex", "separators", "plus", "checksum")
-CONTEXT = ("kind", "keyword", "assigned", "after_space", "start_of_word")
-KEYWORD = r"(?:passw|token|secret|key|auth|tel|phone|fone|call|card|mail|konto|iban)[a-z]{0,6}[^a-z0-9]{0,4}$"
+CONTEXT = ("kind", "keyword", "denied", "assigned", "after_space", "start_of_word")
+#: Words, in several languages, that announce personal data or a secret, and words that announce other things.
+KEYWORD = r"(?:passw|token|secret|key|auth|tel|phone|fone|call|card|mail|konto|iban|account|ssn|contact)[a-z]{0,6}[^a-z0-9]{0,4}$"
+DENIED = r"(?:^|[^a-z])(?:order|invoice|version|build|isbn|issn|sku|commit|sha|md5|hash|page|line|lot|part|item|ticket|release|tracking|serial)[a-z0-9]{0,6}[^a-z0-9]{0,4}$"
 
 
 def features(s: Column) -> dict[str, Column]:
@@ -140,6 +142,7 @@ def features(s: Column) -> dict[str, Column]:
         "plus": flag(value.startswith("+")),
         "checksum": F.when(d.between(12, 19), flag(luhn(value))).otherwise(-1),
         "keyword": flag(before.rlike(KEYWORD)),
+        "denied": flag(before.rlike(DENIED)) + 2 * flag(before.rlike("[a-z0-9/_.-]$")),
         "assigned": flag(before.rlike(r"[=:] ?[\"']?$")),
         "after_space": flag(s["after"].rlike(r"^(?:[\s,;.\"']|$)")),
         "start_of_word": flag((before == "") | before.rlike(r"[\s\"'(=:]$")),
@@ -147,22 +150,31 @@ def features(s: Column) -> dict[str, Column]:
 
 
 def format_says(s: Column) -> Column:
-    """Whether a candidate's own characters make it personal data or a secret: 1, 0, or null where they can't tell."""
+    """Whether a candidate's own characters make it personal data or a secret: 2 for sure, 1, 0, or null where they can't tell."""
     value = s["value"]
     d = F.length(digits(value))
     mixed = (d >= 4) & value.rlike("[A-Za-z]") & (F.length(value) >= 16) & ~value.rlike("[/_-]")
     return (
-        F.when(s["kind"] == "secret", F.when(value.rlike("^AKIA[0-9A-Z]{16}$") | mixed, 1).when(~value.rlike("[0-9]") | value.rlike("^[a-z/_-]++$"), 0))
-        .when(s["kind"] == "phone_like", F.when(value.rlike(r"^\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}$"), 1).when(~value.rlike(r"[ .\-()+]"), 0))
-        .when(s["kind"] == "number_like", F.when(d.between(14, 19) & luhn(value), 1).when(d < 12, 0))
-        .otherwise(F.when(value.rlike(r"(?i)\b(?:com|org|net|edu|de|fr|es)$"), 1).otherwise(0))
+        F.when(s["kind"] == "secret", F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 2).when(mixed, 1).otherwise(0))
+        .when(s["kind"] == "phone_like", F.when(value.rlike(r"^\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}$"), 2).when(value.rlike(r"^\([0-9]{3}\)"), 1).when(~value.rlike(r"[ .\-()+]"), 0))
+        .when(s["kind"] == "number_like", F.when(d.between(14, 19), luhn(value).cast("int")))
+        .otherwise(F.when(value.rlike(r"(?i)\b(?:com|org|net|edu|de|fr|es)[\])]?$"), 1))
     )
 
 
 def context_says(s: Column) -> Column:
-    """Whether what stands around a candidate announces personal data or a secret: 1, 0, or null where it can't tell."""
+    """Whether what stands around a candidate announces personal data or a secret: 1, 0, or null where it can't tell.
+
+    Words of other things, and letters, digits or joining signs right before, speak against it; prose tells nothing.
+    """
     before = F.lower(s["before"])
-    return F.when(before.rlike(KEYWORD), 1).when(before.rlike(r"[a-z]{2}[,.]? $") | before.rlike("[a-z0-9/_.-]$"), 0)
+    return F.when(before.rlike(DENIED) | before.rlike("[a-z0-9/_.-]$"), 0).when(before.rlike(KEYWORD), 1)
+
+
+def label_of(s: Column) -> Column:
+    """1 or 0 for a candidate: a format that is sure, else the context, else the format, else 0 as nothing speaks for it."""
+    own = format_says(s)
+    return F.when(own == 2, 1).otherwise(F.coalesce(context_says(s), own, F.lit(0)))
 
 
 @dataclass(frozen=True)
@@ -230,32 +242,32 @@ def boost(table: list[dict], names: tuple[str, ...], rounds: int = 24, rate: flo
 
 
 def fit(docs: DataFrame, precision: float = 0.95, folds: int = 5) -> PiiModel:
-    """Trains on all candidates of all texts, by two views that label each other.
-
-    Trees over format features learn what the context says, and trees over context features what the format says, so no
-    tree sees what its label was made of; a candidate's logit is the sum of both. Candidates are counted by their features
-    in a written table; of it each view's own counts reach the driver, at most 4 * 27,648 and 4 * 24 rows however many
-    candidates there are, and a threshold for each kind. Trees are trained outside one fold of doc_id; on
-    that fold each kind's threshold is the lowest score from which on, among candidates of which both views tell and agree,
-    the share of true ones (smoothed by one false one) reaches ``precision``. A kind without such a score selects nothing.
+    """Trains on all candidates of all texts, whose labels come from their formats and contexts (``label_of``).
+
+    The tables mark no spans, so a checksum, a complete form or a word before a candidate labels it, and the trees learn what
+    such candidates have in common. Trees over format features and trees over context features are trained apart; a
+    candidate's logit is the sum of both. Candidates are counted by their features in a written table; of it each view's own
+    counts reach the driver, at most 27,648 and 256 rows however many candidates there are, and a threshold for each kind.
+    Trees are trained outside one fold of doc_id; on that fold each kind's threshold is the lowest score from which on the
+    share of true ones (smoothed by one false one) reaches ``precision``. A kind without such a score selects nothing.
     Null and empty texts have no candidates; without any, nothing is selected.
     """
     found = whole_texts(docs).select((crc_fold("doc_id", folds) == 0).alias("held"), F.explode(candidates(F.col("text"))).alias("s"))
     names = tuple(dict.fromkeys(FORMAT + CONTEXT))
-    marked = found.select(F.coalesce("held", F.lit(False)).alias("held"), format_says(F.col("s")).alias("own"), context_says(F.col("s")).alias("around"), *[c.alias(k) for k, c in features(F.col("s")).items()]).where("own IS NOT NULL OR around IS NOT NULL")
-    table = written(marked.groupBy("held", "own", "around", *names).agg(F.count("*").alias("count")), "pii-counts")
+    marked = found.select(F.coalesce("held", F.lit(False)).alias("held"), label_of(F.col("s")).alias("label"), *[c.alias(k) for k, c in features(F.col("s")).items()])
+    table = written(marked.groupBy("held", *names).agg(F.count("*").alias("n"), F.sum("label").alias("y")), "pii-counts")
     base, trees = 0.0, ()
-    for view, label in ((FORMAT, "around"), (CONTEXT, "own")):
-        sums = table.where(~F.col("held") & F.col(label).isNotNull()).groupBy(*view).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col(label)).alias("y"))
+    for view in (FORMAT, CONTEXT):
+        sums = table.where(~F.col("held")).groupBy(*view).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
         rows = sorted((r.asDict() for r in sums.collect()), key=lambda r: tuple(r[f] for f in view))
         if rows:
             own_base, own_trees = boost(rows, view)
             base, trees = base + own_base, trees + own_trees
     model = PiiModel(base, trees, {})
     kind = Window.partitionBy("kind")
-    agreed = table.where("own = around").withColumn("score", model.logit({f: F.col(f) for f in names}))
+    scored = table.withColumn("score", model.logit({f: F.col(f) for f in names}))
     # a kind without candidates in the held fold is judged on the others
-    scores = agreed.withColumn("judged", F.max("held").over(kind)).where("held = judged").groupBy("kind", "score").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("own")).alias("y"))
+    scores = scored.withColumn("judged", F.max("held").over(kind)).where("held = judged").groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     down = kind.orderBy(F.desc("score"))
     passed = scores.withColumn("share", F.sum("y").over(down) / (F.sum("n").over(down) + 1)).where(F.col("share") >= precision)
     kinds = list(GENERATORS)
