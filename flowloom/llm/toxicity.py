@@ -83,17 +83,17 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, size: int = 1 << 14, ordinary_size: int = 1 << 21, rounds: int = 3, share: float = 0.1, checked: int = 120_000, again: int = 3) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str], window: int = 8, part: float = 0.5, size: int = 1 << 14, ordinary_size: int = 1 << 21, rounds: int = 3, share: float = 0.1, checked: int = 120_000, again: int = 3) -> tuple[bytes, bytes]:
     """Contents of both dictionaries, each trained by zstandard on windows of its own texts.
 
-    The ordinary one is trained on half of the ordinary texts' different windows, taken in random order. The toxic one is
+    The ordinary one is trained on a ``part`` of the ordinary texts' different windows, taken in random order. The toxic one is
     trained on the ``share`` of the toxic texts' windows with the greatest gains, where each half of the texts is measured
     with the dictionary of the other; this is repeated. Of ``checked`` other ordinary windows, those that gain all the same
     come ``again`` times to the ordinary one's, which is then trained anew.
     """
     plain = sorted({w for t in ordinary for w in windows(t, window)})
     random.Random(1).shuffle(plain)
-    cut = len(plain) - len(plain) // 2
+    cut = -int(-len(plain) * part // 1)
     usual, others = trained(plain[:cut], ordinary_size), plain[cut : cut + checked]
     halves = [[w for t in toxic[h::2] for w in dict.fromkeys(windows(t, window))] for h in (0, 1)]
     chosen = halves
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
         own = [(t, v) for _, t, v, h in rows if h == half]
         x += [scorer.features(t) for t, _ in own]
         y += [float(v) for _, v in own]
-    toxic, ordinary = train_dictionaries(texts[1], texts[0], window)
+    toxic, ordinary = train_dictionaries(texts[1], texts[0], window, 0.25)  # from as many ordinary windows as each half's, as gains depend on it
     return ToxicityModel(toxic, ordinary, window, least, tuple(logistic(np.array(x), np.array(y), np.array([stands_for[int(v)] for v in y])).tolist()))
 
 
