@@ -1,10 +1,11 @@
 """The service stream against SQL, and what a repeated trigger and a restart leave behind."""
 
 import pytest
+from test_catalogue import DATA
 from test_catalogue import test_same_rows as same_rows
 
-from flowloom.plans import catalogue, service  # noqa: F401
-from flowloom.streaming.service import Rules, Service
+from flowloom.plans import catalogue, service
+from flowloom.streaming.service import Rules, Service, answered_from_state
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n.startswith("serve_")])
@@ -46,3 +47,10 @@ def test_triggers(spark, tmp_path):
     answers = {(r.row_id, r.status, r.verdict) for r in spark.read.parquet(f"file://{tmp_path}/answers/trigger=2").collect()}
     assert answers == {(0, 200, "malicious"), (1, 200, "malicious")}
     assert [r.error for r in s.table("dead").collect()] == ["flow_id"]
+
+
+def test_requests_are_parsed_once(spark):
+    """A filter on valid doesn't go below the parsing, where each field that it looks at would parse the request again."""
+    state = spark.createDataFrame([("TCP", "benign", 1.0)], "stream_id string, verdict string, confidence double")
+    for df in (catalogue.QUERIES["contract_json_roundtrip"](spark, DATA), answered_from_state(batch(spark, ("a", 1, 50)), state)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
