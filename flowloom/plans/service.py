@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions import contract
 from flowloom.functions.arithmetic import digits
 from flowloom.functions.timestamps import epoch_s
 from flowloom.operators.scratch import folder
@@ -12,36 +15,53 @@ from flowloom.plans.catalogue import FLOWS, query, read, requests
 from flowloom.sources.flows import from_events
 from flowloom.streaming.service import Rules, Service, answered_from_state
 
-FILES, TRIGGERS = 4, 6
+TRIGGERS = 6
 RULES = Rules(resets=10)
 NEW = 10**9  # ids of replayed flows
 
 
-def replay(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """The events as a stream of requests, one quarter of their time a trigger, with what goes wrong on the way.
+def fed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as they reach the service, with the trigger that each comes in: one quarter of their time a trigger, with what
+    goes wrong on the way. A table in a folder for each trigger.
 
-    Some requests are broken. Of the last 900 seconds before a quarter's end, every fourth flow comes a trigger later (still in
-    time) and every third comes again then; every ninth flow of all comes twice. The fourth trigger has copies of flows of the
-    first quarter under new ids: late. Then all starts again: the first quarter, and the second, under new ids.
+    Of the last 900 seconds before a quarter's end, every fourth flow comes a trigger later (still in time) and every third comes
+    again then; every ninth flow of all comes twice. The fourth trigger has copies of flows of the first quarter under new ids:
+    late. Then all starts again: the first quarter, and the second, under new ids.
     """
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("t", epoch_s(F.col("ts")))
     a, b = e.agg(F.min("t"), F.max("t")).first()
     quarter = lambda t: F.floor((t - a) * 4 / (b - a + 1))
     e = e.withColumns({"q": quarter(F.col("t")), "near": (quarter(F.col("t")) < 3) & (quarter(F.col("t") + 900) > quarter(F.col("t")))})
-    path, again = f"{folder(spark)}/requests", lambda rows, k: rows.withColumn("event_id", F.col("event_id") + k * NEW)
+    again = lambda rows, k: rows.withColumn("event_id", F.col("event_id") + k * NEW)
     moved = F.col("near") & (F.col("event_id") % 4 == 0)
     own = e.withColumn("trigger", F.col("q") + moved.cast("int"))
-    fed = own.unionByName(own.where("event_id % 9 = 0")).unionByName(own.where("near AND event_id % 3 = 0").withColumn("trigger", F.col("q") + 1))
+    sent = own.unionByName(own.where("event_id % 9 = 0")).unionByName(own.where("near AND event_id % 3 = 0").withColumn("trigger", F.col("q") + 1))
     first, second = own.where("q = 0"), own.where("q = 1")
     extra = ((first.where("event_id % 5 = 0"), 1, 3), (first, 2, 4), (second, 3, 5))
     for rows, k, trigger in extra:
-        fed = fed.unionByName(again(rows, k).withColumn("trigger", F.lit(trigger).cast("long")))
+        sent = sent.unionByName(again(rows, k).withColumn("trigger", F.lit(trigger).cast("long")))
     table = f"{folder(spark)}/fed"
-    fed.write.partitionBy("trigger").parquet(table)
-    for k in range(TRIGGERS):  # each trigger takes the FILES files written next
-        part = spark.read.schema(fed.schema).parquet(f"{table}/trigger={k}")
-        requests(from_events(part)).withColumn("trigger", F.lit(k)).repartition(FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema("row_id long, request string, trigger int").option("maxFilesPerTrigger", FILES).parquet(path), path
+    sent.write.partitionBy("trigger").parquet(table)
+    return spark.read.schema(sent.schema).parquet(table)
+
+
+def sent_in(events: DataFrame, trigger: int) -> DataFrame:
+    """The requests of one trigger of ``fed``, dealt evenly over the session's partitions; some are broken."""
+    part = events.where(F.col("trigger") == trigger).repartition("event_id")
+    return requests(from_events(part)).withColumn("trigger", F.lit(trigger))
+
+
+def run_through(spark: SparkSession, part: Callable[[int], DataFrame]) -> Service:
+    """A service after all triggers, in whose folder ``requests`` is the table that its stream reads.
+
+    Each trigger's requests are written in as many files as they have partitions, and the stream goes on over all files that are
+    new: so a trigger is spread over all cores, however much of the input it has.
+    """
+    service = Service(spark, folder(spark), RULES)
+    for k in range(TRIGGERS):
+        part(k).write.mode("append").parquet(f"{service.top}/requests")
+        service.run(spark.readStream.schema("row_id long, request string, trigger int").parquet(f"{service.top}/requests"))
+    return service
 
 
 def served(spark: SparkSession, d: str, _done: dict[tuple[str, str], str] = {}) -> Service:  # noqa: B006
@@ -51,7 +71,8 @@ def served(spark: SparkSession, d: str, _done: dict[tuple[str, str], str] = {})
         top = spark._jvm.org.apache.hadoop.fs.Path(f"{_done[key]}/state")
         if top.getFileSystem(spark._jsc.hadoopConfiguration()).exists(top):
             return Service(spark, _done[key], RULES)
-    service = Service(spark, folder(spark), RULES).run(replay(spark, d)[0])
+    events = fed(spark, d)
+    service = run_through(spark, lambda k: sent_in(events, k))
     _done[key] = service.top
     return service
 
@@ -118,16 +139,10 @@ def serve_fast_tier(spark, d):
 @query(f"WITH RECURSIVE {STEPS}, clean AS (SELECT count(*) AS n FROM verdicts) SELECT n AS compared, 0::BIGINT AS only_one_side, 0::BIGINT AS different FROM clean")
 def serve_without_malformed(spark, d):
     """Closed bins of the replay against those of one without its malformed requests: how many differ."""
-    stream, path = replay(spark, d)  # read as a table here
-    whole = served(spark, d).table("closed")
-    from flowloom.functions import contract
-
-    top = f"{folder(spark)}/clean"
-    for k in range(TRIGGERS):
-        part = spark.read.parquet(path).where(F.col("trigger") == k)
-        contract.validated(part).where("valid").select("row_id", "request", "trigger").repartition(FILES).write.mode("append").parquet(top)
-    again = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", FILES).parquet(top)
-    clean = Service(spark, folder(spark), RULES).run(again).table("closed")
+    service = served(spark, d)
+    whole, sent = service.table("closed"), spark.read.parquet(f"{service.top}/requests")
+    valid = lambda k: contract.validated(sent.where(F.col("trigger") == k)).where("valid").select("row_id", "request", "trigger")
+    clean = run_through(spark, valid).table("closed")
     keys, sums = ["stream_id", "generation", "bin"], [c for c in whole.columns if c not in ("stream_id", "generation", "bin")]
     both = whole.withColumn("x", F.struct(*sums)).select(*keys, "x").join(clean.withColumn("y", F.struct(*sums)).select(*keys, "y"), keys, "full")
     return both.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("compared"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("only_one_side"), F.count_if(F.col("x") != F.col("y")).alias("different"))

@@ -150,7 +150,8 @@ class Service:
     def step(self, batch: DataFrame, trigger: int) -> None:
         """One trigger."""
         rules, state, before, recent, seen = self.rules, *(self.before(n, trigger) for n in ("state", "live", "recent", "seen"))
-        checked = contract.validated(batch).persist()  # read by three of the writes below
+        checked = contract.validated(batch).withColumn("request", F.when(~F.col("valid"), F.col("request")))  # only the dead keep theirs
+        checked = checked.persist()  # read by three of the writes below
         dead = checked.where("NOT valid").drop("parsed", "valid")
         self.put(dead, "dead", trigger)
         given = checked.withColumn("stream_id", F.col("parsed.features.protocol")).join(state.select("stream_id", "verdict", "confidence"), "stream_id", "left")

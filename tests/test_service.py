@@ -49,6 +49,20 @@ def test_triggers(spark, tmp_path):
     assert [r.error for r in s.table("dead").collect()] == ["flow_id"]
 
 
+def test_a_trigger_has_as_many_tasks_as_the_session(spark):
+    """Not a fixed number: its requests are dealt over the session's partitions, about evenly."""
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = service.sent_in(service.fed(spark, DATA), 0).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 9 and max(sizes) < 3 * sum(sizes) / 9
+
+
 def test_requests_are_parsed_once(spark):
     """A filter on valid doesn't go below the parsing, where each field that it looks at would parse the request again."""
     state = spark.createDataFrame([("TCP", "benign", 1.0)], "stream_id string, verdict string, confidence double")
