@@ -65,18 +65,26 @@ class WordLevelTexts:
         for c in "\n\t\r":
             spaced = pc.replace_substring(spaced, c, " ")
         lists = pc.split_pattern(pc.ascii_lower(spaced), " ")
+        cuts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
         coded = lists.flatten().dictionary_encode()
+        del spaced, lists
         at = self.store.places(coded.dictionary.to_pylist())
-        flat, ends = slices(self.store.ids, self.store.ends, at[coded.indices.to_numpy()] if len(at) else at)
-        cuts = iter(np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))].tolist())
-        start = next(cuts)
+        at = at[coded.indices.to_numpy()] if len(at) else at
+        del coded
+        spaced_ids = self.runs(at, cuts)
         for k, alone in enumerate(odd.tolist()):
-            if alone:
-                yield np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int32)
-            else:
-                end = next(cuts)
+            yield np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int32) if alone else next(spaced_ids)
+
+    def runs(self, at: np.ndarray, cuts: np.ndarray, most: int = 1 << 16):
+        """The ids of texts whose chunks are at[cuts[k]:cuts[k + 1]], in turn, laid out for about ``most`` chunks at a time."""
+        k = 0
+        while k < len(cuts) - 1:
+            to = max(k + 1, int(np.searchsorted(cuts, cuts[k] + most, "right")) - 1)
+            flat, ends = slices(self.store.ids, self.store.ends, at[cuts[k] : cuts[to]])
+            ends = np.append(0, ends)[cuts[k : to + 1] - cuts[k]].tolist()
+            for start, end in zip(ends, ends[1:], strict=False):
                 yield flat[start:end]
-                start = end
+            k = to
 
 
 def _letters() -> list[str]:
@@ -89,7 +97,7 @@ _TEXTS: dict[str, WordLevelTexts] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, batch_bytes: int = 8 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, batch_bytes: int = 4 << 20) -> DataFrame:
     """Each document's ids and one end id, cut into pieces of at most ``size``.
 
     part and nth: the task that made the piece, and the piece's number among those of its length there.
