@@ -266,6 +266,26 @@ def test_url_filters_edges(spark):
     assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_url_filters_broadcast_no_urls(spark, monkeypatch):
+    """Tables of urls go to no driver, however small their files are; only those of hosts, nodes and names may."""
+    plans, write = [], url_filter.written
+
+    def seen(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [x.split("Join", 1)[1] for x in plan.split("\n") if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+
+    def spied(df, what):
+        out = write(df, what)
+        plans.extend(seen(df))
+        return out
+
+    monkeypatch.setattr(url_filter, "written", spied)
+    urls = [f"http://h{i % 3}.net/{'ab'[i % 2]}/{i // 2}/c" for i in range(200)]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert seen(out) == []
+    assert plans and all("LeftOuter, BuildRight" in x for x in plans)
+
+
 def test_counts_and_labels_edges(spark):
     texts = [None, "", "a b" * 2000, "ü"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
