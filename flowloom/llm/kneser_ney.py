@@ -3,15 +3,16 @@
 Words are hashes of 64 bits, in shards of a sorted array; a word's number is its place. An n-gram is one number of 64
 bits: its context's place among the grams one shorter, and its last word's number; grams are sorted by it, in shards of
 ranges of contexts, and their places name them in turn. Tasks combine the grams of their texts before they shuffle
-them, packed by shard, so a row holds many grams. Workers map the arrays into memory and search them; nothing of the
-model passes through the driver except the counts of counts and one row for each shard. The number of shards grows with
-the texts.
+them, packed by shard, so a row holds many grams. The number of shards grows with the texts; neighbouring shards share a
+file, so that the number of files doesn't. Workers map the files into memory and search them; nothing of the model
+passes through the driver except the counts of counts and one row for each file.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.arrays import mapped, put
+from flowloom.llm.arrays import Growing, mapped, put
 from flowloom.llm.common import crc_fold, map_batches, shared_dir, whole_texts
 
 END = b""  # no word is empty
@@ -28,6 +29,8 @@ END = b""  # no word is empty
 BEGIN = (1 << 31) - 2
 #: Text bytes for each shard, and the bounds of their number.
 SHARD_BYTES, FEWEST, MOST = 1 << 21, 64, 1 << 15
+#: Most files of an array. Workers map all of them and search each one apart.
+FILES = 1 << 10
 #: Grams that a task combines before it sends them.
 HELD = 1 << 21
 
@@ -42,30 +45,28 @@ def word_hash(word: bytes) -> int:
 
 
 def owners(starts: tuple[int, ...], places: np.ndarray) -> np.ndarray:
-    """The shard of each place, given the shards' first places and their end."""
+    """The file of each place, given the files' first places and their end."""
     return np.searchsorted(np.asarray(starts), places, "right") - 1
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Shards of the words: where, each one's first number (and the end), and how many training tokens there are."""
+    """Files of the words: where, each one's first number (and the end), how many training tokens, shards, and shards a file."""
 
     top: str
     starts: tuple[int, ...]
     total: int
+    shards: int
+    each: int
 
     @property
     def size(self) -> int:
         return self.starts[-1]
 
-    @property
-    def shards(self) -> int:
-        return len(self.starts) - 1
-
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers (-1: unknown) and counts of sorted hashes."""
         numbers, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for k, a, b in stretches(word_shard(hashes, self.shards)):
+        for k, a, b in stretches(word_shard(hashes, self.shards) // self.each):
             n = self.starts[k + 1] - self.starts[k]
             if n:
                 raw = mapped(f"{self.top}/words-{k:05d}")
@@ -93,14 +94,14 @@ def stretches(shard: np.ndarray):
 
 @dataclass(frozen=True)
 class Grams:
-    """The grams of one length: shards by ranges of ``wide`` contexts, one more for BEGIN; their first places and end."""
+    """The grams of one length: files by ranges of ``wide`` contexts, one more for BEGIN; their first places and end."""
 
     top: str
     length: int
     wide: int
     starts: tuple[int, ...]
 
-    def shard(self, keys: np.ndarray) -> np.ndarray:
+    def file(self, keys: np.ndarray) -> np.ndarray:
         return np.where(keys >> 32 == BEGIN, len(self.starts) - 2, (keys >> 32) // self.wide)
 
     def keys(self, k: int) -> np.ndarray:
@@ -113,7 +114,7 @@ class Grams:
         """The places of sorted keys; -1 of unknown ones."""
         out = np.full(len(keys), -1, np.int64)
         first = int(np.searchsorted(keys, 0))  # contexts that are unknown make negative keys
-        for k, a, b in stretches(self.shard(keys[first:])):
+        for k, a, b in stretches(self.file(keys[first:])):
             if self.starts[k + 1] > self.starts[k]:
                 known = self.keys(k)
                 at = np.minimum(np.searchsorted(known, keys[first + a : first + b]), len(known) - 1)
@@ -132,10 +133,16 @@ class Grams:
         return out
 
 
-def save_counts(uri: str, counts: np.ndarray) -> None:
-    """Writes counts in as few bytes each as the greatest of them needs; the first byte says how many."""
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the greatest of them needs."""
     size = next(n for n in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * n - 1)
-    put(uri, [np.full(8, size, np.uint8), counts.astype(f"<u{size}")])
+    return counts.astype(f"<u{size}")
+
+
+def save_counts(uri: str, pieces: list[np.ndarray]) -> None:
+    """Writes narrow counts, piece by piece, in as many bytes each as the widest piece; the first byte says how many."""
+    size = max(p.itemsize for p in pieces)
+    put(uri, chain([np.full(8, size, np.uint8)], (p.astype(f"<u{size}") for p in pieces)))
 
 
 def counts_in(uri: str) -> np.ndarray:
@@ -267,12 +274,17 @@ def received(batches):
         yield now, *summed(keys, counts)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("shard").sortWithinPartitions("shard")
+def received_by_file(batches, each: int):
+    """(file, its shards as ``received`` gives them), for ``each`` shards a file."""
+    return groupby(received(batches), lambda row: row[0] // each)
+
 
+def dealt(rows: DataFrame, each: int) -> DataFrame:
+    return rows.repartition(F.expr(f"shard div {each}")).sortWithinPartitions("shard")
 
-def count_words(texts: DataFrame, top: str, shards: int) -> Vocabulary:
-    """Counts the words and writes the vocabulary's shards."""
+
+def count_words(texts: DataFrame, top: str, shards: int, each: int) -> Vocabulary:
+    """Counts the words and writes the vocabulary's files."""
 
     def count(batches):
         sender = Sender(lambda h: word_shard(h, shards))
@@ -286,15 +298,21 @@ def count_words(texts: DataFrame, top: str, shards: int) -> Vocabulary:
         yield from sender.rest()
 
     def save(batches):
-        for k, keys, counts in received(batches):
-            put(f"{top}/words-{k:05d}", [keys, counts])
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "size": [len(keys)], "total": [int(counts.sum())]})
-
-    sizes, total = [0] * shards, 0
-    for k, n, t in map_batches(dealt(map_batches(texts, count, PACKED)), save, "shard int, size long, total long").collect():  # one row a shard
+        for k, parts in received_by_file(batches, each):
+            out, held = Growing(f"{top}/words-{k:05d}"), []
+            for _, keys, counts in parts:
+                out.add(keys)
+                held.append(counts)
+            for counts in held:
+                out.add(counts)
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32()), "size": [sum(map(len, held))], "total": [sum(int(c.sum()) for c in held)]})
+
+    sizes, total = [0] * -(-shards // each), 0
+    for k, n, t in map_batches(dealt(map_batches(texts, count, PACKED), each), save, "file int, size long, total long").collect():  # one row a file
         sizes[k] = n
         total += t
-    return Vocabulary(top, tuple(np.append(0, np.cumsum(sizes)).tolist()), total)
+    return Vocabulary(top, tuple(np.append(0, np.cumsum(sizes)).tolist()), total, shards, each)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -304,17 +322,24 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(k + 0.95, max(0.05, d)) for k, d in enumerate(three))
 
 
-def count_grams(texts: DataFrame, vocabulary: Vocabulary, shorter: tuple[Grams, ...], shards: int, last: bool) -> Grams:
-    """Counts the grams one word longer than the last of ``shorter`` (or pairs), writes their shards, and the shorter ones'
+def count_grams(texts: DataFrame, vocabulary: Vocabulary, shorter: tuple[Grams, ...], last: bool) -> Grams:
+    """Counts the grams one word longer than the last of ``shorter`` (or pairs), writes their files, and the shorter ones'
     counts of continuations. Only if ``last`` their own counts are written; else a longer length's continuations give them.
     """
-    length, top = len(shorter) + 2, vocabulary.top
+    length, top, each = len(shorter) + 2, vocabulary.top, vocabulary.each
     below = shorter[-1] if shorter else None
     starts = below.starts if below else vocabulary.starts
     if starts[-1] >= BEGIN:
         raise ValueError(f"{starts[-1]} grams are too many to name in 31 bits")
-    wide = max(1, -(-starts[-1] // shards))
-    shard = Grams(top, length, wide, (0,) * (shards + 2)).shard
+    wide, files = max(1, -(-starts[-1] // vocabulary.shards)), len(vocabulary.starts) - 1
+
+    def shard(keys):
+        return np.where(keys >> 32 == BEGIN, files * each, (keys >> 32) // wide)
+
+    def part(places):
+        """A shorter gram's shard: its file has ``each`` of them, of equal lengths."""
+        k, begin = owners(starts, places), np.asarray(starts)
+        return k * each + (places - begin[k]) * each // np.diff(begin)[k]
 
     def count(batches):
         sender = Sender(shard)
@@ -325,37 +350,49 @@ def count_grams(texts: DataFrame, vocabulary: Vocabulary, shorter: tuple[Grams,
         yield from sender.rest()
 
     def save(batches):
-        """Writes each shard; sends how often each shorter gram ends one."""
-        sender = Sender(lambda places: owners(starts, places))
-        for k, keys, counts in received(batches):
-            put(f"{top}/grams{length}-{k:05d}", [keys])
+        """Writes each file; sends how often each shorter gram ends one."""
+        sender = Sender(part)
+        for k, parts in received_by_file(batches, each):
+            grams, held = Growing(f"{top}/grams{length}-{k:05d}"), []
+            links = Growing(f"{top}/links{length}-{k:05d}") if below and not last else None
+            for _, keys, counts in parts:
+                grams.add(keys)
+                if last:
+                    held.append(narrow(counts))
+                words = keys & 0xFFFFFFFF
+                if below:
+                    front, back = np.unique(keys >> 32, return_inverse=True)
+                    ends, order = np.unique(below.shorter(front)[back] << 32 | words, return_inverse=True)
+                    words = below.places(ends)[order]
+                if links:
+                    links.add(words)
+                yield from sender.add(*np.unique(words, return_counts=True))
+            grams.close()
             if last:
-                save_counts(f"{top}/counts{length}-{k:05d}", counts)
-            words = keys & 0xFFFFFFFF
-            if below:
-                front, back = np.unique(keys >> 32, return_inverse=True)
-                ends, order = np.unique(below.shorter(front)[back] << 32 | words, return_inverse=True)
-                words = below.places(ends)[order]
-                if not last:
-                    put(f"{top}/links{length}-{k:05d}", [words])
-            yield from sender.add(*np.unique(words, return_counts=True))
+                save_counts(f"{top}/counts{length}-{k:05d}", held)
+            if links:
+                links.close()
         yield from sender.rest()
 
     def save_below(batches):
-        for k, places, counts in received(batches):
-            own = np.zeros(starts[k + 1] - starts[k], np.int64)
-            own[places - starts[k]] = counts
-            save_counts(f"{top}/counts{length - 1}-{k:05d}", own)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32())})
+        for k, parts in received_by_file(batches, each):
+            size, held = starts[k + 1] - starts[k], []
+            for p, places, counts in parts:
+                begin, end = (starts[k] - (-(p % each + i) * size // each) for i in (0, 1))
+                own = np.zeros(end - begin, np.int64)
+                own[places - begin] = counts
+                held.append(narrow(own))
+            save_counts(f"{top}/counts{length - 1}-{k:05d}", held)
+            yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int32())})
 
-    sent = map_batches(dealt(map_batches(texts, count, PACKED)), save, PACKED)
-    map_batches(dealt(sent), save_below, "shard int").count()
-    sizes = [r[1] for r in sorted(statistics(texts.sparkSession, f"{top}/grams{length}", shards + 1, False))]
-    return Grams(top, length, wide, tuple(np.append(0, np.cumsum(sizes)).tolist()))
+    sent = map_batches(dealt(map_batches(texts, count, PACKED), each), save, PACKED)
+    map_batches(dealt(sent, each), save_below, "file int").count()
+    sizes = [r[1] for r in sorted(statistics(texts.sparkSession, f"{top}/grams{length}", files + 1, False))]
+    return Grams(top, length, wide * each, tuple(np.append(0, np.cumsum(sizes)).tolist()))
 
 
-def statistics(spark: SparkSession, name: str, shards: int, counts: bool) -> list[tuple]:
-    """One row for each shard's file: shard, entries and, of counts, how many are 1, 2, 3, 4 and more than 2, and their sum."""
+def statistics(spark: SparkSession, name: str, files: int, counts: bool) -> list[tuple]:
+    """One row for each file: its number, entries and, of counts, how many are 1, 2, 3, 4 and more than 2, and their sum."""
 
     def read(batches):
         for batch in batches:
@@ -363,23 +400,23 @@ def statistics(spark: SparkSession, name: str, shards: int, counts: bool) -> lis
             for k in batch.column("id").to_pylist():
                 try:
                     raw = counts_in(f"{name}-{k:05d}") if counts else mapped(f"{name}-{k:05d}").view(np.int64)
-                except (FileNotFoundError, ValueError):  # a shard without grams has no file
+                except (FileNotFoundError, ValueError):  # without grams there is no file
                     raw = np.zeros(0, np.int64)
                 of = [*((raw == c).sum() for c in (1, 2, 3, 4)), (raw >= 3).sum(), raw.sum(dtype=np.int64)] if counts else [0] * 6
                 rows.append((k, len(raw), *map(int, of)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["id", "size", "n1", "n2", "n3", "n4", "more", "total"])
 
-    return [tuple(r) for r in map_batches(spark.range(shards), read, "id long, size long, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()]
+    return [tuple(r) for r in map_batches(spark.range(files), read, "id long, size long, n1 long, n2 long, n3 long, n4 long, more long, total long").collect()]
 
 
 def complete(rows: list[tuple], starts: tuple[int, ...], found: int, due: int) -> None:
-    """Fails unless each shard has a count for each of its entries and the counts add up; so no lost file passes for an empty one.
+    """Fails unless each file has a count for each of its entries and the counts add up; so no lost file passes for an empty one.
 
     Each token ends one gram of the longest length; of the shorter ones each is counted by the different grams that end in it.
     """
     wrong = [k for k, size, *_ in rows if size != starts[k + 1] - starts[k]]
     if wrong or found != due:
-        raise RuntimeError(f"the model's files are not whole: counts of {found} for {due}, shards {wrong[:10]}")
+        raise RuntimeError(f"the model's files are not whole: counts of {found} for {due}, files {wrong[:10]}")
 
 
 def discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -406,7 +443,7 @@ class Reader:
         """For sorted keys: the place (-1: unknown), the discounted share, and what the context leaves to shorter grams."""
         places, share, rest = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
         first = int(np.searchsorted(keys, 0))
-        for k, a, b in stretches(g.shard(keys[first:])):
+        for k, a, b in stretches(g.file(keys[first:])):
             if g.starts[k + 1] == g.starts[k]:
                 continue
             known, counts = g.keys(k), g.counts(k)
@@ -458,15 +495,15 @@ def fit(docs: DataFrame, order: int = 3) -> KneserNey:
     top, texts = shared_dir(spark), whole_texts(docs)
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = min(MOST, max(FEWEST, -(-size // SHARD_BYTES)))
-    vocabulary = count_words(texts, top, shards)
+    vocabulary = count_words(texts, top, shards, -(-shards // FILES))
     if not vocabulary.size:
         return KneserNey(vocabulary, (), ((0.5, 1.0, 1.5),), 0, 1.0)
     grams: tuple[Grams, ...] = ()
     for length in range(2, order + 1):
-        grams += (count_grams(texts, vocabulary, grams, shards, length == order),)
+        grams += (count_grams(texts, vocabulary, grams, length == order),)
     of = []
     for length in range(1, order + 1):
-        rows = statistics(spark, f"{top}/counts{length}", shards + (length > 1), True)
+        rows = statistics(spark, f"{top}/counts{length}", len((vocabulary, *grams)[length - 1].starts) - 1, True)
         of.append(tuple(sum(r[k] for r in rows) for k in range(2, 8)))
         complete(rows, (vocabulary, *grams)[length - 1].starts, of[-1][-1], vocabulary.total if length == order else grams[length - 1].starts[-1])
     found = tuple(discounts(*x[:4]) for x in of)

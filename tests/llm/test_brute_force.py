@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, with nulls, ties, repeated rows and clashing columns."""
 
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowloom.llm import jaccard_join, kneser_ney, mpeg_audio, nn_descent, packing, token_counts, toxicity, url_filter
+from flowloom.llm import arrays, jaccard_join, kneser_ney, mpeg_audio, nn_descent, packing, token_counts, toxicity, url_filter
 from flowloom.llm.queries import tokenizer
 
 
@@ -490,3 +491,23 @@ def test_language_model_of_any_order(spark, monkeypatch):
     assert kneser_ney.word_shard(np.array([-(1 << 63), -1, 0, (1 << 63) - 1]), 7).tolist() == [0, 3, 3, 6]
     keys = np.unique(rng.integers(0, 1 << 60, 5000))
     assert (kneser_ney.unpacked(kneser_ney.packed(keys)) == keys).all()
+
+
+def test_language_model_has_few_files(spark, monkeypatch, tmp_path):
+    """However many shards there are, the files of an array are bounded, and mapped ones keep no file open."""
+    rng = np.random.default_rng(18)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 16)
+    monkeypatch.setattr(kneser_ney, "FILES", 5, raising=False)
+    texts = [None, *(" ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(1, 60)) % 90) for _ in range(80)), "w1 " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for order in (2, 3, 4):
+        model = kneser_ney.fit(df, order)
+        assert all(len(x.starts) <= 7 for x in (model.vocabulary, *model.grams))
+        rows = {r.doc_id: r.score for r in kneser_ney.score(df, model).collect()}
+        for i, want in enumerate(plain_of_order(order, texts, texts)):
+            assert abs(rows[i] - want) < 1e-9 * max(1, abs(want)), (order, i)
+    for k in range(20):
+        arrays.put(f"file://{tmp_path}/{k}", [np.full(3, k), np.arange(k)])
+    before = len(os.listdir("/proc/self/fd"))
+    assert all(arrays.mapped(f"file://{tmp_path}/{k}").view(np.int64).tolist() == [k, k, k, *range(k)] for k in range(20))
+    assert len(os.listdir("/proc/self/fd")) <= before + 2
