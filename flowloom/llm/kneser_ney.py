@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ BEGIN = (1 << 31) - 2
 #: Text bytes for each shard, and the bounds of their number.
 SHARD_BYTES, FEWEST, MOST = 1 << 21, 64, 1 << 15
 #: Most files of an array. Workers map all of them and search each one apart.
-FILES = 1 << 10
+FILES = 1 << 8
+#: Counts whose sums are kept, so that a context's needn't be added up by each batch.
+BLOCK = 64
 #: Grams that a task combines before it sends them.
 HELD = 1 << 21
 
@@ -110,6 +112,10 @@ class Grams:
     def counts(self, k: int) -> np.ndarray:
         return counts_in(f"{self.top}/counts{self.length}-{k:05d}")
 
+    def blocks(self, k: int) -> np.ndarray:
+        uri = f"{self.top}/counts{self.length}-{k:05d}"
+        return mapped(uri)[16 + counts_in(uri).nbytes :].view(np.int64).reshape(3, -1)
+
     def places(self, keys: np.ndarray) -> np.ndarray:
         """The places of sorted keys; -1 of unknown ones."""
         out = np.full(len(keys), -1, np.int64)
@@ -140,14 +146,39 @@ def narrow(counts: np.ndarray) -> np.ndarray:
 
 
 def save_counts(uri: str, pieces: list[np.ndarray]) -> None:
-    """Writes narrow counts, piece by piece, in as many bytes each as the widest piece; the first byte says how many."""
-    size = max(p.itemsize for p in pieces)
-    put(uri, chain([np.full(8, size, np.uint8)], (p.astype(f"<u{size}") for p in pieces)))
+    """Writes narrow counts, in as many bytes each as the widest piece, after that size and their number; then, of all
+    counts before each block, the sum and how many are 1 and 2.
+    """
+    counts, sums = np.concatenate(pieces), [np.zeros((3, 1), np.int64)]
+    for at in range(0, len(counts), BLOCK << 12):
+        c = counts[at : at + (BLOCK << 12)]
+        sums.append(reduced(c, np.arange(0, len(c), BLOCK)))
+    put(uri, [np.array([counts.itemsize, len(counts)]), counts, np.cumsum(np.concatenate(sums, axis=1), axis=1)])
+
+
+def reduced(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum and how many are 1 and 2, of the counts from each place in ``first`` to the next."""
+    return np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (counts, (counts == 1).view(np.uint8), (counts == 2).view(np.uint8))])
 
 
 def counts_in(uri: str) -> np.ndarray:
     raw = mapped(uri)
-    return raw[8:].view(f"<u{int(raw[0])}")
+    size, n = raw[:16].view(np.int64).tolist()
+    return raw[16 : 16 + n * size].view(f"<u{size}")
+
+
+def between(counts: np.ndarray, blocks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The sum and how many are 1 and 2, of the counts from each lo up to its hi: blocks by their sums, the ends one by one."""
+    a, b = -(-lo // BLOCK), hi // BLOCK
+    whole = a < b
+    out = blocks[:, np.where(whole, b, 0)] - blocks[:, np.where(whole, a, 0)]
+    for begin, end in ((lo, np.where(whole, a * BLOCK, hi)), (np.where(whole, b * BLOCK, hi), hi)):
+        some = end > begin
+        size = (end - begin)[some]
+        if len(size):
+            first = np.cumsum(size) - size
+            out[:, some] += reduced(counts[np.arange(size.sum()) + np.repeat(begin[some] - first, size)], first)
+    return out
 
 
 @dataclass(frozen=True)
@@ -457,10 +488,9 @@ class Reader:
             lo, size = lo[has], (hi - lo)[has]
             if not len(lo):
                 continue
-            # each context's total and discounted mass, from its stretch of counts
-            begin = np.append(0, np.cumsum(size)[:-1])
-            c = counts[np.arange(size.sum()) + np.repeat(lo - begin, size)].astype(np.int64)
-            total, mass = np.add.reduceat(c, begin), np.add.reduceat(discount(c, d), begin)
+            # each context's total and discounted mass
+            total, ones, twos = between(counts, g.blocks(k), lo, lo + size)
+            mass = d[0] * ones + d[1] * twos + d[2] * (size - ones - twos)
             at = np.minimum(np.searchsorted(known, mine[kept]), len(known) - 1)
             found = known[at] == mine[kept]
             hit = np.where(found, counts[at].astype(np.int64), 0)

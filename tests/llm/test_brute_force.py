@@ -506,6 +506,14 @@ def test_language_model_has_few_files(spark, monkeypatch, tmp_path):
         rows = {r.doc_id: r.score for r in kneser_ney.score(df, model).collect()}
         for i, want in enumerate(plain_of_order(order, texts, texts)):
             assert abs(rows[i] - want) < 1e-9 * max(1, abs(want)), (order, i)
+    counts = rng.zipf(1.5, 1000).clip(max=300)
+    kneser_ney.save_counts(f"file://{tmp_path}/counts2-00000", [kneser_ney.narrow(counts[:130]), kneser_ney.narrow(counts[130:])])
+    one = kneser_ney.Grams(f"file://{tmp_path}", 2, 1, (0, 1000))
+    lo = rng.integers(0, 1000, 300)
+    hi = np.minimum(1000, lo + 1 + rng.integers(0, 400, 300))
+    sums = kneser_ney.between(one.counts(0), one.blocks(0), lo, hi)
+    assert one.counts(0).tolist() == counts.tolist()
+    assert sums.T.tolist() == [[counts[a:b].sum(), (counts[a:b] == 1).sum(), (counts[a:b] == 2).sum()] for a, b in zip(lo, hi, strict=True)]
     for k in range(20):
         arrays.put(f"file://{tmp_path}/{k}", [np.full(3, k), np.arange(k)])
     before = len(os.listdir("/proc/self/fd"))
